@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.llm.shared import checkpointed, table
+from undula.llm.tokens import BASE, mix, token_names
 
 #: Tokens of a seed, which is also the shortest tile.
 SEED = 5
@@ -20,63 +20,6 @@ SEED = 5
 COVERAGE = 0.5
 #: Bits of the filter that keeps tokens away from the join that can't match. Fixed; it bounds what is broadcast (8 MB).
 FILTER_BITS = 1 << 26
-_U = np.uint64
-_BASE = 0xC2B2AE3D27D4EB4F
-_SLICE = 1 << 22
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _powers(n: int, cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    if "p" not in cache or len(cache["p"][0]) < n:
-        up, down = np.full(n, _BASE, _U), np.full(n, pow(_BASE, -1, 1 << 64), _U)
-        up[0] = down[0] = 1
-        cache["p"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return cache["p"]
-
-
-#: Bytes of tokens: ASCII letters and digits, and all of characters beyond ASCII.
-_WORD = np.zeros(256, bool)
-_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_VALUE = _mix(np.arange(1, 257, dtype=_U))
-
-
-def token_names(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, name) of every token of a string column: lower case, runs of letters, digits and characters beyond ASCII.
-
-    A name is 64 bits of the token's bytes, the same wherever it stands (Karp and Rabin's rolling form over prefix sums).
-    """
-    column = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")).cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    rows, names = [], []
-    k = 0
-    while k < len(column):  # as many texts as fit a slice, one at least
-        m = max(k + 1, int(np.searchsorted(offsets, offsets[k] + _SLICE, side="right")) - 1)
-        part = data[offsets[k] : offsets[m]]
-        if len(part):
-            word = _WORD[part]
-            opens = word.copy()
-            opens[1:] &= ~word[:-1]
-            cuts = offsets[k:m] - offsets[k]
-            cuts = cuts[cuts < len(part)]
-            opens[cuts] = word[cuts]  # a token never goes on into the next text
-            closes = np.zeros(len(part) + 1, bool)
-            closes[1:] = word
-            closes[1:-1] &= ~word[1:] | opens[1:]
-            lo, hi = np.flatnonzero(opens), np.flatnonzero(closes)
-            up, down = _powers(len(part))
-            sums = np.zeros(len(part) + 1, _U)
-            np.cumsum(_VALUE[part] * up[: len(part)], out=sums[1:])
-            names.append(_mix((sums[hi] - sums[lo]) * down[lo]))
-            rows.append(np.searchsorted(offsets[k + 1 : m + 1] - offsets[k], lo, side="right") + k)
-        k = m
-    return (np.concatenate(rows), np.concatenate(names)) if rows else (np.zeros(0, np.int64), np.zeros(0, _U))
-
 
 def seeds_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, position, name of `size` tokens from there) of every seed of a string column, and tokens per row."""
@@ -84,12 +27,12 @@ def seeds_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     counts = np.bincount(rows, minlength=len(column)) if len(rows) else np.zeros(len(column), np.int64)
     at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
     if len(rows) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), counts
-    roll = np.zeros(len(names) - size + 1, _U)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), counts
+    roll = np.zeros(len(names) - size + 1, np.uint64)
     for j in range(size):
-        roll = roll * _U(_BASE) + names[j : len(names) - size + 1 + j]
+        roll = roll * np.uint64(BASE) + names[j : len(names) - size + 1 + j]
     whole = rows[: len(roll)] == rows[size - 1 :]
-    return rows[: len(roll)][whole], at[: len(roll)][whole], _mix(roll[whole]), counts
+    return rows[: len(roll)][whole], at[: len(roll)][whole], mix(roll[whole]), counts
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
@@ -135,7 +78,7 @@ def _seed_rows(size: int, bits: np.ndarray | None):
         for b in batches:
             row, at, name, counts = seeds_of(b.column(1), size)
             if bits is not None:
-                slot = (name & _U(FILTER_BITS - 1)).astype(np.int64)
+                slot = (name & np.uint64(FILTER_BITS - 1)).astype(np.int64)
                 may = bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
                 row, at, name = row[may], at[may], name[may]
             ids = b.column(0).to_numpy(zero_copy_only=False)

@@ -75,7 +75,7 @@ def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], bool]]:
             continue
         tag = m[2].lower()
         if tag in INLINE_TAGS:
-            if tag == "wbr" or not _is_aside(tag, m[3]) or m[1]:
+            if m[1] and not (stack and stack[-1][0] == tag) or not m[1] and not _is_aside(tag, m[3]):
                 continue
         if tag in VOID_TAGS:
             if tag == "br":

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -21,3 +22,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled(labels: DataFrame, column: str, allowed: Column, most: int) -> DataFrame:
+    """(doc_id, label) of ids that are allowed to give labels: one row an id, about `most` rows at most.
+
+    The sample is taken by a hash of the id, so it is small enough to be broadcast whatever the table's size.
+    """
+    known = labels.filter(allowed & F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    share = most / max(most, labels.count())
+    return known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
