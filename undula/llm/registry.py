@@ -10,10 +10,11 @@ from undula.llm.simhash import op8_simhash
 from undula.llm.suffix_dedup import op6_suffix_dedup
 from undula.llm.token_count import op5_token_count
 from undula.llm.toxicity import op2_toxicity
+from undula.llm.vector_dedup import op3_vector_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op5_token_count, op6_suffix_dedup, op7_decontaminate, op8_simhash, op9_html_text, op10_pack)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op5_token_count, op6_suffix_dedup, op7_decontaminate, op8_simhash, op9_html_text, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
