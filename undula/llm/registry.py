@@ -5,6 +5,7 @@ from __future__ import annotations
 from undula.llm.decontaminate import op7_decontaminate
 from undula.llm.html_text import op9_html_text
 from undula.llm.packing import op10_pack
+from undula.llm.pii import op4_pii
 from undula.llm.quality import op1_quality
 from undula.llm.simhash import op8_simhash
 from undula.llm.suffix_dedup import op6_suffix_dedup
@@ -14,7 +15,7 @@ from undula.llm.vector_dedup import op3_vector_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op5_token_count, op6_suffix_dedup, op7_decontaminate, op8_simhash, op9_html_text, op10_pack)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_pii, op5_token_count, op6_suffix_dedup, op7_decontaminate, op8_simhash, op9_html_text, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
