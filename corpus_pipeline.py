@@ -1,8 +1,68 @@
-"""Training-corpus pipeline over `documents`."""
+"""Training-corpus pipeline over `documents`: quality, near-duplicates, benchmark leaks, personal data, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns
+of `docs`; the last returns pieces of packed sequences. Null texts count as empty, null ids are never dropped for being
+null, and an empty table runs through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from undula.llm import decontaminate, packing, pii, quality, simhash
+from undula.llm.shared import table, written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject; rows of one id and different texts are judged together (mean)."""
+    scores = quality.scored(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.avg("score").alias("_score"))
+    rejected = scores.filter(F.col("doc_id").isNotNull() & (F.col("_score") < quality.KEEP)).select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every SimHash group the document with the smallest id; rows without an id stay, repeated rows of an id stay one."""
+    groups = simhash.near_duplicates(docs)
+    others = groups.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is covered."""
+    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, spans of personal data replaced by their kind; n_chars follows the text where it is given."""
+    out = pii.redacted(docs)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(F.coalesce("text", F.lit("")))).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("personal_data", redact_personal_data),
+    ("packing", pack),
+]
+#: Fitted models and tokenizers have no SQL form; the tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table, each written as Parquet and read again as the next one's input."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return pack(spark, docs, sf_dir)
