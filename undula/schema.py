@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Names and parameters that results depend on.
 FS = 20.0
 WINDOW_SEC = 180.0
@@ -24,7 +22,8 @@ SHANNON_BINS, SAMPEN_M, SAMPEN_R, SAMPEN_TAU, PERM_M, PERM_TAU = 50, 2, 0.10, 1,
 FOLDS, REPEATS, SEED = 5, 30, 42
 EPS = 1e-12
 
-RECORDINGS = T.StructType.fromDDL("record string, label int, fs double, comments map<string,string>")
-SAMPLES = T.StructType.fromDDL("record string, channel string, n bigint, x double")
-ANNOTATIONS = T.StructType.fromDDL("record string, sample bigint, seq bigint, note string")
-SEGMENTS = T.StructType.fromDDL("mode string, record string, segment_id int, start_sample bigint, end_sample bigint, start_sec double, end_sec double")
+# Schemas for readers, as DDL.
+RECORDINGS = "record string, label int, fs double, comments map<string,string>"
+SAMPLES = "record string, channel string, n bigint, x double"
+ANNOTATIONS = "record string, sample bigint, seq bigint, note string"
+SEGMENTS = "mode string, record string, segment_id int, start_sample bigint, end_sample bigint, start_sec double, end_sec double"
