@@ -9,8 +9,9 @@ name inside them (the rightmost of equals), so equal strings pick equal ones, an
 run of positions with one pick is a unit, about one for (length - gram) / 2 bytes. Its pair of ranks is the name of the
 picked gram and the name of all bytes that the unit's strings cover. Sorted by that pair and position, a unit that follows
 one of the same pair is repeated as a whole; the first of a pair has a string in common with others only if its gram has
-another pair. Only those few units are taken apart into single positions, whose pairs of ranks are two names of the
-`length`-byte string; sorted again, all but the first of a pair are repeated.
+another pair. Only those few units are taken apart, first into stretches of STRETCH positions, whose ranks are the name of
+what all strings of the stretch share and the name of all it covers, then into single positions, whose ranks are two names
+of the `length`-byte string; sorted again each time, all but the first of a pair are repeated.
 
 Names are polynomials over bytes modulo 2**64 with a final mix; equality is decided by 128 bits (in the first round by a
 64-bit name within an equal 64-bit name).
@@ -19,6 +20,7 @@ Names are polynomials over bytes modulo 2**64 with a final mix; equality is deci
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,15 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.shared import checkpointed, table
+from undula.llm.shared import table, written
 
-LENGTH, GRAM = 100, 36
+LENGTH, GRAM = 100, 24
+#: Positions of a stretch, the second round's unit.
+STRETCH = 8
 #: Bytes whose positions are ranked at a time; neighbours overlap, so it bounds memory and changes no result.
 BLOCK = 1 << 19
 _U = np.uint64
 _LOW = _U((1 << 20) - 1)
+_NO_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_UNITS = "key long, ctx long, doc long, sub long, lo int, n int"
+_UNITS = "key long, ctx long, doc long, sub long, lo int, n int, at int"
+_NARROW = _U((1 << 48) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,7 +84,7 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def units(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, first position, positions less one, gram name, name of all bytes) of the units of texts laid end to end.
+    """(document, first position, positions less one, pick less first position, gram name, name of all bytes) of the units of texts laid end to end.
 
     `ends` are the texts' ends in `data`. Positions are in `data`.
     """
@@ -99,7 +105,7 @@ def units(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> Iterato
         lo, hi = lo[valid[lo]], hi[valid[lo]]
         picked = pick[lo]
         whole = names.of(lo, hi + length)
-        yield own[lo], lo + at, hi - lo, grams[picked], _mix(whole ^ _mix((picked - lo).astype(_U) + _U(1)))
+        yield own[lo], lo + at, hi - lo, picked - lo, grams[picked], _mix(whole ^ _mix((picked - lo).astype(_U) + _U(1)))
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,24 +118,35 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _rows(*columns: np.ndarray) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
     names = [c.split()[0] for c in _UNITS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == _U else c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _settle_here(key, ctx, doc, sub, lo, n) -> pa.RecordBatch:
+def _settle_here(key, ctx, doc, sub, lo, n, at) -> pa.RecordBatch:
     """Settles what a batch alone shows: of equal pairs the first stays, the others are repeated (n < 0 marks them).
 
-    A pair that is frequent everywhere so reaches the shuffle once per batch. Settled rows get keys that spread them.
+    A pair that is frequent everywhere so reaches the shuffle once per batch. Settled units that follow each other in a text
+    become one row; settled rows get keys that spread them.
     """
+    ctx = ctx & _NARROW  # the other bits would only widen the shuffle; a pair is compared within an equal 64-bit key
     by = np.lexsort((lo, sub, doc, ctx, key))
-    key, ctx, doc, sub, lo, n = (x[by] for x in (key, ctx, doc, sub, lo, n))
+    key, ctx, doc, sub, lo, n, at = (x[by] for x in (key, ctx, doc, sub, lo, n, at))
     first = np.concatenate(([True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]))) if len(key) else np.zeros(0, bool)
     lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
     again = (doc != doc[lead]) | (sub != sub[lead]) | (lo != lo[lead])
-    here = first | again  # a repeated row of the table is the first itself
-    key = np.where(again, _mix(doc.astype(_U) + _mix(lo.astype(_U))), key)
-    return _rows(key[here], np.where(again, _U(0), ctx)[here], doc[here], sub[here], lo[here], np.where(again, -1 - n, n)[here])
+    new = ~again  # a repeated row of the table is the first itself, and stays
+    doc_, sub_, lo_, n_ = doc[again], sub[again], lo[again], n[again]
+    by = np.lexsort((lo_, sub_, doc_))
+    doc_, sub_, lo_, n_ = doc_[by], sub_[by], lo_[by], n_[by]
+    if len(doc_):
+        opens = np.concatenate(([True], (doc_[1:] != doc_[:-1]) | (sub_[1:] != sub_[:-1]) | (lo_[1:] != lo_[:-1] + n_[:-1] + 1)))
+        start = np.flatnonzero(opens)
+        last = np.append(start[1:], len(doc_)) - 1
+        doc_, sub_, n_, lo_ = doc_[start], sub_[start], lo_[last] + n_[last] - lo_[start], lo_[start]
+    spread = _mix(doc_.astype(_U) + _mix(lo_.astype(_U)))
+    both = lambda x, y: np.concatenate((x[new], y))
+    return _rows(both(key, spread), both(ctx, np.zeros(len(lo_), _U)), both(doc, doc_), both(sub, sub_), both(lo, lo_), both(n, -1 - n_), both(at, np.zeros_like(lo_)))
 
 
 def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +157,7 @@ def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, ctx, doc, sub, lo, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        key, ctx, doc, sub, lo, n, pick = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         known = n < 0
         first = np.concatenate(([True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])))
         if last is not None and (key[0], ctx[0]) == last[:2]:
@@ -148,9 +165,10 @@ def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
         at = [np.where(lead >= 0, x[lead], last[k] if last else 0) for k, x in ((2, doc), (3, sub), (4, lo))]
         again = ~first & ~known & ((doc != at[0]) | (sub != at[1]) | (lo != at[2]))
-        yield _rows(none.repeat((m := known | again).sum()), none.repeat(m.sum()), doc[m], sub[m], lo[m], np.where(known, n, -1 - n)[m])
+        zero = none.repeat((m := known | again).sum())
+        yield _rows(zero, zero, doc[m], sub[m], lo[m], np.where(known, n, -1 - n)[m], zero)
         rows = np.flatnonzero(first & ~known)
-        tops = [x[rows] for x in (key, ctx, doc, sub, lo, n)]
+        tops = [x[rows] for x in (key, ctx, doc, sub, lo, n, pick)]
         if held is not None:
             tops = [np.concatenate((np.array([h], x.dtype), x)) for h, x in zip(held, tops, strict=True)]
         k = tops[0]
@@ -171,9 +189,28 @@ def _sorted_round(ranked: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc orders the documents (a null id first); sub tells rows of one id apart by their text."""
+    """(doc, sub, text): doc orders the documents (a null id first); sub tells rows of one id apart by their text.
+
+    Where ids are unique, sub is 0, so that it takes no room in shuffles.
+    """
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.crc32(whole).alias("sub"), "doc_id", whole.alias("text"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    unique = docs.select(doc.alias("doc")).groupBy("doc").count().filter("count > 1").isEmpty()
+    return docs.select(doc.alias("doc"), (F.lit(0).cast("long") if unique else F.crc32(whole)).alias("sub"), whole.alias("text"))
+
+
+def _stretches(data: np.ndarray, unit: dict, length: int) -> tuple[np.ndarray, ...]:
+    """(key, ctx, lo, n) of the stretches of a unit; they are laid out from the pick, so equal strings lie in equal ones."""
+    off = np.arange(unit["at"], unit["at"] - unit["n"] - 1, -1)  # pick less position, of every position
+    lo = unit["lo"] + np.flatnonzero(np.concatenate(([True], off[1:] // STRETCH != off[:-1] // STRETCH)))
+    hi = np.append(lo[1:], unit["lo"] + unit["n"] + 1) - 1
+    grid = (unit["lo"] + unit["at"] - lo) // STRETCH
+    begin = max(0, unit["lo"])
+    names = Names(data[begin : unit["lo"] + unit["n"] + length], _BASES[0])
+    core = unit["lo"] + unit["at"] - grid * STRETCH - begin
+    key = _mix(names.of(core, core + length - STRETCH + 1) ^ _mix(grid.astype(_U) + _U(7)))
+    whole = names.of(lo - begin, hi - begin + length)
+    return key, _mix(whole ^ _mix((lo - begin - core + 64).astype(_U))), lo, hi - lo
 
 
 def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -185,34 +222,37 @@ def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             doc, sub = (b.column(k).to_numpy() for k in (0, 1))
             found = [*units(data, ends, length, gram)]
             if found:
-                own, lo, n, key, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield _settle_here(key, ctx, doc[own], sub[own], lo - starts[own], n)
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, sub, text, todo in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                lo = np.concatenate([np.arange(x["lo"], x["lo"] + x["n"] + 1) for x in todo])
-                for at in range(0, len(data), BLOCK):
-                    here = np.sort(lo[(lo >= at) & (lo < at + BLOCK)])
-                    if len(here):
-                        part = data[at : at + BLOCK + length]
-                        one, two = (Names(part, base).of(here - at, here - at + length) for base in _BASES)
-                        out.append((one, two, np.full(len(here), doc), np.full(len(here), sub), here))
-            if out:
-                key, ctx, doc, sub, lo = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield _settle_here(key, ctx, doc, sub, lo, np.zeros(len(lo), np.int64))
-
-    whole = _sorted_round(keyed.select("doc", "sub", "text").mapInArrow(named, _UNITS))
-    per_text = whole.groupBy("doc", "sub").agg(
-        F.filter(F.collect_list(F.struct("lo", "n")), lambda x: x["n"] < 0).alias("settled"),
-        F.filter(F.collect_list(F.struct("lo", "n")), lambda x: x["n"] >= 0).alias("todo"),
-    )
-    per_text = checkpointed(per_text)
-    open_ = per_text.filter("size(todo) > 0").select("doc", "sub", "todo")
-    single = _sorted_round(keyed.select("doc", "sub", "text").join(open_, ["doc", "sub"]).mapInArrow(apart, _UNITS))
-    settled = per_text.select("doc", "sub", F.inline("settled")).union(single.filter("n < 0").select("doc", "sub", "lo", "n"))
+                own, lo, n, pick, key, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield _settle_here(key, ctx, doc[own], sub[own], lo - starts[own], n, pick)
+
+    def apart(single: bool):
+        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                data, starts, ends = _texts(b.column(2))
+                for doc, sub, i, j, todo in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), starts, ends, b.column(3).to_pylist(), strict=True):
+                    for x in todo:
+                        if single:
+                            lo = np.arange(x["lo"], x["lo"] + x["n"] + 1)
+                            one, two = (Names(data[i + lo[0] : i + lo[-1] + length], base).of(lo - lo[0], lo - lo[0] + length) for base in _BASES)
+                            found = one, two, lo, np.zeros(len(lo), np.int64)
+                        else:
+                            found = _stretches(data[i:j], x, length)
+                        out.append((*found, np.full(len(found[0]), doc), np.full(len(found[0]), sub)))
+                if out:
+                    key, ctx, lo, n, doc, sub = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield _settle_here(key, ctx, doc, sub, lo, n, np.zeros(len(lo), np.int64))
+
+        return take
+
+    def next_round(before: DataFrame, single: bool) -> DataFrame:
+        todo = before.filter("n >= 0").groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "n", "at")).alias("todo"))
+        return _sorted_round(keyed.join(todo, ["doc", "sub"]).mapInArrow(apart(single), _UNITS))
+
+    by_unit = written(_sorted_round(keyed.mapInArrow(named, _UNITS)).select("doc", "sub", "lo", "n", "at"))
+    by_stretch = next_round(by_unit, False)
+    by_position = next_round(by_stretch, True)
+    settled = reduce(DataFrame.union, [x.filter("n < 0").select("doc", "sub", "lo", "n") for x in (by_unit, by_stretch, by_position)])
     return settled.select("doc", "sub", "lo", (-1 - F.col("n")).alias("n"))
 
 
@@ -244,7 +284,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     keyed = _keyed(docs)
     runs = repeats(keyed, length, gram).groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
-    done = keyed.join(runs, ["doc", "sub"], "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut("text", "runs").alias("c"))
+    doc_id = F.when(F.col("doc") != _NO_ID, F.col("doc")).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id")
+    done = keyed.join(runs, ["doc", "sub"], "left").select(doc_id, F.octet_length("text").cast("long").alias("n_bytes"), cut("text", "runs").alias("c"))
     return done.select("doc_id", "n_bytes", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("kept_sha256"), "c.kept")
 
 
