@@ -18,9 +18,9 @@ def header_comments(lines: DataFrame, key: str, line: str, order: str) -> DataFr
     Blank lines, `comments:` markers and lines of one word are left out.
     """
     clean = F.trim(F.translate(line, "\t", " "))
-    parts = lines.filter(F.trim(line).startswith("#")).select(key, order, F.trim(F.regexp_replace(clean, "^#+", "")).alias("c")).filter("c <> '' and lower(c) not like 'comments:%'")
-    kv = parts.select(key, order, F.regexp_extract("c", r"^(\S+)\s+(.*)$", 1).alias("k"), F.trim(F.regexp_extract("c", r"^(\S+)\s+(.*)$", 2)).alias("v")).filter("k <> '' and v <> ''")
-    return kv.groupBy(key, "k").agg(F.max_by("v", order).alias("v")).groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("comments"))
+    parts = lines.filter(F.trim(line).startswith("#")).select(key, order, F.trim(F.regexp_replace(clean, "^#+", "")).alias("_text")).filter("_text <> '' and lower(_text) not like 'comments:%'")
+    kv = parts.select(key, order, F.regexp_extract("_text", r"^(\S+)\s+(.*)$", 1).alias("_k"), F.trim(F.regexp_extract("_text", r"^(\S+)\s+(.*)$", 2)).alias("_v")).filter("_k <> '' and _v <> ''")
+    return kv.groupBy(key, "_k").agg(F.max_by("_v", order).alias("_v")).groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_v")))).alias("comments"))
 
 
 def header_files(spark: SparkSession, pattern: str) -> DataFrame:
