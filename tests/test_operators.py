@@ -301,6 +301,23 @@ def test_runs_and_sinks(spark, tmp_path):
     assert sinks.publication({"x": s, "y": s}).columns == ["experiment", "model", "record_mcc_mean"]
 
 
+def test_picks_and_checked_tables(spark, tmp_path):
+    rec = spark.createDataFrame([("t_2", 0), ("p_9", 1), ("p_3", 1)], "record string, label int")
+    assert tables.pick_record(rec).first()["record"] == "p_3" and tables.pick_record(rec.filter("label = 0")).first()["record"] == "t_2"
+    assert tables.pick_record(rec, "p_9").count() == 1
+    seg = spark.createDataFrame([("ch1", 0, 1.0)], "channel string, segment_id int, x double")
+    assert tables.pick_segment(seg, "ch1", 0).count() == 1
+    for bad in (lambda: tables.pick_record(rec, "x"), lambda: tables.pick_segment(seg, "ch1", 4), lambda: tables.pick_segment(seg, "ch9", 0)):
+        with pytest.raises(ValueError):
+            bad()
+    spark.createDataFrame([("Naive Bayes", 0.5)], "model string, record_mcc_mean double").write.parquet(str(tmp_path / "s"))
+    assert tables.summary_table(spark, str(tmp_path / "s")).first()["model"] == "NB"
+    with pytest.raises(ValueError):
+        tables.prediction_table(spark, str(tmp_path / "s"))
+    checked = {r["check"]: r["ok"] for r in A.problems(rec, 4).collect()}
+    assert checked == {"row_count": False, "one_label_per_record": True, "labels_known": True}
+
+
 def test_failed_check_raises(spark):
     ok = R.checks({"same": (spark.sql("select 1L"), spark.sql("select 1L"))})
     assert R.required(ok).first()["ok"]

@@ -120,3 +120,33 @@ def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.element_at(F.array(F.lit("RF"), F.lit("NB"), F.lit("LR")), (F.col("vec_id") % 3 + 1).cast("int"))
     fold = (F.col("vec_id") % 13 % 5).cast("int")
     return e.select(model.alias("model"), (F.floor(F.col("vec_id") / 3) % 2).cast("int").alias("repeat"), fold.alias("fold"), record.alias("record"), label.alias("label"), (F.floor(F.col("embedding")[0].cast("double") * 20 + label) / 20).alias("score"))
+
+
+def pick_record(recordings: DataFrame, name: str | None = None) -> DataFrame:
+    """The named recording; without a name the first preterm one, or else the first. An unknown name raises."""
+    if name is None:
+        return recordings.orderBy(F.desc(F.col("label") == 1), "record").limit(1)
+    found = recordings.filter(F.col("record") == name)
+    if found.isEmpty():
+        raise ValueError(f"no recording {name!r}")
+    return found
+
+
+def pick_segment(samples: DataFrame, channel: str, segment_id: int) -> DataFrame:
+    """Samples of one channel and segment; one that isn't there raises."""
+    found = samples.filter((F.col("channel") == channel) & (F.col("segment_id") == segment_id))
+    if found.isEmpty():
+        raise ValueError(f"no segment {segment_id} of channel {channel!r}")
+    return found
+
+
+def summary_table(spark: SparkSession, path: str) -> DataFrame:
+    """A summary with short model names and their rank; an unknown model raises."""
+    from undula.operators.assemble import normalised_models
+
+    return normalised_models(required(feature_table(spark, path), ["model"]))
+
+
+def prediction_table(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions with the columns that reports need; a missing one raises."""
+    return required(feature_table(spark, path), ["model", "repeat", "record", "label", "score", "prediction"])

@@ -1 +1 @@
-
+"""Features of recordings that are still being written."""
