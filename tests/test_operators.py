@@ -259,7 +259,7 @@ def test_permuting_a_constant_family_changes_nothing(spark, sf):
 
 @pytest.mark.parametrize("name", ["Logistic Regression", "SVM", "Decision Tree", "Random Forest", "Gradient Boosting", "MLP", "boosted-deep"])
 def test_presets_exist(spark, name):
-    assert M.presets(3, 100, 5)[name] is not None
+    assert M.presets(3, 100, trees=5)[name] is not None
 
 
 def test_single_class_scores_zero(spark):

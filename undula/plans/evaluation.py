@@ -19,7 +19,7 @@ from undula.sources import tables as S
 QUERIES, SQL = {}, {}
 BY = ["model", "repeat"]
 FEATURES = ["f1", "f2", "f3"]
-REPEATS, SMALL_TREES = 2, 10
+REPEATS, SMALL_TREES, SMALL_ROUNDS = 2, 10, 5
 
 ML = """ml AS (SELECT vec_id AS segment_id, (CASE WHEN label % 2 = 1 THEN 'p' ELSE 't' END) || '_' || (vec_id % 13) AS record, CAST(label % 2 AS INTEGER) AS label,
  embedding[1]::DOUBLE AS f1, embedding[2]::DOUBLE AS f2, embedding[3]::DOUBLE AS f3 FROM embeddings)"""
@@ -249,6 +249,19 @@ def imp_joint_permutation(spark, d):
     return I.permuted(rows, ["f1", "f2"], ["fold"], "segment_id", "0:pair").select("segment_id", "fold", "f1", "f2", "f3")
 
 
+@query(f"WITH {ML}, p AS (SELECT record, count(DISTINCT label) AS n FROM ml GROUP BY record) SELECT 'row_count' AS \"check\", true AS ok UNION ALL SELECT 'one_label_per_record', max(n) <= 1 FROM p UNION ALL SELECT 'labels_known', count(*) FILTER (label NOT IN (0, 1)) = 0 FROM ml")
+def asm_checks(spark, d):
+    return A.problems(S.ml_features(spark, d, 3))
+
+
+@query(f"WITH {ML} SELECT segment_id, record, 'ehg1_LOG' AS feature, f1 AS value, 'Temporal energy features' AS family FROM ml UNION ALL SELECT segment_id, record, 'ehg1_SE', f2, 'Entropy features' FROM ml UNION ALL SELECT segment_id, record, 'ehg2_PEAK_RATE', f3, 'Burst and peak features' FROM ml")
+def asm_tall_families(spark, d):
+    wide = S.ml_features(spark, d, 3).select("segment_id", "record", F.col("f1").alias("ehg1_LOG"), F.col("f2").alias("ehg1_SE"), F.col("f3").alias("ehg2_PEAK_RATE"))
+    names = [c for c in A.feature_columns(wide) if c != "segment_id"]
+    family = F.create_map(*[F.lit(x) for g, cols in A.families(names).items() for c in cols for x in (c, g)])
+    return A.tall(wide, ["segment_id", "record"], names).withColumn("family", family[F.col("feature")])
+
+
 @query()
 def imp_grouped_nb(spark, d):
     """Grouped permutation importance with naive Bayes as the model; its parameters are fitted on training rows only."""
@@ -358,6 +371,26 @@ def model_forest_oof(spark, d):
     return r6(model_oof(spark, d, "Random Forest"))
 
 
+@query()
+def model_svm_oof(spark, d):
+    return r6(model_oof(spark, d, "SVM"))
+
+
+@query()
+def model_tree_oof(spark, d):
+    return r6(model_oof(spark, d, "Decision Tree"))
+
+
+@query()
+def model_boosting_oof(spark, d):
+    return r6(model_oof(spark, d, "Gradient Boosting"))
+
+
+@query()
+def model_perceptron_oof(spark, d):
+    return r6(model_oof(spark, d, "MLP"))
+
+
 @query()
 def model_qda_oof(spark, d):
     s = M.quadratic_discriminant(P.standardised(split_rows(spark, d), FEATURES), FEATURES)
@@ -367,5 +400,5 @@ def model_qda_oof(spark, d):
 def model_oof(spark, d, name: str) -> DataFrame:
     """Out-of-fold record scores of an MLlib model over one repeat (each fold is a job of its own)."""
     rows = P.standardised(split_rows(spark, d).filter("repeat = 0"), FEATURES)
-    s = M.fitted(rows, FEATURES, name, trees=SMALL_TREES)
+    s = M.fitted(rows, FEATURES, name, trees=SMALL_TREES, rounds=SMALL_ROUNDS, hidden=(8,))
     return E.record_scores(s.filter("not train"), ["repeat", "fold"])

@@ -102,6 +102,13 @@ def emd_component_acf_psd(spark, d):
     return r6(W.autocorrelation(parts, [*KEYS, "component"], LAGS))
 
 
+@query()
+def emd_component_psd(spark, d):
+    """Spectrum up to 3 Hz of every mode and the residual of windows of 128 samples."""
+    parts = D.components(D.decomposition(price_windows(spark, d), KEYS), KEYS)
+    return r6(W.welch(parts, [*KEYS, "component"], 20.0, 64).filter("freq <= 3"))
+
+
 @query()
 def emd_recording(spark, d):
     """Whole-recording decomposition of one channel with interval flags: per sample its value, first mode and flags."""
