@@ -199,18 +199,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc.alias("doc"), (F.lit(0).cast("long") if unique else F.crc32(whole)).alias("sub"), whole.alias("text"))
 
 
-def _stretches(data: np.ndarray, unit: dict, length: int) -> tuple[np.ndarray, ...]:
-    """(key, ctx, lo, n) of the stretches of a unit; they are laid out from the pick, so equal strings lie in equal ones."""
-    off = np.arange(unit["at"], unit["at"] - unit["n"] - 1, -1)  # pick less position, of every position
-    lo = unit["lo"] + np.flatnonzero(np.concatenate(([True], off[1:] // STRETCH != off[:-1] // STRETCH)))
-    hi = np.append(lo[1:], unit["lo"] + unit["n"] + 1) - 1
-    grid = (unit["lo"] + unit["at"] - lo) // STRETCH
-    begin = max(0, unit["lo"])
-    names = Names(data[begin : unit["lo"] + unit["n"] + length], _BASES[0])
-    core = unit["lo"] + unit["at"] - grid * STRETCH - begin
-    key = _mix(names.of(core, core + length - STRETCH + 1) ^ _mix(grid.astype(_U) + _U(7)))
-    whole = names.of(lo - begin, hi - begin + length)
-    return key, _mix(whole ^ _mix((lo - begin - core + 64).astype(_U))), lo, hi - lo
+def _apart(data: np.ndarray, start: np.ndarray, n: np.ndarray, pick: np.ndarray, length: int, single: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(unit, positions from its start, positions less one, key, ctx) of the positions, or the stretches, of units in `data`.
+
+    Units begin at `start` (ascending) and have n + 1 positions. Stretches are laid out from the pick, so that equal strings
+    lie in equal ones.
+    """
+    for at in range(0, len(data), BLOCK):
+        i, j = np.searchsorted(start, (at, at + BLOCK))
+        if i == j:
+            continue
+        count = n[i:j] + 1
+        part = data[at : at + BLOCK + int(count.max()) + length]
+        unit = np.repeat(np.arange(j - i), count)
+        step = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
+        pos = (start[i:j] - at)[unit] + step
+        names = Names(part, _BASES[0])
+        if single:
+            yield unit + i, step, np.zeros(len(step), np.int64), names.of(pos, pos + length), Names(part, _BASES[1]).of(pos, pos + length)
+            continue
+        off = pick[i:j][unit] - step  # pick less position
+        grid = off // STRETCH
+        first = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]) | (grid[1:] != grid[:-1]))))
+        last = np.append(first[1:], len(unit)) - 1
+        core = (pos + off - grid * STRETCH)[first]
+        key = _mix(names.of(core, core + length - STRETCH + 1) ^ _mix(grid[first].astype(_U) + _U(7)))
+        ctx = _mix(names.of(pos[first], pos[last] + length) ^ _mix((pos[first] - core + 64).astype(_U)))
+        yield unit[first] + i, step[first], last - first, key, ctx
 
 
 def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -228,20 +243,17 @@ def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     def apart(single: bool):
         def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = []
-                data, starts, ends = _texts(b.column(2))
-                for doc, sub, i, j, todo in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), starts, ends, b.column(3).to_pylist(), strict=True):
-                    for x in todo:
-                        if single:
-                            lo = np.arange(x["lo"], x["lo"] + x["n"] + 1)
-                            one, two = (Names(data[i + lo[0] : i + lo[-1] + length], base).of(lo - lo[0], lo - lo[0] + length) for base in _BASES)
-                            found = one, two, lo, np.zeros(len(lo), np.int64)
-                        else:
-                            found = _stretches(data[i:j], x, length)
-                        out.append((*found, np.full(len(found[0]), doc), np.full(len(found[0]), sub)))
-                if out:
-                    key, ctx, lo, n, doc, sub = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield _settle_here(key, ctx, doc, sub, lo, n, np.zeros(len(lo), np.int64))
+                data, starts, _ = _texts(b.column(2))
+                doc, sub = (b.column(k).to_numpy() for k in (0, 1))
+                todo = b.column(3)
+                row = np.repeat(np.arange(b.num_rows), todo.value_lengths().to_numpy(zero_copy_only=False))
+                lo, n, pick = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in todo.flatten().flatten())
+                by = np.argsort(starts[row] + lo, kind="stable")
+                row, lo, n, pick = row[by], lo[by], n[by], pick[by]
+                found = [*_apart(data, starts[row] + lo, n, pick, length, single)]
+                if found:
+                    unit, step, more, key, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield _settle_here(key, ctx, doc[row[unit]], sub[row[unit]], lo[unit] + step, more, np.zeros(len(unit), np.int64))
 
         return take
 
