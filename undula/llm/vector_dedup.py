@@ -2,10 +2,11 @@
 
 Vectors are normalised, so a cosine of `limit` is a distance of `radius` = sqrt(2 - 2 limit). Every vector has one home list,
 that of its nearest coarse centroid, where its residual is kept as sub-space codes with the length of what the codes lose.
-It probes the list of every centroid whose bisecting plane with its own is within the radius: a vector in any other list is
-further away than that, so the probes are sufficient. In a list, table lookups give the distances of a probe to the coded
+It probes the list of every centroid whose bisecting plane with its own is within half the radius. Two vectors within the
+radius of each other whose homes differ lie on either side of their homes' plane, so one of them is within half the radius
+of it and probes the other's list: the probes are sufficient. In a list, table lookups give the distances of a probe to the coded
 vectors; one that exceeds the radius by more than the code's loss can't be a link (triangle inequality). What is left is
-compared exactly. Nothing is lost on the way, so recall is 1 but for rounding.
+compared exactly, and a pair that meets in both lists counts in the smaller one. Nothing is lost on the way, so recall is 1 but for rounding.
 """
 
 from __future__ import annotations
@@ -111,14 +112,15 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _compare(index: Index, limit: float, radius: float):
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links of the probes to the vectors at home: per probe their weight, and a tree that connects what they link."""
-        at_home = rows["home"].to_numpy()
+        """Links of the probes to the vectors at home: weights of both sides' links, and a tree that connects what links."""
+        at_home, cell = rows["home"].to_numpy(), int(key[1])
         homes, probes = rows[at_home], rows[~at_home]
         none = pd.DataFrame({"rep": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if not len(homes) or not len(probes):
             return none
-        y, center = _unit(homes["e"]), index.centroids[int(key[1])]
-        ids, probe_ids, weight = homes["rep"].to_numpy(np.int64), probes["rep"].to_numpy(np.int64), homes["w"].to_numpy(np.int64)
+        y, center = _unit(homes["e"]), index.centroids[cell]
+        ids, probe_ids = homes["rep"].to_numpy(np.int64), probes["rep"].to_numpy(np.int64)
+        weight, probe_weight, own = homes["w"].to_numpy(np.int64), probes["w"].to_numpy(np.int64), probes["own"].to_numpy(np.int64)
         codes, lost = index.encode(y - center)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(0, len(probes), 512):
@@ -131,12 +133,21 @@ def _compare(index: Index, limit: float, radius: float):
             link &= probe_ids[k + i] != ids[j]
             found.append((k + i[link], j[link]))
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        cross = own[i] != cell
+        if cross.any():  # whether the vector at home probes the other's list too
+            lists = homes["lists"].to_numpy()
+            known = np.unique(np.concatenate([a * np.int64(1 << 32) + np.asarray(lists[a], np.int64) for a in np.unique(j[cross])]))
+            asked = j * np.int64(1 << 32) + own[i]
+            at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            keep = ~cross | (known[at] != asked) | (cell < own[i])
+            i, j, cross = i[keep], j[keep], cross[keep]
         if not len(i):
             return none
         nodes, place = np.unique(np.concatenate((probe_ids[i], ids[j])), return_inverse=True)
         root = nodes[_roots(place[: len(i)], place[len(i) :], len(nodes))]
         n = np.zeros(len(nodes), np.int64)
         np.add.at(n, place[: len(i)], weight[j])
+        np.add.at(n, place[len(i) :][cross], probe_weight[i[cross]])
         return pd.DataFrame({"rep": nodes, "n": n, "root": root})
 
     return compare
@@ -152,7 +163,8 @@ def linked(vectors: DataFrame, limit: float = LIMIT, fit_rows: int = FIT_ROWS) -
     returns counts and a tree over what it links, never all pairs. An empty table gives no rows.
     """
     radius = float(np.sqrt(2 - 2 * limit))
-    rows = vectors.select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast("array<double>").alias("e"))
+    number = kind if (kind := dict(vectors.dtypes)["embedding"]) in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast(number).alias("e"))
     sound = F.size("e").__gt__(0) & ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("e", lambda v: v != 0)
     fine = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull() & sound)
     reps = fine.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
@@ -170,18 +182,20 @@ def linked(vectors: DataFrame, limit: float = LIMIT, fit_rows: int = FIT_ROWS) -
                 part = b.iloc[k : k + 2048]
                 x = _unit(part["e"])
                 home = index.home(x)
-                at, lists = index.probes(x, home, radius)
-                both = pd.concat((part.assign(cell=home, home=True), part.iloc[at].assign(cell=lists, home=False)))
-                yield both[["label", "cell", "home", "rep", "w", "e"]]
+                at, lists = index.probes(x, home, radius / 2)
+                per = np.split(lists, np.cumsum(np.bincount(at, minlength=len(part)))[:-1])
+                kept = part.assign(cell=home, home=True, own=home, lists=pd.Series([v.tolist() for v in per], index=part.index))
+                both = pd.concat((kept, part.iloc[at].assign(cell=lists, home=False, own=home[at], lists=None)))
+                yield both[["label", "cell", "home", "own", "lists", "rep", "w", "e"]]
 
     kind = dict(rows.dtypes)["label"]
-    cells = reps.filter(F.size("e") == d).mapInPandas(placed, f"label {kind}, cell int, home boolean, rep long, w long, e array<double>")
+    cells = reps.filter(F.size("e") == d).mapInPandas(placed, f"label {kind}, cell int, home boolean, own int, lists array<int>, rep long, w long, e {number}")
     large = cells.groupBy("label", "cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("p")).filter(f"h > {BLOCK} or p > {BLOCK}")
     split = cells.join(large, ["label", "cell"], "left").withColumns({k: F.coalesce(F.ceil(F.col(k) / BLOCK), F.lit(1)).cast("int") for k in ("h", "p")})
     own = F.xxhash64("rep")
     i = F.when(F.col("home"), F.array(F.pmod(own, "h").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("h") - 1))
     j = F.when(F.col("home"), F.sequence(F.lit(0), F.col("p") - 1)).otherwise(F.array(F.pmod(own, "p").cast("int")))
-    dealt = split.withColumn("i", F.explode(i)).withColumn("j", F.explode(j)).select("label", "cell", "i", "j", "home", "rep", "w", "e")
+    dealt = split.withColumn("i", F.explode(i)).withColumn("j", F.explode(j)).select("label", "cell", "i", "j", "home", "own", "lists", "rep", "w", "e")
     met = checkpointed(dealt.groupBy("label", "cell", "i", "j").applyInPandas(_compare(index, limit, radius), "rep long, n long, root long"))
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(met.filter("rep <> root"), "rep", "root")
