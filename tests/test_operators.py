@@ -184,7 +184,7 @@ def test_consensus_guards(spark):
 
 
 def test_labels_and_names(spark):
-    names = spark.createDataFrame([("tpehgt_p001",), ("x_T1",), ("x_n",), ("solo",)], "record string")
+    names = spark.createDataFrame([("rec_p001",), ("x_T1",), ("x_n",), ("solo",)], "record string")
     assert [r[0] for r in names.select(C.parse_label()).collect()] == [1, 0, -1, -1]
     with pytest.raises(PySparkException):
         P.record_labels(spark.createDataFrame([("a", 0), ("a", 1)], "record string, label int")).collect()
@@ -192,8 +192,8 @@ def test_labels_and_names(spark):
         A.normalised_models(spark.createDataFrame([("XYZ",)], "model string")).collect()
     assert A.normalised_models(spark.createDataFrame([("Random Forest",)], "model string")).first()["model"] == "RF"
     with pytest.raises(ValueError):
-        A.families(["ehg1_UNKNOWN"])
-    assert A.families(["ehg1_LOG"])["Temporal energy features"] == ["ehg1_LOG"]
+        A.families(["ch1_UNKNOWN"])
+    assert A.families(["ch1_LOG"])["Temporal energy features"] == ["ch1_LOG"]
     with pytest.raises(ValueError):
         tables.key_column(spark.range(1))
     with pytest.raises(ValueError):

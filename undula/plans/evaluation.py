@@ -254,9 +254,9 @@ def asm_checks(spark, d):
     return A.problems(S.ml_features(spark, d, 3))
 
 
-@query(f"WITH {ML} SELECT segment_id, record, 'ehg1_LOG' AS feature, f1 AS value, 'Temporal energy features' AS family FROM ml UNION ALL SELECT segment_id, record, 'ehg1_SE', f2, 'Entropy features' FROM ml UNION ALL SELECT segment_id, record, 'ehg2_PEAK_RATE', f3, 'Burst and peak features' FROM ml")
+@query(f"WITH {ML} SELECT segment_id, record, 'ch1_LOG' AS feature, f1 AS value, 'Temporal energy features' AS family FROM ml UNION ALL SELECT segment_id, record, 'ch1_SE', f2, 'Entropy features' FROM ml UNION ALL SELECT segment_id, record, 'ch2_PEAK_RATE', f3, 'Burst and peak features' FROM ml")
 def asm_tall_families(spark, d):
-    wide = S.ml_features(spark, d, 3).select("segment_id", "record", F.col("f1").alias("ehg1_LOG"), F.col("f2").alias("ehg1_SE"), F.col("f3").alias("ehg2_PEAK_RATE"))
+    wide = S.ml_features(spark, d, 3).select("segment_id", "record", F.col("f1").alias("ch1_LOG"), F.col("f2").alias("ch1_SE"), F.col("f3").alias("ch2_PEAK_RATE"))
     names = [c for c in A.feature_columns(wide) if c != "segment_id"]
     family = F.create_map(*[F.lit(x) for g, cols in A.families(names).items() for c in cols for x in (c, g)])
     return A.tall(wide, ["segment_id", "record"], names).withColumn("family", family[F.col("feature")])
