@@ -114,7 +114,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: f
     own = checkpointed(docs.select("doc_id", measured(F.col("text").cast("string")).alias("x")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
     known = labelled(labels, "quality", F.crc32(F.col("doc_id").cast("string")) % 4 != 2, fit_rows)
-    rows = checkpointed(own.join(F.broadcast(known), "doc_id").select("x", "label", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part")).coalesce(16))
+    rows = checkpointed(own.join(F.broadcast(known), "doc_id").select("x", "label", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part")).repartition(16))
     if rows.filter("part > 0").isEmpty():
         return own.select("doc_id", held_out.alias("held_out"), F.lit(0.5).alias("score"), F.lit(int(keep <= 0.5)).alias("predicted"))
     lift, weights, at, value = fit(rows)
