@@ -84,8 +84,8 @@ def fit(known: DataFrame, count: int = TERMS) -> tuple[np.ndarray, float, np.nda
             held = [np.flatnonzero(r) for r in x]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), b.column(1).cast(pa.float64())], ["at", "label"])
 
-    sparse = checkpointed(known.select("text", "label").mapInArrow(vectors, "at array<int>, label double").coalesce(6))
     size = len(chosen)
+    sparse = known.select("text", "label").mapInArrow(vectors, "at array<int>, label double").repartition(6)
     as_vector = F.udf(lambda at: SparseVector(size, at, [1.0] * len(at)), VectorUDT())
     rows = checkpointed(sparse.select(as_vector("at").alias("features"), "label"))
     model = FMClassifier(factorSize=FACTORS, maxIter=ROUNDS, stepSize=STEP, regParam=REGULAR, initStd=0.05, seed=1).fit(rows)
