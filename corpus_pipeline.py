@@ -7,11 +7,16 @@ null, and an empty table runs through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontaminate, packing, pii, quality, simhash
-from undula.llm.shared import table, written
+from undula.llm import decontaminate, packing, pii, quality, shingles
+from undula.llm.shared import checkpointed, table, written
+
+
+def row_key() -> Column:
+    """A row's own key: its id and its text."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +27,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every SimHash group the document with the smallest id; rows without an id stay, repeated rows of an id stay one."""
-    groups = simhash.near_duplicates(docs)
-    others = groups.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+    """Of documents connected by links of 0.8 or more of their 5-word shingles, the one with the smallest id.
+
+    Every row is judged on its text: one without an id goes if another of its group has one, and of rows with one id only
+    those that link are alike.
+    """
+    keyed = docs.withColumn("_key", row_key())
+    own = shingles.groups(keyed.select(F.col("_key").alias("key"), "text")).select("key", "root")
+    named = checkpointed(own.join(keyed.select(F.col("_key").alias("key"), "doc_id").distinct(), "key"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("first"))
+    others = named.join(first, "root").filter("key <> first").select(F.col("key").alias("_key")).distinct()
+    kept = keyed.join(others, "_key", "left_anti")
+    if not named.groupBy("key").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_key"])
+    return kept.select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
