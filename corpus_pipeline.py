@@ -1,8 +1,8 @@
 """Training-corpus pipeline over `documents`: quality, near-duplicates, benchmark leaks, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns
-of `docs`; the last returns pieces of packed sequences. Null texts count as empty, null ids are never dropped for being
-null, and an empty table runs through.
+of `docs`; the last returns pieces of packed sequences. Null texts count as empty, a row with a null id
+is judged on its text like any other, and an empty table runs through.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ def row_key() -> Column:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; rows of one id and different texts are judged together (mean)."""
-    scores = quality.scored(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.avg("score").alias("_score"))
-    rejected = scores.filter(F.col("doc_id").isNotNull() & (F.col("_score") < quality.KEEP)).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the quality classifier doesn't reject, each row by its own text; all where no model can be fitted."""
+    keyed = docs.withColumn("_key", row_key())
+    scores = quality.scored(keyed, table(spark, sf_dir, "labels"), carry=("_key",), unfitted=1.0)
+    rejected = scores.filter(F.col("score") < quality.KEEP).select("_key").distinct()
+    return keyed.join(rejected, "_key", "left_anti").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is covered."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no benchmark item is covered, each row by its own text."""
+    keyed = docs.withColumn("_key", row_key())
+    rows = keyed.select(F.col("_key").alias("doc_id"), "text")
+    leaks = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(leaks, "_key", "left_anti").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

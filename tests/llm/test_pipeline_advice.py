@@ -44,3 +44,16 @@ def test_minima_of_a_long_text(monkeypatch):
     want = shingles.minima(own)
     monkeypatch.setattr(shingles, "_BLOCK", 64)
     assert (shingles.minima(own) == want).all() and len(own) == 696
+
+
+def test_rows_are_judged_one_by_one(spark, sf, tmp_path):
+    item = " ".join(f"item{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = ["one quiet river ran through the old town today", "a second unrelated text on tables and chairs"]
+    rows = [(None, f"so {item} it is"), (4, item), (4, clean[0]), (None, clean[1]), (5, clean[0]), (4, clean[1])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = lambda name: sorted(((r["doc_id"], r["text"]) for r in STAGE[name](spark, docs, str(tmp_path)).collect()), key=repr)
+    assert kept("quality") == sorted(rows, key=repr)  # no label, no model
+    assert kept("decontamination") == sorted(rows[2:], key=repr)
+    assert kept("near_duplicates") == sorted([rows[1], rows[2], rows[5]], key=repr)  # the first is alike the second (16 of 19 shingles)

@@ -98,25 +98,25 @@ def fit(rows: DataFrame, ridge: float = RIDGE) -> tuple[FourierFeatures, np.ndar
     return lift, weights, model.boundaries.toArray(), model.predictions.toArray()
 
 
-def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: float = KEEP) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of `docs` (doc_id, text; others are ignored).
+def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: float = KEEP, carry: tuple[str, ...] = (), unfitted: float = 0.5) -> DataFrame:
+    """(doc_id, carry, held_out, score, predicted) for every row of `docs` (doc_id, text; others are ignored).
 
     Only ids whose CRC-32 as text leaves a remainder other than 2 by 4 give labels (`labels`: doc_id, quality); nulls are
     left out, of several labels of an id the largest counts. The score is the calibrated ridge score, by a hundredth blended
     with the uncalibrated one so that ties keep their order. Null text counts as empty and is scored like any other; a null
-    id is held out; without a label every score is 0.5. Repeated rows stay; an empty table gives no rows.
+    id is held out; without a label every score is `unfitted`. Repeated rows stay; an empty table gives no rows.
     """
 
     @F.pandas_udf("array<double>")
     def measured(texts: pd.Series) -> pd.Series:
         return texts.map(statistics)
 
-    own = checkpointed(docs.select("doc_id", measured(F.col("text").cast("string")).alias("x")))
+    own = checkpointed(docs.select("doc_id", *carry, measured(F.col("text").cast("string")).alias("x")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
     known = labelled(labels, "quality", F.crc32(F.col("doc_id").cast("string")) % 4 != 2, fit_rows)
     rows = checkpointed(own.join(F.broadcast(known), "doc_id").select("x", "label", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part")).repartition(16))
     if rows.filter("part > 0").isEmpty():
-        return own.select("doc_id", held_out.alias("held_out"), F.lit(0.5).alias("score"), F.lit(int(keep <= 0.5)).alias("predicted"))
+        return own.select("doc_id", *carry, held_out.alias("held_out"), F.lit(unfitted).alias("score"), F.lit(int(keep <= unfitted)).alias("predicted"))
     lift, weights, at, value = fit(rows)
 
     @F.pandas_udf("double")
@@ -124,7 +124,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: f
         raw = lift(_matrix(x)) @ weights
         return pd.Series(np.clip(0.99 * np.interp(raw, at, value) + 0.01 * np.clip((raw + 1) / 3, 0, 1), 0, 1))
 
-    done = own.select("doc_id", held_out.alias("held_out"), score("x").alias("score"))
+    done = own.select("doc_id", *carry, held_out.alias("held_out"), score("x").alias("score"))
     return done.withColumn("predicted", (F.col("score") >= keep).cast("int"))
 
 
