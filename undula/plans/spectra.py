@@ -74,6 +74,17 @@ def sig_regrid(spark, d):
     return r6(W.regridded(curve, grid, ["record"], "t", "x"))
 
 
+@query(f"""WITH {EV}, gr AS (SELECT record, unnest(range(0, 2 * max(n))) * 1.0::DOUBLE + 0.5::DOUBLE AS t FROM ev GROUP BY record),
+ ev2 AS (SELECT record, n::DOUBLE * 2 AS t, x FROM ev)
+ SELECT gr.record, gr.t, round(coalesce(a.x + (b.x - a.x) * (gr.t - a.t) / nullif(b.t - a.t, 0), a.x, b.x), 6) AS x FROM gr ASOF LEFT JOIN ev2 a ON a.record = gr.record AND a.t <= gr.t ASOF LEFT JOIN ev2 b ON b.record = gr.record AND b.t >= gr.t""")
+def sig_regrid_record(spark, d):
+    """Every record whole, at points between its samples up to the last one."""
+    ev = S.event_samples(spark, d)
+    ends = ev.groupBy("record").agg(F.max("n").cast("int").alias("_last")).filter("_last > 0")
+    grid = ends.select("record", F.explode(F.transform(F.sequence(F.lit(0), 2 * F.col("_last") - 1), lambda k: (k + 0.5).cast("double"))).alias("t"))
+    return r6(W.regridded(ev.select("record", (F.col("n") * 2.0).alias("t"), "x"), grid, ["record"], "t", "x"))
+
+
 def price_windows(spark, d) -> DataFrame:
     return G.fixed_slices(S.price_samples(spark, d), 128).select("record", "segment_id", "i", "x")
 
