@@ -1,5 +1,8 @@
 """Spectral queries cover whole records and the first mode."""
 
+import numpy as np
+
+from undula.operators import decompose, spectral
 from undula.plans import spectra
 from undula.sources import tables as S
 
@@ -8,3 +11,24 @@ def test_regridded_records_reach_their_last_sample(spark, sf):
     size = {r["record"]: r["count"] for r in S.event_samples(spark, sf).groupBy("record").count().collect()}
     got = {r["record"]: (r["count"], r["max(t)"]) for r in spectra.sig_regrid_record(spark, sf).groupBy("record").agg({"*": "count", "t": "max"}).withColumnRenamed("count(1)", "count").collect()}
     assert got == {k: (2 * n - 2, 2 * n - 2.5) for k, n in size.items() if n > 1}
+
+
+def test_mode_spectra_are_of_the_first_mode(spark, sf):
+    windows = {}
+    for r in spectra.price_windows(spark, sf).collect():
+        windows.setdefault((r["record"], r["segment_id"]), []).append((r["i"], r["x"]))
+    per = {}
+    for (record, _), x in windows.items():
+        modes, _ = decompose.decompose(np.array([v for _, v in sorted(x)]))
+        if modes:
+            per.setdefault(record, []).append(spectral.welch_values(modes[0], 20.0, 64)[1])
+    want = {k: np.mean(v, 0)[:17] for k, v in per.items()}
+    got = {}
+    for r in spectra.emd_record_psd(spark, sf).orderBy("record", "freq").collect():
+        got.setdefault(r["record"], []).append(r["psd"])
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-6, atol=1e-5) for k in want)
+    for r in spectra.emd_class_psd(spark, sf).collect():
+        k = round(r["freq"] * 64 / 20)
+        for name, label in (("term", 0), ("preterm", 1)):
+            have = [v[k] for key, v in want.items() if int(key) % 2 == label]
+            assert r[name] is None if not have else np.isclose(r[name], np.mean(have), rtol=1e-6, atol=1e-5)

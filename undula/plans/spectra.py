@@ -106,6 +106,23 @@ def emd_mode_features(spark, d):
     return r6(X.all_features(first, KEYS)).select(*KEYS, *FEATURES)
 
 
+def mode_record_psd(spark, d) -> DataFrame:
+    """Record spectra of the first mode of every window of 128 samples; a window without one is left out."""
+    first = D.component(D.decomposition(price_windows(spark, d), KEYS), KEYS, 1)
+    psd = W.welch(first, KEYS, 20.0, 64).withColumns({"channel": F.lit("ch1"), "label": F.col("record").cast("int") % 2})
+    return W.record_spectrum(psd)
+
+
+@query()
+def emd_record_psd(spark, d):
+    return r6(mode_record_psd(spark, d))
+
+
+@query()
+def emd_class_psd(spark, d):
+    return r6(W.class_spectrum(mode_record_psd(spark, d)))
+
+
 @query()
 def emd_component_acf_psd(spark, d):
     """Autocorrelation of every mode and the residual, up to eight lags."""
