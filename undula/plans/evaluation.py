@@ -19,7 +19,7 @@ from undula.sources import tables as S
 QUERIES, SQL = {}, {}
 BY = ["model", "repeat"]
 FEATURES = ["f1", "f2", "f3"]
-REPEATS, SMALL_TREES, SMALL_ROUNDS = 2, 10, 5
+REPEATS = 2
 
 ML = """ml AS (SELECT vec_id AS segment_id, (CASE WHEN label % 2 = 1 THEN 'p' ELSE 't' END) || '_' || (vec_id % 13) AS record, CAST(label % 2 AS INTEGER) AS label,
  embedding[1]::DOUBLE AS f1, embedding[2]::DOUBLE AS f2, embedding[3]::DOUBLE AS f3 FROM embeddings)"""
@@ -391,6 +391,11 @@ def model_perceptron_oof(spark, d):
     return r6(model_oof(spark, d, "MLP"))
 
 
+@query()
+def model_boosted_deep_oof(spark, d):
+    return r6(model_oof(spark, d, "boosted-deep"))
+
+
 @query()
 def model_qda_oof(spark, d):
     s = M.quadratic_discriminant(P.standardised(split_rows(spark, d), FEATURES), FEATURES)
@@ -398,7 +403,7 @@ def model_qda_oof(spark, d):
 
 
 def model_oof(spark, d, name: str) -> DataFrame:
-    """Out-of-fold record scores of an MLlib model over one repeat (each fold is a job of its own)."""
-    rows = P.standardised(split_rows(spark, d).filter("repeat = 0"), FEATURES)
-    s = M.fitted(rows, FEATURES, name, trees=SMALL_TREES, rounds=SMALL_ROUNDS, hidden=(8,))
+    """Out-of-fold record scores of an MLlib model over all repeats (each fold is a job of its own), at the presets' sizes."""
+    rows = P.standardised(split_rows(spark, d), FEATURES)
+    s = M.fitted(rows, FEATURES, name)
     return E.record_scores(s.filter("not train"), ["repeat", "fold"])
