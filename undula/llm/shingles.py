@@ -24,6 +24,8 @@ SHINGLE, BANDS, WIDTH = 5, 32, 5
 ABOVE, BELOW = 4, 5
 #: Minima (their low bytes) that must be equal before whole sets are compared.
 AGREE = 96
+#: Most names of sets that are broadcast, so that other sets aren't shuffled.
+BROADCAST = 1_000_000
 #: Rounds in which a fingerprint's sets are compared with one of them, before all that are still apart are compared.
 STARS = 2
 #: Shingles whose minima are taken at a time.
@@ -107,6 +109,8 @@ def groups(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(sets.select(F.col("own").alias(side), F.col("sketch").alias(f"s{side}")), side)
         pairs = written(pairs.filter(agree("sa", "sb") >= AGREE).select("a", "b"))
         asked = pairs.select(F.col("a").alias("own")).union(pairs.select("b")).distinct()
+        asked = written(asked)
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked
         whole = written(rows.select("own", "hashes").join(asked, "own", "left_semi").groupBy("own").agg(F.first("hashes").alias("hashes")))
         j = pairs.join(whole.select(F.col("own").alias("a"), F.col("hashes").alias("ha")), "a").join(whole.select(F.col("own").alias("b"), F.col("hashes").alias("hb")), "b")
         fine = j.filter(_alike(F.size("ha"), F.size("hb"), F.size(F.array_intersect("ha", "hb")))).select("a", "b")
