@@ -1,4 +1,4 @@
-"""Removing repeated substrings by prefix doubling over Spark sorts.
+"""Removing repeated substrings by anchor (minimizer) matching over Spark sorts, in place of prefix doubling.
 
 Every start of a `length`-byte string is a position. Positions get a rank (here: a name, equal for equal strings) for a
 short length first and are sorted by pairs of ranks at growing lengths; a position drops out as soon as its rank is unique
