@@ -1,9 +1,17 @@
-"""Main text of web pages by tag-path ratios."""
+"""Main text of web pages by tag-path ratios.
+
+A page is read into blocks: text between tags that aren't inline, each at the end of a path of elements from the root. Every
+tag path gets two ratios, text per block and sentence marks per block; both are smoothed over the page's blocks, fused, and
+lowered for every element on the path whose class, id or role says that it is something beside the text. Paths whose fused
+ratio reaches a share of the page's highest are content. The elements that hold the content then give their other blocks
+too (headings, short lines), unless those lie in an element that is marked as an aside.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,15 +20,25 @@ from pyspark.sql import functions as F
 
 from undula.llm.shared import table
 
-# Elements and words that HTML pages use for what isn't main text, and kinds of elements.
+# Elements that never hold main text, words in class names of what isn't main text, and kinds of elements.
 ASIDE_TAGS = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title", "button", "select", "textarea", "iframe", "svg", "dialog", "menu", "object", "canvas", "option", "label", "fieldset"}
 ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "masthead", "comment", "comments", "reply", "replies", "disqus", "cookie", "cookies", "consent", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "widget", "pagination", "pager", "toolbar", "copyright", "disclaimer", "alert"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
+#: Words that make a class name speak of a page's layout or state, as in no-sidebar, has-comments, search-result.
+LAYOUT_WORDS = {"no", "not", "non", "has", "have", "with", "without", "hide", "hides", "hidden", "show", "is", "result", "results"}
 RAW_TAGS = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE_TAGS = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+ITEMS = {"li", "dt", "dd", "tr", "td", "th", "option"}
+HOLDERS = {"article", "main", "section", "div", "body", "html", ""}
+#: Share of the highest fused ratio that a content path has; share of the content that the element around it holds.
+SHARE, HELD = 0.5, 0.9
+#: Fused ratios are multiplied by this for every marked element on the path.
+LOWERED = 0.1
+#: Characters, and sentence marks, of a block at which its ratio is half of what it can be.
+HALF_SIZE, HALF_MARKS = 150.0, 4.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -29,144 +47,171 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：¿¡\"'«»()-]")
+_MARKS = re.compile(r"[.,;:!?…、。，！？；：¿¡\"'«»()-]")
 
 
-def _is_aside(tag: str, attrs: str) -> bool:
-    if tag in ASIDE_TAGS:
-        return True
+def _marked(attrs: str) -> bool:
+    """Whether an element's class, id or role names something beside the main text."""
     for name, *value in _ATTR.findall(attrs) if "=" in attrs else ():
-        words = {w.lower() for w in _WORDS.findall("".join(value))}
-        if words & (ASIDE_ROLES if name.lower() == "role" else ASIDE_WORDS) and tag not in ("html", "body", "main"):
-            return True
+        for token in "".join(value).split():
+            words = {w.lower() for w in _WORDS.findall(token)}
+            if name.lower() == "role":
+                if token.lower() in ASIDE_ROLES:
+                    return True
+            elif words & ASIDE_WORDS and not words & LAYOUT_WORDS:
+                return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], bool]]:
-    """(text, tag path, open elements from the root, heading in an article's header) of every block outside of asides.
+class Page:
+    """Elements and blocks of a page, read once from start to end; unclosed and stray tags do no harm.
 
-    A block is text between tags that aren't inline; the path names the block-level elements around it.
+    Element 0 stands above the root. `parent`, `tag`, `marks` (marked elements from the root), `shut` (whether in an element
+    that never holds main text) and `path` (number of the tag path) are given for each element; blocks are (text, element).
     """
-    out: list[tuple[str, str, tuple[int, ...], bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number of the element, whether in an aside
-    text: list[str] = []
-    number, at = 0, 0
-
-    def flush() -> None:
-        if text:
-            words = " ".join("".join(text).split())
-            text.clear()
-            aside = bool(stack) and stack[-1][2]
-            tags = [t for t, _, _ in stack]
-            title = aside and tags[-1] in HEADINGS and "header" in tags and "article" in tags[: tags.index("header")] and not any(x and t != "header" and t not in HEADINGS for t, _, x in stack)
-            if words and (not aside or title):
-                out.append((words, "/".join(tags), tuple(n for _, n, _ in stack), title))
-
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at and not (stack and stack[-1][2] and stack[-1][0] not in HEADINGS):
-            piece = page[at:end]
-            text.append(html.unescape(piece) if "&" in piece else piece)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if tag in INLINE_TAGS:
-            if m[1] and not (stack and stack[-1][0] == tag) or not m[1] and not _is_aside(tag, m[3]):
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.own_mark, self.shut = [0], [""], [False], [False]
+        self.blocks: list[tuple[str, int]] = []
+        self._read(page)
+        holds_main = [t == "main" for t in self.tag]
+        for e in range(len(self.tag) - 1, 0, -1):
+            holds_main[self.parent[e]] |= holds_main[e]
+        self.marks, self.path, known = [0], [0], {}
+        for e in range(1, len(self.tag)):
+            mark = self.own_mark[e] and not holds_main[e] and self.tag[e] not in ("html", "body")
+            self.marks.append(self.marks[self.parent[e]] + mark)
+            self.path.append(known.setdefault((self.path[self.parent[e]], self.tag[e], mark), len(known) + 1))
+
+    def _read(self, page: str) -> None:
+        parent, tag_of, shut = self.parent, self.tag, self.shut
+        open_count: Counter[str] = Counter()
+        stack, text, at = [0], [], 0
+
+        def flush() -> None:
+            if text:
+                words = " ".join("".join(text).split())
+                text.clear()
+                if words:
+                    self.blocks.append((words, stack[-1]))
+
+        def pop() -> None:
+            open_count[tag_of[stack.pop()]] -= 1
+
+        while at < len(page):
+            m = _TOKEN.search(page, at)
+            end = m.start() if m else len(page)
+            if end > at and not shut[stack[-1]]:
+                piece = page[at:end]
+                text.append(html.unescape(piece) if "&" in piece else piece)
+            if not m:
+                break
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if tag in INLINE_TAGS and (m[1] and tag_of[stack[-1]] != tag or not m[1] and not _marked(m[3])):
                 continue
-        if tag in VOID_TAGS:
             if tag == "br":
                 text.append(" ")
-            else:
-                flush()
-            continue
+                continue
+            flush()
+            if tag in VOID_TAGS:
+                continue
+            if m[1]:
+                while open_count[tag]:
+                    found = tag_of[stack[-1]] == tag
+                    pop()
+                    if found:
+                        break
+                continue
+            if tag == "body":
+                while len(stack) > 1 and tag_of[stack[-1]] != "html":
+                    pop()
+            if tag in CLOSES_P and tag_of[stack[-1]] == "p":
+                pop()
+            if tag in ITEMS:
+                while tag_of[stack[-1]] in (tag, "p"):
+                    pop()
+            if tag in RAW_TAGS:
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = close.end() if close else len(page)
+                continue
+            if m[3].endswith("/>"):
+                continue
+            up = stack[-1]
+            title = tag in HEADINGS and shut[up] and tag_of[up] == "header" and not shut[parent[up]] and self._in_article(up)
+            parent.append(up)
+            tag_of.append(tag)
+            self.own_mark.append(_marked(m[3]))
+            shut.append((shut[up] or tag in ASIDE_TAGS) and not title)
+            stack.append(len(tag_of) - 1)
+            open_count[tag] += 1
         flush()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            continue
-        if tag == "body":
-            stack = [x for x in stack if x[0] == "html"]
-        if tag in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] in (tag, "p"):
-            while stack and stack[-1][0] in (tag, "p"):
-                stack.pop()
-        if tag in RAW_TAGS:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        if m[3].endswith("/>"):
-            continue
-        number += 1
-        stack.append((tag, number, (bool(stack) and stack[-1][2]) or _is_aside(tag, m[3])))
-    flush()
-    return out
-
-
-def path_scores(found: list[tuple[str, str, tuple[int, ...], bool]]) -> np.ndarray:
-    """Fused ratio of every block: per path, text and punctuation per block, each smoothed over neighbours, then multiplied."""
-    paths: dict[str, int] = {}
-    of = np.array([paths.setdefault(p, len(paths)) for _, p, _, _ in found])
-    size = np.array([len(t) for t, *_ in found], float)
-    marks = np.array([len(_PUNCTUATION.findall(t)) for t, *_ in found], float)
-    count = np.bincount(of)
-    kernel = np.array([0.25, 0.5, 0.25])
-    smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid")
-    return np.sqrt(smooth((np.bincount(of, size) / count)[of]) * smooth((1 + np.bincount(of, marks) / count)[of]))
 
+    def _in_article(self, e: int) -> bool:
+        return self.tag[self.parent[e]] in ("article", "main", "section")
 
-def main_text(page: str | None, share: float = 0.4) -> str:
-    """Blocks of the main text, in page order, joined by one space.
 
-    Paths whose fused ratio is at least `share` of the highest (each path by its text-weighted mean) are content. Their
-    <article> or <main>, or else the innermost element around all of them, gives its short blocks as well (headings, one-line
-    paragraphs), so that nothing of the article is dropped for being short.
+def path_scores(page: Page) -> np.ndarray:
+    """Fused ratio of every block's tag path.
+
+    Text and sentence marks per block of a path, each as x / (x + half) so that one huge block doesn't outweigh all others,
+    are smoothed over neighbouring blocks and multiplied; a path's score is the mean over its text, lowered for its marks.
     """
-    found = blocks(page or "")
-    if not found:
-        return ""
-    score = path_scores(found)
-    size = np.array([len(t) for t, *_ in found], float)
-    paths: dict[str, int] = {}
-    of = np.array([paths.setdefault(p, len(paths)) for _, p, _, _ in found])
-    mean = np.bincount(of, score * size) / np.bincount(of, size)
-    content = mean[of] >= share * mean.max()
-
-    def holder(path: str, ids: tuple[int, ...]) -> int:
-        tags = path.split("/")
-        return next((n for t, n in zip(tags, ids, strict=False) if t in ("article", "main")), 0)
-
-    holders = {h for (_, p, ids, _), c in zip(found, content, strict=True) if c and (h := holder(p, ids))}
-    if not holders:
-        named = {holder(p, ids) for _, p, ids, _ in found} - {0}
-        holders = named if len(named) == 1 else set()
-    if holders:
-        keep = [bool(holders.intersection(ids)) for _, _, ids, _ in found]
-    else:
-        common = [ids for (_, _, ids, _), c in zip(found, content, strict=True) if c]
-        depth = 0
-        while all(len(x) > depth for x in common) and len({x[depth] for x in common}) == 1:
-            depth += 1
-        inner = common[0][depth - 1] if depth else 0
-        tag = next((p.split("/")[depth - 1] for (_, p, ids, _), c in zip(found, content, strict=True) if c), "") if depth else ""
-        if depth and tag not in ("html", "body"):
-            keep = [inner in ids for _, _, ids, _ in found]
-        else:
-            keep = [bool(c) or (p.rsplit("/", 1)[-1] in HEADINGS and k + 1 < len(found) and bool(content[k + 1])) for k, ((_, p, _, _), c) in enumerate(zip(found, content, strict=True))]
-    return " ".join(t for (t, *_), k in zip(found, keep, strict=True) if k)
+    of = np.array([page.path[e] for _, e in page.blocks])
+    marks = np.array([page.marks[e] for _, e in page.blocks], float)
+    size = np.array([len(t) for t, _ in page.blocks], float)
+    signs = np.array([len(_MARKS.findall(t)) for t, _ in page.blocks], float)
+    count = np.maximum(np.bincount(of), 1)
+    kernel = np.array([0.25, 0.5, 0.25])
+    smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid")
+    per = lambda x, half: ((r := np.bincount(of, x) / count) / (r + half))[of]
+    fused = np.sqrt(smooth(per(size, HALF_SIZE)) * smooth(per(signs + 1, HALF_MARKS)))
+    return (np.bincount(of, fused * size) / np.maximum(np.bincount(of, size), 1))[of] * LOWERED**marks
+
+
+def chosen(page: Page, share: float = SHARE) -> np.ndarray:
+    """Whether each block is main text."""
+    score = path_scores(page)
+    content = score >= share * score.max()
+    at = np.array([e for _, e in page.blocks])
+    held = np.zeros(len(page.tag))
+    np.add.at(held, at[content], [len(t) for (t, _), c in zip(page.blocks, content, strict=True) if c])
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+    core = int(np.flatnonzero(held >= HELD * held[0])[-1])  # the innermost element around nearly all of the content
+    holder = [0] * len(page.tag)
+    for e in range(1, len(page.tag)):
+        holder[e] = e if page.tag[e] in HOLDERS else holder[page.parent[e]]
+    wide = ("", "html", "body")
+    tops = {holder[core]}
+    if page.tag[holder[core]] in wide:
+        tops = {holder[e] for e in set(at[content].tolist())}
+    tops = {e for e in tops if page.tag[e] not in wide}
+    allowed = np.full(len(page.tag), -1)  # marks that an element in one of the tops may have
+    for e in range(1, len(page.tag)):
+        allowed[e] = max(allowed[page.parent[e]], page.marks[e] if e in tops else -1)
+    keep = content | (np.array([page.marks[e] for e in at]) <= allowed[at])
+    for k in np.flatnonzero(~keep[:-1] & keep[1:])[::-1]:  # headings right before what is kept
+        while k >= 0 and not keep[k] and page.tag[at[k]] in HEADINGS and page.marks[at[k]] <= page.marks[at[k + 1]]:
+            keep[k] = True
+            k -= 1
+    return keep
+
+
+def main_text(page: str | None, share: float = SHARE) -> str:
+    """Blocks of the main text, in page order, joined by one space."""
+    read = Page(page or "")
+    return " ".join(t for (t, _), k in zip(read.blocks, chosen(read, share), strict=True) if k) if read.blocks else ""
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html; others are ignored).
 
-    Null or empty html gives an empty text. Null ids and urls and repeated rows stay; an empty table gives no rows. A page
-    is worked on alone, in time linear in its length; nothing is shuffled.
+    Null or empty html gives an empty text, as does a page whose text all stands in elements that never hold main text. Null
+    ids and urls and repeated rows stay; an empty table gives no rows. Of paths with equal ratios all are taken or none. A
+    page is worked on alone, in time linear in its length; nothing is shuffled.
     """
 
     @F.pandas_udf("string")
