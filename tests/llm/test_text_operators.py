@@ -70,6 +70,19 @@ def test_packing_round_trip(spark, sf, tokenizer):
     assert packing.packed(docs(spark, [])).count() == 0
 
 
+def test_packing_of_runs_that_are_too_long_for_patterns(spark, tokenizer):
+    texts = [" " * 1_000_000, "\n" * 300_000 + "x", "a" + " \t" * 200_000, "é" * 100_000]
+    got = packing.packed(docs(spark, texts)).toPandas().groupby("doc_id")["length"].sum()
+    assert got.tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+
+
+def test_equal_rows_spread_over_blocks(spark):
+    same = docs(spark, [None] * 600, [None] * 600).repartition(6)
+    got = packing.packed(same, block=50).toPandas()
+    per_block = (got["sequence_id"].to_numpy() >> 32).tolist()
+    assert len(got) == 600 and len(set(per_block)) == 12 and max(map(per_block.count, set(per_block))) < 120
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 7])
 def test_differencing_levels(k):
     rng = np.random.default_rng(k)

@@ -21,15 +21,15 @@ from undula.llm.shared import checkpointed, table
 WINDOW, END_ID = 2048, 1
 #: A document's rest beyond its full windows is cut every so many tokens; smaller pieces level windows better.
 GRAIN = 512
-#: Documents that are packed together, on average. It doesn't grow with the input; more blocks do.
-BLOCK = 2048
+#: Documents that are packed together, on average. It doesn't grow with the input; more blocks do. And blocks of a task.
+BLOCK, PER_TASK = 2048, 4
 
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, equal to the ids that `tokenizers` gives for the .json file.
 
     The .tiktoken file holds the same vocabulary as ranks and its library encodes faster; texts that hold a special token's
-    string go to `tokenizers` itself.
+    string go to `tokenizers` itself, as do those that are too much for the other library's patterns (a run of a million spaces).
     """
 
     def __init__(self, json_path: str, ranks_path: str):
@@ -44,9 +44,12 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(x in text for x in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        if not any(x in text for x in self.special):
+            try:
+                return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:  # its patterns' stack is bounded
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -114,7 +117,7 @@ def packed(
 
     `docs` has doc_id and text; others are ignored. A null text counts as empty and is its end id alone. Full windows of
     a document are sequences of their own. The rests, cut every `grain` tokens, are packed in blocks of about `block`
-    documents, dealt out by a hash of id and content, so that equal ids or texts don't meet in one block; the number of
+    documents, dealt out by the row's own number, so that rows equal in id and text spread like any others; the number of
     blocks follows the number of rows. Sequence ids are unique, not gapless. Repeated rows are packed each; null ids stay
     null; an empty table gives no rows.
     """
@@ -154,7 +157,8 @@ def packed(
 
     own = checkpointed(docs.select(F.col("doc_id").cast("long"), encoded(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("e")).select("doc_id", "e.*"))
     blocks = max(1, round(own.count() / block))
-    placed = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "n", "crcs"), F.lit(blocks)))
+    # the checkpoint's partitions are files, so a row keeps its number however often it is read
+    placed = own.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).repartition(-(-blocks // PER_TASK), "block")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return placed.groupBy("block").applyInPandas(pack, schema)
 
