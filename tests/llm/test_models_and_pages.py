@@ -111,6 +111,21 @@ def test_vectors_against_brute_force(spark, block, monkeypatch):
     assert vector_dedup.linked(frame(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_of_mixed_lengths_and_extremes(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(240):
+        base = np.random.default_rng(k % 12).normal(size=(3, 8, 24)[k % 3])
+        rows.append((k, (base + rng.normal(size=len(base)) * rng.choice([0.02, 0.1])).tolist(), k % 2))
+    rows += [(300, [1.0, 2.0], 1), (301, [1.0, 2.0001], 1), (302, [2.0, -1.0], 1), (303, [1.0], 1), (304, [3.0], 1), (305, [-3.0], 1)]
+    huge = [(400, [1e200, 2e200, 0.0], 7), (401, [3e-200, 6e-200, 0.0], 7), (402, [1.0, 2.0, 0.0], 7), (403, [1e308, -1e308, 1e308], 7)]
+    df = frame(spark, [(*r, 1, 2) for r in rows + huge], "vec_id long, embedding array<double>, label int, size int, cell int")
+    got = {r["vec_id"]: r for r in vector_dedup.linked(df, 0.98).collect()}
+    want = brute_links(rows, 0.98) | {400: {401, 402}, 401: {400, 402}, 402: {400, 401}, 403: set()}
+    assert {k: r["n_links"] for k, r in got.items()} == {k: len(v) for k, v in want.items()}
+    assert got[301]["component_id"] == 300 and got[304]["component_id"] == 303 and got[305]["n_links"] == 0
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

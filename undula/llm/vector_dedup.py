@@ -7,6 +7,9 @@ radius of each other whose homes differ lie on either side of their homes' plane
 of it and probes the other's list: the probes are sufficient. In a list, table lookups give the distances of a probe to the coded
 vectors; one that exceeds the radius by more than the code's loss can't be a link (triangle inequality). What is left is
 compared exactly, and a pair that meets in both lists counts in the smaller one. Nothing is lost on the way, so recall is 1 but for rounding.
+
+The index has the dimensions of the commonest length. Vectors of another length are indexed by their first dimensions, or with
+zeros after their last: that brings no two vectors further apart, so all bounds hold. Only vectors of one length meet.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from undula.llm.shared import checkpointed, table
 
 LIMIT = 0.98
 #: Vectors that centroids and codes are fitted on; every vector is indexed.
-FIT_ROWS = 20_000
-#: Codes of a sub-space, dimensions of one, and most inverted lists (fewer for fewer vectors).
-CODES, SUB, LISTS = 32, 4, 4096
+FIT_ROWS = 65_536
+#: Codes of a sub-space, dimensions of one, and most inverted lists: as many as FIT_ROWS can place, reached at a billion vectors.
+CODES, SUB, LISTS = 32, 4, FIT_ROWS // 4
 #: Vectors of a list, or probes of one, that meet in a task; larger lists are compared in blocks.
 BLOCK = 2048
 _SLACK = 1e-6
@@ -65,9 +68,11 @@ class Index:
     def probes(self, x: np.ndarray, home: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists that can hold something within the radius."""
         c = self.centroids
-        gain = x @ c.T - 0.5 * (c**2).sum(1)
-        apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2) if len(c) <= 256 else (c**2).sum(1)[:, None] + (c**2).sum(1) - 2 * c @ c.T, 0))
-        near = gain[np.arange(len(x)), home][:, None] - gain <= (radius + _SLACK) * apart[home] + _SLACK
+        length = (c**2).sum(1)
+        gain = x @ c.T - 0.5 * length
+        own = c[home]
+        apart = np.sqrt(np.maximum((own**2).sum(1)[:, None] + length - 2 * own @ c.T, 0))
+        near = gain[np.arange(len(x)), home][:, None] - gain <= (radius + _SLACK) * apart + _SLACK
         return np.nonzero(near)
 
 
@@ -90,10 +95,21 @@ def build(sample: np.ndarray, lists: int) -> Index:
 
 
 def _unit(column: pd.Series) -> np.ndarray:
+    """Directions of vectors of one length; scaled by the largest component first, so that no square over- or underflows."""
     x = np.array(column.tolist(), np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
+def _placed(column: pd.Series, d: int) -> np.ndarray:
+    """The first d dimensions of the directions of vectors of any length."""
+    size = column.map(len).to_numpy()
+    out = np.zeros((len(column), d))
+    for n in np.unique(size):
+        out[size == n, : min(n, d)] = _unit(column[size == n])[:, :d]
+    return out
+
+
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest node that pairs (a, b) of nodes below n reach."""
     root = np.arange(n)
@@ -113,19 +129,20 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def _compare(index: Index, limit: float, radius: float):
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Links of the probes to the vectors at home: weights of both sides' links, and a tree that connects what links."""
-        at_home, cell = rows["home"].to_numpy(), int(key[1])
+        at_home, cell = rows["home"].to_numpy(), int(key[2])
         homes, probes = rows[at_home], rows[~at_home]
         none = pd.DataFrame({"rep": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if not len(homes) or not len(probes):
             return none
         y, center = _unit(homes["e"]), index.centroids[cell]
+        d = len(center)
         ids, probe_ids = homes["rep"].to_numpy(np.int64), probes["rep"].to_numpy(np.int64)
         weight, probe_weight, own = homes["w"].to_numpy(np.int64), probes["w"].to_numpy(np.int64), probes["own"].to_numpy(np.int64)
-        codes, lost = index.encode(y - center)
+        codes, lost = index.encode(_placed(homes["e"], d) - center)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(0, len(probes), 512):
             x = _unit(probes["e"].iloc[k : k + 512])
-            i, j = np.nonzero(np.sqrt(index.distances(x - center, codes)) <= radius + lost + _SLACK)
+            i, j = np.nonzero(np.sqrt(index.distances(_placed(probes["e"].iloc[k : k + 512], d) - center, codes)) <= radius + lost + _SLACK)
             if 20 * len(i) > len(x) * len(y):
                 link = (x @ y.T)[i, j] >= limit
             else:
@@ -157,9 +174,10 @@ def linked(vectors: DataFrame, limit: float = LIMIT, fit_rows: int = FIT_ROWS) -
     """(vec_id, n_links, component_id, kept) for every row of `vectors` (vec_id, embedding, label; others are ignored).
 
     Vectors link if their labels are equal and not null and their cosine is `limit` or more. A vector that is null, zero or
-    empty, has a null or non-finite component, or another length than the first of the fitting rows, links with nothing, as
-    does a row with a null id or label: no links, its own component. n_links counts other rows, component_id is the smallest
-    id that links reach. Equal vectors of a label are compared once. Each list is compared in blocks of bounded size; a block
+    empty or has a null or non-finite component links with nothing, as does a row with a null id or label: no links, its own
+    component. Vectors of different lengths don't link. Cosines are those of the vectors scaled by their largest components,
+    so components near the limits of doubles are compared like any others. n_links counts other rows, component_id is the
+    smallest id that links reach. Equal vectors of a label are compared once. Each list is compared in blocks of bounded size; a block
     returns counts and a tree over what it links, never all pairs. An empty table gives no rows.
     """
     radius = float(np.sqrt(2 - 2 * limit))
@@ -172,31 +190,31 @@ def linked(vectors: DataFrame, limit: float = LIMIT, fit_rows: int = FIT_ROWS) -
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not len(sample):
         return alone
-    d = len(sample["e"][0])
+    d = int(sample["e"].map(len).mode()[0])
     total = reps.count()
-    index = build(_unit(sample["e"][sample["e"].map(len) == d]), int(np.clip(np.sqrt(total / 4), 4, LISTS)))
+    index = build(_placed(sample["e"], d), int(np.clip(np.sqrt(total / 4), 4, LISTS)))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 2048):
                 part = b.iloc[k : k + 2048]
-                x = _unit(part["e"])
+                x = _placed(part["e"], d)
                 home = index.home(x)
                 at, lists = index.probes(x, home, radius / 2)
                 per = np.split(lists, np.cumsum(np.bincount(at, minlength=len(part)))[:-1])
                 kept = part.assign(cell=home, home=True, own=home, lists=pd.Series([v.tolist() for v in per], index=part.index))
                 both = pd.concat((kept, part.iloc[at].assign(cell=lists, home=False, own=home[at], lists=None)))
-                yield both[["label", "cell", "home", "own", "lists", "rep", "w", "e"]]
+                yield both[["label", "size", "cell", "home", "own", "lists", "rep", "w", "e"]]
 
     kind = dict(rows.dtypes)["label"]
-    cells = reps.filter(F.size("e") == d).mapInPandas(placed, f"label {kind}, cell int, home boolean, own int, lists array<int>, rep long, w long, e {number}")
-    large = cells.groupBy("label", "cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("p")).filter(f"h > {BLOCK} or p > {BLOCK}")
-    split = cells.join(large, ["label", "cell"], "left").withColumns({k: F.coalesce(F.ceil(F.col(k) / BLOCK), F.lit(1)).cast("int") for k in ("h", "p")})
+    cells = reps.withColumn("size", F.size("e")).mapInPandas(placed, f"label {kind}, size int, cell int, home boolean, own int, lists array<int>, rep long, w long, e {number}")
+    large = cells.groupBy("label", "size", "cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("p")).filter(f"h > {BLOCK} or p > {BLOCK}")
+    split = cells.join(large, ["label", "size", "cell"], "left").withColumns({k: F.coalesce(F.ceil(F.col(k) / BLOCK), F.lit(1)).cast("int") for k in ("h", "p")})
     own = F.xxhash64("rep")
     i = F.when(F.col("home"), F.array(F.pmod(own, "h").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("h") - 1))
     j = F.when(F.col("home"), F.sequence(F.lit(0), F.col("p") - 1)).otherwise(F.array(F.pmod(own, "p").cast("int")))
-    dealt = split.withColumn("i", F.explode(i)).withColumn("j", F.explode(j)).select("label", "cell", "i", "j", "home", "own", "lists", "rep", "w", "e")
-    met = checkpointed(dealt.groupBy("label", "cell", "i", "j").applyInPandas(_compare(index, limit, radius), "rep long, n long, root long"))
+    dealt = split.withColumn("i", F.explode(i)).withColumn("j", F.explode(j)).select("label", "size", "cell", "i", "j", "home", "own", "lists", "rep", "w", "e")
+    met = checkpointed(dealt.groupBy("label", "size", "cell", "i", "j").applyInPandas(_compare(index, limit, radius), "rep long, n long, root long"))
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(met.filter("rep <> root"), "rep", "root")
     named = reps.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("label", "e", "w", "rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "rep").alias("root"))
