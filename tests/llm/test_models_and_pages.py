@@ -206,14 +206,24 @@ def brute_tiles(a, b, size):
         out.append(best)
 
 
-@settings(max_examples=150, deadline=None)
+def tiled(a, b, size):
+    """Tiles by way of the seeds of two token lists."""
+    names = lambda x: np.array([hash(tuple(x[k : k + size])) for k in range(len(x) - size + 1)], np.int64)
+    item, doc = names(b), names(a)
+    here = np.flatnonzero(np.isin(doc, item))
+    return decontaminate.tiles(here, doc[here], item, size)
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=25), st.lists(st.sampled_from("abc"), max_size=18))
 def test_tiling(a, b):
-    pairs = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-    if pairs:
-        got = decontaminate.tiles(*(np.array(x) for x in zip(*pairs, strict=True)), 3)
-        want = brute_tiles(a, b, 3)
-        assert sorted(t[2] for t in got) == sorted(t[2] for t in want)
+    assert tiled(a, b, 3) == brute_tiles(a, b, 3)
+
+
+def test_tiling_of_repetitive_texts():
+    a, b = ["x"] * 200_000, ["x"] * 300
+    assert tiled(a, b, 5) == [(0, 0, 300)]
+    assert sum(n for _, _, n in tiled(["x"] * 100 + ["y"] * 100_000, ["y"] * 200 + ["x"] * 100 + ["y"] * 200, 5)) == 500
 
 
 def test_decontamination(spark):
@@ -222,14 +232,36 @@ def test_decontamination(spark):
     items = [[word() for _ in range(30)] for _ in range(5)]
     filler = lambda n: [word() for _ in range(n)]
     rows = [(0, " ".join(filler(60))), (1, " ".join(filler(20) + items[0] + filler(20))), (2, " ".join(filler(5) + items[1][15:] + filler(9) + items[1][:15])), (3, " ".join(items[2][:8] + filler(40))), (4, None), (5, ""), (None, " ".join(items[0])), (6, ", ".join(items[3]).upper()), (7, " ".join(items[0] + items[3]))]
-    bench = frame(spark, [*((k, " ".join(x)) for k, x in enumerate(items)), (9, None), (None, "x y z"), (10, "two words")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(frame(spark, rows, EMPTY), bench).collect()}
-    assert set(got) == {(1, 0), (2, 1), (6, 3), (7, 0), (7, 3)}
-    assert got[(2, 1)]["n_tiles"] == 2 and got[(2, 1)]["coverage"] == 1.0
+    rows += [(8, "so: TWO words!"), (9, "words two"), (10, "one " * 5000)]
+    bench = frame(spark, [*((k, " ".join(x)) for k, x in enumerate(items)), (9, None), (None, "x y z"), (10, "two words"), (11, "one " * 40), (12, "")], "item_id long, text string")
+    df = frame(spark, [(*r, 1, 2, "m", 3) for r in rows], EMPTY + ", item_id long, name long, m string, here int")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == {(1, 0), (2, 1), (6, 3), (7, 0), (7, 3), (8, 10), (10, 11)}
+    assert got[(2, 1)]["n_tiles"] == 2 and got[(2, 1)]["coverage"] == 1.0 and got[(8, 10)]["longest"] == 2 and got[(10, 11)]["longest"] == 40
     assert decontaminate.contaminated(frame(spark, [], EMPTY), bench).count() == 0
     assert decontaminate.contaminated(frame(spark, rows, EMPTY), bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force(spark, sf):
+    """Coverage of every document and item, recomputed from raw tokens."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    ours, theirs = ({r[0]: cut(r["text"]) for r in t.collect()} for t in (docs, bench.select("item_id", "text")))
+    grams = lambda x: {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
+    sets = {k: grams(v) for k, v in theirs.items()}
+    want = {}
+    for d, a in ours.items():
+        mine = grams(a)
+        for k, b in theirs.items():
+            if mine & sets[k]:
+                share = sum(t[2] for t in brute_tiles(a, b, 5)) / len(b)
+                if share >= decontaminate.COVERAGE:
+                    want[(d, k)] = share
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want and want
+
+
 PAGES = [
     ("<html><body><nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>First &amp; long paragraph, with words.<p>Short.</article><footer>Foot</footer></body></html>", "Title First & long paragraph, with words. Short."),
     ("<div class='sidebar'>Links, many links here.</div><div id=main><h2>Head</h2><p>Some long text, that goes on and on, for a while.</p><p>Tail.</p><div class=comments><p>Nice text, I like it, really.</p></div></div>", "Head Some long text, that goes on and on, for a while. Tail."),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +20,11 @@ SEED = 5
 COVERAGE = 0.5
 #: Bits of the filter that keeps tokens away from the join that can't match. Fixed; it bounds what is broadcast (8 MB).
 FILTER_BITS = 1 << 26
+#: Most seeds of items that are broadcast; more are joined by a shuffle.
+BROADCAST = 1_000_000
+_U = np.uint64
+_INVERSE = pow(BASE, -1, 1 << 64)
+
 
 def seeds_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, position, name of `size` tokens from there) of every seed of a string column, and tokens per row."""
@@ -35,50 +40,98 @@ def seeds_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return rows[: len(roll)][whole], at[: len(roll)][whole], mix(roll[whole]), counts
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+def _windows(at: np.ndarray, names: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first position, running hash) of every n seeds in a row that are all free."""
+    if len(at) < n:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    sums, powers = np.zeros(len(at) + 1, _U), np.full(len(at), BASE, _U)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    np.cumsum(names * powers, out=sums[1:])
+    taken = np.concatenate(([0], np.cumsum(~free)))
+    k = np.flatnonzero((at[n - 1 :] - at[: len(at) - n + 1] == n - 1) & (taken[n:] == taken[: len(at) - n + 1]))
+    back = np.full(len(at), _INVERSE, _U)
+    back[0] = 1
+    return at[k], (sums[k + n] - sums[k]) * np.multiply.accumulate(back)[k]
+
+
+def tiles(here: np.ndarray, doc: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling (Wise, 1993) of one document and one item: (position in doc, in item, length), as marked.
 
-    doc[k], item[k] are the positions of the k-th pair of equal seeds of `size` tokens. Maximal runs of pairs along a
-    diagonal are the maximal matches. The longest is marked first (of equals the one first in the item, then in the
-    document); a run that a mark has cut is put back with what is left of it, until none has `size` tokens unmarked.
+    `item` names the item's seeds of `size` tokens in order; `doc` those of the document that are among them, and `here`
+    (ascending) where. Running hashes of Karp and Rabin over n seeds, on both sides, show whether n + size - 1 unmarked tokens
+    match; the largest such n is found by halving, and its matches are marked, of equals the one first in the item, then in the
+    document. So it goes on with shorter ones until nothing of `size` tokens is left. Memory follows the two lengths.
     """
-    by = np.lexsort((doc, doc - item))
-    doc, item = doc[by], item[by]
-    breaks = np.concatenate(([True], (np.diff(doc) != 1) | (np.diff(item) != 1)))
-    starts = np.flatnonzero(breaks)
-    lengths = np.diff(np.append(starts, len(doc))) + size - 1
-    waiting = [(-int(n), int(item[s]), int(doc[s])) for s, n in zip(starts, lengths, strict=True)]
-    heapq.heapify(waiting)
-    in_doc, in_item, out = set(), set(), []
-    while waiting:
-        n, j, i = heapq.heappop(waiting)
-        n = -n
-        free = [(i + t) not in in_doc and (j + t) not in in_item for t in range(n)]
-        if all(free):
-            out.append((i, j, n))
-            in_doc.update(range(i, i + n))
-            in_item.update(range(j, j + n))
-            continue
-        t = 0
-        while t < n:
-            if not free[t]:
-                t += 1
+    _, both = np.unique(np.concatenate((item, doc)), return_inverse=True)
+    values = mix(both.astype(_U) + _U(1))
+    item, doc, there = values[: len(item)], values[len(item) :], np.arange(len(item))
+    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
+    out: list[tuple[int, int, int]] = []
+
+    def common(n: int) -> tuple[np.ndarray, ...] | None:
+        j, b = _windows(there, item, free_item, n)
+        i, a = _windows(here, doc, free_doc, n)
+        seen = np.isin(a, b)
+        return (i[seen], a[seen], j, b) if seen.any() else None
+
+    most = min(len(item), len(doc))
+    while most:
+        low, high, found = 0, most, None
+        while low < high:
+            n = (low + high + 1) // 2
+            if got := common(n):
+                low, found = n, got
+            else:
+                high = n - 1
+        if not low:
+            break
+        i, a, j, b = found
+        by = np.lexsort((i, a))
+        i, a = i[by], a[by]
+        first, last = np.searchsorted(a, b, side="left"), np.searchsorted(a, b, side="right")
+        next_of: dict[int, int] = {}
+        tokens, free_to_item = low + size - 1, -1
+        marked: list[int] = []  # starts of this length's tiles in the document, ascending
+        for q in range(len(j)):
+            if j[q] < free_to_item or first[q] == last[q]:
                 continue
-            u = t
-            while u < n and free[u]:
-                u += 1
-            if u - t >= size:
-                heapq.heappush(waiting, (t - u, j + t, i + t))
-            t = u
+            at = next_of.get(int(first[q]), int(first[q]))
+            while at < last[q] and _overlaps(marked, int(i[at]), tokens):
+                at += 1
+            next_of[int(first[q])] = at
+            if at == last[q]:
+                continue
+            out.append((int(i[at]), int(j[q]), tokens))
+            insort(marked, int(i[at]))
+            free_to_item = int(j[q]) + tokens
+            # a seed is free as long as none of its tokens is marked
+            free_item[max(0, j[q] - size + 1) : j[q] + tokens] = False
+            lo, hi = np.searchsorted(here, (i[at] - size + 1, i[at] + tokens))
+            free_doc[lo:hi] = False
+        most = low - 1
     return out
 
 
-def _seed_rows(size: int, bits: np.ndarray | None):
+def _overlaps(starts: list[int], at: int, n: int) -> bool:
+    k = bisect_left(starts, at)
+    return (k < len(starts) and starts[k] < at + n) or (k > 0 and starts[k - 1] + n > at)
+
+
+_ROWS = "id long, at int, name long, tokens int"
+
+
+def _seed_rows(size: int, bits: np.ndarray | None = None, whole: bool = False):
+    """Rows of the seeds of (id, text): those in the filter; with `whole`, only of texts that have no more tokens."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, at, name, counts = seeds_of(b.column(1), size)
+            if whole:
+                only = counts[row] == size
+                row, at, name = row[only], at[only], name[only]
             if bits is not None:
-                slot = (name & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                slot = (name & _U(FILTER_BITS - 1)).astype(np.int64)
                 may = bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
                 row, at, name = row[may], at[may], name[may]
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -98,40 +151,59 @@ def _filter(seeds: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _met(docs: DataFrame, theirs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, item_id, item_tokens, here, name) of the documents' seeds of `size` tokens that an item has, once for each item."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(theirs))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _seed_rows(size, bits.value)(batches)
+
+    ours = docs.mapInArrow(hits, _ROWS).select(F.col("id").alias("doc_id"), F.col("at").alias("here"), "name")
+    named = theirs.select("item_id", "name", "item_tokens").distinct()
+    return ours.join(F.broadcast(named) if theirs.count() <= BROADCAST else named, "name")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest, item_tokens): items of which a document holds `coverage` or more.
 
     `docs` has doc_id and text, `benchmark` item_id and text; others are ignored. Coverage is the share of an item's tokens
     in tiles of `size` or more tokens, so passages that were put in another order count in full. An item shorter than a
-    seed has no tiles and is never found. Seeds of documents pass a fixed-size filter of the items' seeds before they are
-    shuffled, and are joined with those on their names; the matches of one document and one item are then tiled. Null or
-    empty texts match nothing; rows with a null id are left out; of rows with equal ids the seeds are taken together. Empty
-    tables give no rows.
+    seed is its own seed: a document that holds all its tokens in a row covers it in full, by one tile; an item without
+    tokens is never found. Seeds of documents pass a fixed-size filter of the items' seeds before they are shuffled, and meet
+    those on their names (64 bits), each once for an item however often the item has it; the seeds of one document and one
+    item are then tiled. Null or empty texts match nothing; rows with a null id are left out; of rows with equal ids the
+    seeds are taken together. Empty tables give no rows.
     """
-    schema = "id long, at int, name long, tokens int"
     given = lambda t, key: t.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    theirs = checkpointed(given(benchmark, "item_id").mapInArrow(_seed_rows(size, None), schema).select(F.col("id").alias("item_id"), F.col("at").alias("there"), "name", F.col("tokens").alias("item_tokens")))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(theirs))
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _seed_rows(size, bits.value)(batches)
-
-    ours = given(docs, "doc_id").mapInArrow(hits, schema).select(F.col("id").alias("doc_id"), F.col("at").alias("here"), "name")
-    met = ours.join(theirs, "name").select("doc_id", "item_id", "here", "there", "item_tokens")
+    ours, items = given(docs, "doc_id"), given(benchmark, "item_id")
+    seeds = lambda n, whole: checkpointed(items.mapInArrow(_seed_rows(n, whole=whole), _ROWS).select(F.col("id").alias("item_id"), F.col("at").alias("there"), "name", F.col("tokens").alias("item_tokens")))
+    theirs = seeds(size, False)
 
     @F.pandas_udf("covered long, n_tiles long, longest long")
-    def tiled(matches: pd.Series) -> pd.DataFrame:
+    def tiled(matches: pd.Series, names: pd.Series) -> pd.DataFrame:
         out = []
-        for m in matches:
-            found = tiles(np.array([x["here"] for x in m], np.int64), np.array([x["there"] for x in m], np.int64), size)
-            out.append((sum(t[2] for t in found), len(found), max(t[2] for t in found)))
+        for m, item in zip(matches, names, strict=True):
+            here, doc = np.array([x["here"] for x in m], np.int64), np.array([x["name"] for x in m], np.int64)
+            by = np.argsort(here, kind="stable")
+            fresh = np.concatenate(([True], np.diff(here[by]) > 0))
+            found = tiles(here[by][fresh], doc[by][fresh], np.asarray(item, np.int64), size)
+            out.append((sum(t[2] for t in found), len(found), max((t[2] for t in found), default=0)))
         return pd.DataFrame(out, columns=["covered", "n_tiles", "longest"])
 
-    pairs = met.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("here", "there")).alias("m"), F.max("item_tokens").cast("long").alias("item_tokens"))
-    # tiles cover at most `size` tokens for each seed that matches: pairs with too few seeds can't reach the threshold
-    able = pairs.filter(F.size(F.array_distinct("m.there")) * size >= F.col("item_tokens") * coverage)
-    done = able.select("doc_id", "item_id", tiled("m").alias("t"), "item_tokens").select("doc_id", "item_id", (F.col("t.covered") / F.col("item_tokens")).alias("coverage"), "t.n_tiles", "t.longest", "item_tokens")
-    return done.filter(F.col("coverage") >= coverage)
+    pairs = _met(ours, theirs, size).groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("here", "name")).alias("m"), F.max("item_tokens").cast("long").alias("item_tokens"))
+    whole = theirs.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("there", "name"))), lambda x: x["name"]).alias("names"))
+    able = pairs.join(F.broadcast(whole) if theirs.count() <= BROADCAST else whole, "item_id")
+    # tiles cover at most `size` tokens for each seed of the item that matches: pairs with too few can't reach the threshold
+    hit = F.map_from_entries(F.transform(F.array_distinct("m.name"), lambda n: F.struct(n, F.lit(1))))
+    able = able.withColumn("hit", hit).filter(F.size(F.filter("names", lambda n: F.map_contains_key("hit", n))) * size >= F.col("item_tokens") * coverage)
+    done = able.select("doc_id", "item_id", tiled("m", "names").alias("t"), "item_tokens").select("doc_id", "item_id", (F.col("t.covered") / F.col("item_tokens")).alias("coverage"), "t.n_tiles", "t.longest", "item_tokens")
+    done = done.filter(F.col("coverage") >= coverage)
+    for n in range(1, size):
+        short = seeds(n, True)
+        if not short.isEmpty():
+            met = _met(ours, short, n).select("doc_id", "item_id", F.lit(1.0).alias("coverage"), F.lit(1).cast("long").alias("n_tiles"), F.lit(n).cast("long").alias("longest"), F.col("item_tokens").cast("long").alias("item_tokens"))
+            done = done.union(met.distinct())
+    return done
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
