@@ -1,22 +1,27 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Patterns propose spans. Labelers (shape, gazetteer, context, edges) vote on each proposal for, against, or not at all. What
-the corpus says about the labelers is one small table: how many proposals there are of each kind, votes and features; its
-size is bounded by the number of combinations, not by the corpus. Expectation-maximisation on it estimates how often each
-labeler is right, and the posteriors train a logistic span classifier, whose weights go back into a column expression.
-Base spans (valid matches of the four base patterns) always stay; the classifier adds proposals that it is sure of.
+Patterns propose spans. Labelers (shape, gazetteer, context, edges) vote on each proposal for, against, or not at all. How
+many proposals there are of each kind and votes is a small table, on which expectation-maximisation estimates, kind by kind,
+how often each labeler is right. The posteriors train a logistic span classifier that doesn't see the votes: it has features
+of its own, the span's length and separators, the word before it, and what stands between that and the span and after it.
+Its weights go back into a column expression. Base spans (valid matches of the four base patterns) always stay; the
+classifier adds proposals that it is sure of. Both tables that come to the driver are bounded by the numbers of combinations.
+
+A text with many spans takes little more than linear time: arrays are accumulated in blocks (`_running`), overlaps are found
+by one sweep over sorted spans, and no span looks its surroundings up in the whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.shared import checkpointed, table
+from undula.llm.shared import checkpointed, table, written
 
 # The base patterns' languages, written so that a failed start isn't tried again within its run (\G: just
 # after the last match), without stack or time that grows more than the text does.
@@ -52,22 +57,57 @@ FOR_WORDS = {
 AGAINST_WORDS = "version|release|order|invoice|isbn|issn|serial|token|hash|checksum|section|chapter|page|figure|article|part no|sku|doi"
 LABELERS = ("shape", "gazetteer", "context", "edge")
 #: Probability from which the classifier adds a proposal.
-SURE = 0.95
-_MARK = "\x01"
+SURE = 0.9
+#: Values of the classifier's features: length, separators, word before, what stands between, what comes after.
+SIZES, MASKS, CUES, GAPS, NEXTS = 7, 8, 17, 4, 4
+#: Elements of an array that are accumulated at a time; it changes no result.
+BLOCK = 256
+_MARK, _FAR = "\x01", 2**31 - 1
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, start: int, merge: Callable[[Column, Column], Column]) -> Column:
+    """What `merge` gives from `start` over the elements up to each one (array<int>), block by block."""
+    zero = F.lit(start)
+    empty = F.array().cast("array<int>")
+
+    def within(part: Column, first: Column) -> Column:
+        grow = lambda a, x: F.struct(merge(a["last"], x).alias("last"), F.concat(a["out"], F.array(merge(a["last"], x))).alias("out"))
+        return F.aggregate(part, F.struct(first.alias("last"), empty.alias("out")), grow, lambda a: a["out"])
+
+    def work(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, BLOCK))
+
+        def joined(blocks: Column) -> Column:
+            before = F.concat(F.array(zero), within(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: merge(a, x))), zero))
+            return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), within))
+
+        return F.when(F.size(v) > BLOCK, _let(cut, joined)).when(F.size(v) > 0, within(v, zero)).otherwise(empty)
+
+    return _let(values, work)
 
 
 def _matches(text: Column, pattern: str, only_if: Column) -> Column:
-    """array<struct<s, e, m>> of the leftmost non-overlapping matches, in code points, end exclusive."""
-    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK)
-    one = lambda s, m: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    """array<struct<s, e, m, before, after>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
-    def step(acc: Column, part: Column) -> Column:
-        out = F.when(acc["odd"], F.concat(acc["out"], F.array(one(acc["at"], part)))).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(part)).alias("at"), (~acc["odd"]).alias("odd"), out.alias("out"))
+    before holds up to 40 characters between the match and the one before it, after one character.
+    """
+    empty = F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("out"))
-    return F.when(only_if, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(empty)
+    def found(parts: Column) -> Column:  # gap, match, gap, match, ..., gap
+        def of(ends: Column) -> Column:
+            at = lambda x, i: F.element_at(x, i)
+            one = lambda i: F.struct(at(ends, 2 * i - 1).alias("s"), at(ends, 2 * i).alias("e"), at(parts, 2 * i).alias("m"), F.right(at(parts, 2 * i - 1), F.lit(40)).alias("before"), F.left(at(parts, 2 * i + 1), F.lit(1)).alias("after"))
+            return F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), one)
+
+        return F.when(F.size(parts) > 2, _let(_running(F.transform(parts, F.length), 0, lambda a, x: a + x), of)).otherwise(empty)
+
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK)
+    return F.when(only_if, _let(parts, found)).otherwise(empty)
 
 
 def _digits(m: Column) -> Column:
@@ -107,7 +147,7 @@ def _votes(kind: str, m: Column, base: Column, before: Column, after: Column) ->
     d = _digits(m)
     n = F.length(d)
     shape = {
-        "email": m.rlike(r"\.[A-Za-z]{2,24}$"), "ip": base & ~m.rlike(r"(^|\.)0[0-9]"), "card": base | (n.between(13, 15) & _checksum(d)), "phone": n.between(8, 15) & m.rlike(r"[ ().-]"),
+        "email": m.rlike(r"(?i)(\.|[\[(]dot[\])] ?)[a-z]{2,24}$"), "ip": base & ~m.rlike(r"(^|\.)0[0-9]"), "card": base | (n.between(13, 15) & _checksum(d)), "phone": n.between(8, 15) & m.rlike(r"[ ().-]"),
         "ssn": ~m.rlike(r"^(000|666|9)|-00-|-0000$"), "iban": _bank_check(m), "name": m.rlike(r" \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$"),
     }[kind]
     known = {
@@ -119,18 +159,34 @@ def _votes(kind: str, m: Column, base: Column, before: Column, after: Column) ->
     return [vote(shape), F.when(known, 1).otherwise(-1 if kind in ("card", "phone") else 0), context, vote(~before.rlike(r"[A-Za-z0-9_]$") & ~after.rlike(r"^[A-Za-z0-9_]"))]
 
 
+def _cell(m: Column, before: Column, after: Column) -> Column:
+    """The classifier's features of a span as one number below SIZES * MASKS * CUES * GAPS * NEXTS."""
+    size = F.least(F.floor(F.length(m) / 5), F.lit(SIZES - 1)).cast("int")
+    mask = F.contains(m, F.lit(" ")).cast("int") + 2 * F.contains(m, F.lit("-")).cast("int") + 4 * m.rlike(r"[.()\[]").cast("int")
+    word = F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1))
+    cue = F.when(word == "", 0).otherwise(1 + F.pmod(F.xxhash64(word), F.lit(CUES - 1)).cast("int"))
+    gap = F.when(before == "", 0).when(before.rlike(r"[:=#]\s*$"), 3).when(before.rlike(r"\s$"), 2).otherwise(1)
+    then = F.when(after == "", 0).when(after.rlike(r"\s"), 1).when(after.rlike(r"[\p{L}\p{N}_]"), 2).otherwise(3)
+    return (((size * MASKS + mask) * CUES + cue) * GAPS + gap) * NEXTS + then
+
+
+def _split(cell: Column | int) -> list[tuple]:
+    """The features that a cell's number holds: (value, number of values), as columns or ints."""
+    out = []
+    for n in (NEXTS, GAPS, CUES, MASKS, SIZES):
+        out.append((cell % n, n))
+        cell = F.floor(cell / n).cast("int") if isinstance(cell, Column) else cell // n
+    return out
+
+
 def _proposals(text: Column) -> Column:
-    """array<struct<k, kind, s, e, base, votes, features>>, k the kind's place in ORDER."""
+    """array<struct<k, s, e, base, votes, cell>>, k the kind's place in ORDER."""
 
     def proposed(kind: str, found: Column, is_base: bool) -> Column:
         def one(x: Column) -> Column:
             base = _valid(kind, x["m"]) if is_base else F.lit(False)
-            before = F.substr(text, F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40)))
-            before = F.when(x["s"] > 0, before).otherwise("")
-            after = F.substr(text, x["e"] + 1, F.lit(1))
-            votes = F.array(*[v.cast("int") for v in _votes(kind, x["m"], base, before, after)])
-            size = F.least(F.floor(F.length(x["m"]) / 5), F.lit(6)).cast("int")
-            return F.struct(F.lit(ORDER.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), base.alias("base"), votes.alias("votes"), size.alias("size"))
+            votes = F.array(*[v.cast("int") for v in _votes(kind, x["m"], base, x["before"], x["after"])])
+            return F.struct(F.lit(ORDER.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), base.alias("base"), votes.alias("votes"), _cell(x["m"], x["before"], x["after"]).alias("cell"))
 
         return F.transform(found, one)
 
@@ -173,28 +229,41 @@ def posterior(share: float, rates: np.ndarray, votes: Iterable[int]) -> float:
     return float(1 / (1 + np.exp(-np.clip(odds, -35, 35))))
 
 
-def _features(k: int, votes: tuple[int, ...], size: int) -> list[int]:
-    """Places of a proposal's features among kinds, lengths and votes."""
-    at = [k, len(ORDER) + size]
-    return at + [len(ORDER) + 7 + 3 * i + v + 1 for i, v in enumerate(votes)]
+def _posterior(fits: dict[int, tuple[float, np.ndarray]], k: Column, votes: Column) -> Column:
+    """`posterior` as a column, by each kind's own estimates."""
+    share = [float(np.log(fits[j][0] / (1 - fits[j][0]))) if j in fits else 0.0 for j in range(len(ORDER))]
+    odds = _pick(share, k)
+    for i in range(len(LABELERS)):
+        table = [float(np.log(fits[j][1][i, 1, v] / fits[j][1][i, 0, v])) if j in fits else 0.0 for j, v in product(range(len(ORDER)), range(3))]
+        odds += _pick(table, 3 * k + F.element_at(votes, i + 1) + 1)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), odds))))
+
+
+def _pick(values: Iterable[float], at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(float(x)) for x in values]), at + 1)
+
+
+#: Where the weights of each feature begin: kinds, then features within each kind, in the order of `_split`.
+_WIDTHS = [len(ORDER) * n for n in (NEXTS, GAPS, CUES, MASKS, SIZES)]
+_STARTS = np.cumsum([len(ORDER), *_WIDTHS]).tolist()
 
 
-def train(proposed: DataFrame, column: str = "proposals", rounds: int = 300) -> np.ndarray:
+def train(proposed: DataFrame, column: str = "proposals", rounds: int = 100) -> np.ndarray:
     """Weights of the span classifier (the last is the intercept), from all proposals of `proposed`."""
-    table = proposed.select(F.explode(column).alias("p")).groupBy("p.k", "p.votes", "p.size").count().collect()
-    votes: dict[tuple[int, ...], float] = {}
-    for r in table:
-        votes[tuple(r["votes"])] = votes.get(tuple(r["votes"]), 0.0) + r["count"]
-    share, rates = estimate(sorted(votes.items()))
-    width = len(ORDER) + 7 + 3 * len(LABELERS) + 1
-    x, y, n = np.zeros((len(table), width)), np.zeros(len(table)), np.zeros(len(table))
-    for i, r in enumerate(sorted(table, key=lambda r: (r["k"], r["votes"], r["size"]))):
-        x[i, _features(r["k"], tuple(r["votes"]), r["size"])] = x[i, -1] = 1
-        y[i], n[i] = posterior(share, rates, r["votes"]), r["count"]
-    w = np.zeros(width)
+    p = proposed.select(F.explode(column).alias("p")).select("p.k", "p.votes", "p.cell")
+    counts: dict[int, dict[tuple[int, ...], int]] = {}
+    for r in p.groupBy("k", "votes").count().collect():
+        counts.setdefault(r["k"], {})[tuple(r["votes"])] = r["count"]
+    fits = {k: estimate(sorted(c.items())) for k, c in sorted(counts.items())}
+    true = _posterior(fits, F.col("k"), F.col("votes"))
+    table = p.select("k", "cell", F.round(true, 9).alias("true")).groupBy("k", "cell").agg(F.sum(F.col("true").cast("decimal(28,9)")).cast("double").alias("true"), F.count("*").alias("n")).orderBy("k", "cell").collect()
+    x = np.zeros((len(table), _STARTS[-1] + 1))
+    for i, r in enumerate(table):
+        x[i, [r["k"], *(s + r["k"] * n + v for s, (v, n) in zip(_STARTS, _split(r["cell"]), strict=False)), -1]] = 1
+    y, n, w = np.array([r["true"] for r in table]), np.array([float(r["n"]) for r in table]), np.zeros(_STARTS[-1] + 1)
     for _ in range(rounds if len(table) else 0):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + 1e-2 * np.eye(width), x.T @ (n * (y - p)) - 1e-2 * w)
+        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w)), x.T @ (y - n * p) - 1e-2 * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -202,19 +271,22 @@ def train(proposed: DataFrame, column: str = "proposals", rounds: int = 300) ->
 
 
 def accepted(weights: np.ndarray, column: str = "proposals", sure: float = SURE) -> Column:
-    """The proposals that are base spans, and those the classifier is sure of that touch no base span, in order."""
+    """array<struct<k, s, e, base>> of base spans, and of those the classifier is sure of that touch no base span, by start."""
     w = [float(x) for x in weights]
-    pick = lambda start, n, at: F.element_at(F.array(*[F.lit(x) for x in w[start : start + n]]), at + 1)
 
     def odds(p: Column) -> Column:
-        at = len(ORDER) + 7
-        parts = [pick(0, len(ORDER), p["k"]), pick(len(ORDER), 7, p["size"])] + [pick(at + 3 * i, 3, F.element_at(p["votes"], i + 1) + 1) for i in range(len(LABELERS))]
-        return reduce(lambda a, b: a + b, parts, F.lit(w[-1]))
+        parts = [_pick(w[s : s + len(ORDER) * n], p["k"] * n + v) for s, (v, n) in zip(_STARTS, _split(p["cell"]), strict=False)]
+        return reduce(lambda a, b: a + b, [_pick(w[: len(ORDER)], p["k"]), *parts], F.lit(w[-1]))
 
-    base = F.filter(column, lambda p: p["base"])
-    valid_shape = lambda p: F.element_at(p["votes"], 1) == 1
-    extra = F.filter(column, lambda p: ~p["base"] & valid_shape(p) & (odds(p) >= float(np.log(sure / (1 - sure)))) & ~F.exists(base, lambda b: (b["s"] < p["e"]) & (p["s"] < b["e"])))
-    return F.array_sort(F.concat(base, extra))
+    sure_of = F.filter(column, lambda p: p["base"] | ((F.element_at(p["votes"], 1) == 1) & (odds(p) >= float(np.log(sure / (1 - sure))))))
+    by_start = F.sort_array(F.transform(sure_of, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), p["k"].alias("k"), p["base"].alias("base"))))
+
+    def free(spans: Column) -> Column:
+        covered = _running(F.transform(spans, lambda x: F.when(x["base"], x["e"]).otherwise(0)), 0, F.greatest)
+        next_base = F.reverse(_running(F.reverse(F.transform(spans, lambda x: F.when(x["base"], x["s"]).otherwise(_FAR))), _FAR, F.least))
+        return _let(covered, lambda c: _let(next_base, lambda b: F.filter(spans, lambda x, i: x["base"] | ((F.element_at(c, i + 1) <= x["s"]) & (F.element_at(b, i + 1) >= x["e"])))))
+
+    return _let(by_start, lambda spans: F.when(F.exists(spans, lambda x: ~x["base"]), free(spans)).otherwise(spans))
 
 
 def _joined(spans: Column) -> Column:
@@ -222,38 +294,62 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda p: F.concat_ws(":", F.element_at(name, p["k"] + 1), p["s"], p["e"])), ",")
 
 
+def _listed(spans: Column) -> Column:
+    """Spans as text, by kind and start."""
+    return _joined(F.sort_array(F.transform(spans, lambda p: F.struct(p["k"].alias("k"), p["s"].alias("s"), p["e"].alias("e")))))
+
+
 def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of `docs` (doc_id, text; others are ignored).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row of `docs` (doc_id, text; others are ignored).
 
-    spans are kind:start:end in code points, end exclusive, by kind and start. Null or empty text has none. Null ids and
-    repeated rows stay; an empty table gives no rows. Rows are mapped; only the table of vote counts is shuffled.
+    spans are kind:start:end in code points, end exclusive, by kind and start; n_added of them are not base spans. Null or
+    empty text has none. Null ids and repeated rows stay; an empty table gives no rows. Rows are mapped; only the tables of
+    counts are shuffled.
     """
     own = checkpointed(found(docs.select("doc_id", "text")).drop("text"))
-    weights = train(own)
-    base = F.array_sort(F.filter("proposals", lambda p: p["base"]))
-    count = lambda k: F.size(F.filter("proposals", lambda p: p["base"] & (p["k"] == k))).cast("long").alias(f"n_{KINDS[k]}")
-    return own.select("doc_id", *[count(k) for k in range(len(KINDS))], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(accepted(weights)).alias("spans"))
+    spans = own.select("doc_id", accepted(train(own)).alias("spans"))
+    base = F.filter("spans", lambda p: p["base"])
+    count = lambda k: F.size(F.filter("spans", lambda p: p["base"] & (p["k"] == k))).cast("long").alias(f"n_{KINDS[k]}")
+    added = F.size(F.filter("spans", lambda p: ~p["base"])).cast("long").alias("n_added")
+    return spans.select("doc_id", *[count(k) for k in range(len(KINDS))], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), added)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with every accepted span of `text` replaced by its kind in angle brackets; other columns and rows stay.
 
-    Where spans overlap, the first one is replaced and the rest of the other one goes with it. A null text stays null.
+    Where spans overlap, the first one is replaced (of those that start together the longest) and the rest of the others goes
+    with it. A null or empty text stays as it is; repeated rows get the same text; an empty table gives no rows. The proposals
+    are found once and written beside the rows, under a name that no column has.
     """
-    proposed = found(docs, "_proposals")
-    weights = train(proposed.select("_proposals"), "_proposals")
-    name = F.array(*[F.lit(k) for k in ORDER])
-    by_start = lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).otherwise(b["e"] - a["e"])
-    spans = F.array_sort(accepted(weights, "_proposals"), by_start)
-
-    def step(acc: Column, p: Column) -> Column:
-        new = F.concat(acc["out"], F.array(F.substr("text", acc["at"] + 1, p["s"] - acc["at"]), F.concat(F.lit("<"), F.element_at(name, p["k"] + 1), F.lit(">"))))
-        return F.struct(F.greatest(acc["at"], p["e"]).alias("at"), F.when(p["s"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("text", acc["at"] + 1)))
-    out = proposed.withColumn("_spans", spans).withColumn("text", F.when(F.col("text").isNotNull() & (F.size("_spans") > 0), text).otherwise(F.col("text")))
-    return out.drop("_proposals", "_spans")
+    name = next(n for k in range(len(docs.columns) + 1) if (n := f"proposals{k}") not in {c.lower() for c in docs.columns})
+    proposed = written(found(docs, name))
+    tag = F.array(*[F.lit(f"<{k}>") for k in ORDER])
+    text = F.col("text").cast("string")
+
+    def pieces(spans: Column) -> Column:
+        """The text with its spans replaced; spans are sorted by start, the longest first."""
+
+        def opening(ends: Column) -> Column:  # spans that begin after all others before them, and where those end
+            before = lambda i: F.when(i == 0, 0).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))))
+            all_ = F.transform(spans, lambda x, i: F.struct(before(i).alias("at"), x["s"].alias("s"), x["k"].alias("k")))
+            return F.filter(all_, lambda x: x["s"] >= x["at"])
+
+        def block(part: Column) -> Column:  # of the whole text only the block's own stretch is cut up
+            at = F.element_at(part, 1)["at"]
+            stretch = F.substr(text, at + 1, F.element_at(part, -1)["s"] - at)
+            return _let(stretch, lambda sub: F.array_join(F.transform(part, lambda x: F.concat(F.substr(sub, x["at"] - at + 1, x["s"] - x["at"]), F.element_at(tag, x["k"] + 1))), ""))
+
+        def built(opened: Column) -> Column:
+            cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(opened) - 1) / BLOCK).cast("int")), lambda k: F.slice(opened, k * BLOCK + 1, BLOCK))
+            return F.array_join(F.transform(cut, block), "")
+
+        ends = _running(F.transform(spans, lambda x: x["e"]), 0, F.greatest)
+        return _let(ends, lambda e: F.concat(_let(opening(e), built), F.substr(text, F.element_at(e, -1) + 1)))
+
+    longest_first = F.transform(accepted(train(proposed, name), name), lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("e"), p["k"].alias("k")))
+    spans = F.transform(F.sort_array(longest_first), lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("e"), p["k"].alias("k")))
+    clean = _let(spans, lambda s: F.when(text.isNotNull() & (F.size(s) > 0), pieces(s)).otherwise(text))
+    return proposed.withColumn("text", F.when(F.size(name) > 0, clean).otherwise(text)).select(docs.columns)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
