@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written once to the folder that all executors share, lineage cut.
+def _shared_folder(df: DataFrame) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder.
 
-    The folder is the session's `spark.checkpoint.dir`. Only a session without that setting (tests, a notebook) gets a
-    local temporary folder.
+    A session on a cluster has to name it in `spark.checkpoint.dir`. One whose tasks all run in the driver's own process
+    (master local) shares every folder with itself and uses `spark-checkpoints` below the warehouse where none is named.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/spark-checkpoints")
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder, lineage cut."""
+    _shared_folder(df)
     return df.checkpoint()
 
 
@@ -38,9 +46,7 @@ def labelled(labels: DataFrame, column: str, allowed: Column, most: int) -> Data
 def written(df: DataFrame) -> DataFrame:
     """As `checkpointed`, but as Parquet: smaller for many narrow rows. Removed when the driver ends."""
     sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4()}"
+    path = f"{_shared_folder(df)}/{uuid.uuid4()}"
     df.write.parquet(path)
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)

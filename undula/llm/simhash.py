@@ -60,7 +60,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("a radius of 0, 1 or 2 is supported: half of it is at most one flipped bit")
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
     near = F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x)) if radius else F.array().cast("array<bigint>")
-    emitted = fps.select("fp", F.explode(F.concat(F.array("fp"), near)).alias("variant"))
+    spread = fps.repartition(fps.sparkSession.sparkContext.defaultParallelism * 4, "fp")  # few narrow rows would be put together into few tasks
+    emitted = spread.select("fp", F.explode(F.concat(F.array("fp"), near)).alias("variant"))
     met = emitted.groupBy("variant").agg(F.collect_list("fp").alias("all")).filter("size(all) > 1")
     pairs = met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a <> b")
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
