@@ -59,23 +59,41 @@ def peaks(marked: DataFrame, keys: list[str], distance: int) -> DataFrame:
     return ranked.select(*keys, F.inline(kept)).select(*keys, "p", "h")
 
 
+def _with(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def widths(marked: DataFrame, found: DataFrame, keys: list[str], rel_height: float = REL_HEIGHT) -> DataFrame:
     """(keys, p, h, prominence, width): width in samples at `rel_height` of the prominence, crossings interpolated.
 
-    Each segment's values stay one array (bounded by the segment), so peaks join it once.
+    A segment is one row with its values and its peaks as arrays (bounded by the segment); values aren't repeated for peaks.
     """
     values = marked.groupBy(keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("v"))
-    j = found.join(values, keys).withColumn("_n", F.size("v"))
+    tops = found.groupBy(keys).agg(F.collect_list(F.struct("p", "h")).alias("_tops"))
     at = lambda k: F.element_at("v", k + 1)
-    before, after = F.when(F.col("p") > 0, F.sequence(F.lit(0), F.col("p") - 1)), F.when(F.col("p") < F.col("_n") - 1, F.sequence(F.col("p") + 1, F.col("_n") - 1))
-    j = j.withColumns({"_lb": F.coalesce(F.array_max(F.filter(before, lambda k: at(k) > F.col("h"))), F.lit(-1)), "_rb": F.coalesce(F.array_min(F.filter(after, lambda k: at(k) > F.col("h"))), F.col("_n"))})
-    low = F.greatest(F.array_min(F.slice("v", F.col("_lb") + 2, F.col("p") - F.col("_lb"))), F.array_min(F.slice("v", F.col("p") + 1, F.col("_rb") - F.col("p"))))
-    j = j.withColumn("prominence", F.col("h") - low).withColumn("_e", F.col("h") - F.col("prominence") * rel_height)
-    j = j.withColumns({"_li": F.array_max(F.filter(before, lambda k: at(k) <= F.col("_e"))), "_ri": F.array_min(F.filter(after, lambda k: at(k) <= F.col("_e")))})
-    e = F.col("_e")
-    left = F.col("_li") + F.when(at(F.col("_li")) < e, (e - at(F.col("_li"))) / (at(F.col("_li") + 1) - at(F.col("_li")))).otherwise(0.0)
-    right = F.col("_ri") - F.when(at(F.col("_ri")) < e, (e - at(F.col("_ri"))) / (at(F.col("_ri") - 1) - at(F.col("_ri")))).otherwise(0.0)
-    return j.withColumn("width", right - left).select(*keys, "p", "h", "prominence", "width")
+    n = F.size("v")
+
+    def crossing(p: Column, side: int, e: Column) -> Column:
+        """Where the values first come down to e on one side of p, interpolated towards the peak."""
+        near = F.when(p > 0, F.reverse(F.sequence(F.lit(0), p - 1))) if side < 0 else F.when(p < n - 1, F.sequence(p + 1, n - 1))
+        first = F.try_element_at(F.filter(near, lambda k: at(k) <= e), F.lit(1))
+        return _with(first, lambda k: k - side * F.when(at(k) < e, (e - at(k)) / (at(k - side) - at(k))).otherwise(0.0))
+
+    def lowest(p: Column, h: Column) -> Column:
+        """The higher of the two lowest values between the peak and the nearest higher value on each side."""
+        before = F.when(p > 0, F.sequence(F.lit(0), p - 1))
+        after = F.when(p < n - 1, F.sequence(p + 1, n - 1))
+        left = F.coalesce(F.array_max(F.filter(before, lambda k: at(k) > h)), F.lit(-1))
+        right = F.coalesce(F.array_min(F.filter(after, lambda k: at(k) > h)), n)
+        return F.greatest(_with(left, lambda k: F.array_min(F.slice("v", k + 2, p - k))), _with(right, lambda k: F.array_min(F.slice("v", p + 1, k - p))))
+
+    def measured(x: Column) -> Column:
+        p, h = x["p"], x["h"]
+        end = lambda low: _with(h - (h - low) * rel_height, lambda e: crossing(p, 1, e) - crossing(p, -1, e))
+        return _with(lowest(p, h), lambda low: F.struct(p.alias("p"), h.alias("h"), (h - low).alias("prominence"), end(low).alias("width")))
+
+    return values.join(tops, keys).select(*keys, F.inline(F.transform("_tops", measured)))
 
 
 def bursts(found: DataFrame, keys: list[str], fs: float, tau: float) -> DataFrame:
@@ -166,7 +184,9 @@ def sample_entropy(samples: DataFrame, keys: list[str], m: int = SAMPEN_M, r: fl
 def all_features(samples: DataFrame, keys: list[str], fs: float = FS, tau: float = 2.0, k: float = THRESHOLD_K, bins: int = SHANNON_BINS, r: float = SAMPEN_R, distance: int | None = None) -> DataFrame:
     """The 14 features of every segment, all null where the gate isn't passed. Every part is keyed alike, so joins don't reshuffle."""
     ok = gate(samples, keys)
-    good = samples.join(ok.filter("ok").select(keys), keys, "left_semi")
+    w = Window.partitionBy(keys)
+    passed = (F.count("*").over(w) >= 5) & F.bool_and(_finite(F.col("x"))).over(w)
+    good = samples.withColumn("_passed", passed).filter("_passed").drop("_passed")
     parts = [peak_features(threshold(good, keys, k), keys, fs, tau, distance), energy(good, keys), shannon_entropy(good, keys, bins), permutation_entropy(good, keys), sample_entropy(good, keys, r=r).select(*keys, "sampen")]
     out = ok.select(keys)
     for p in parts:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +17,35 @@ def permuted(rows: DataFrame, columns: list[str], by: list[str], order: str, see
     return j.withColumns({c: F.col(f"_o_{c}") for c in columns}).select(rows.columns)
 
 
+def all_permuted(rows: DataFrame, families: dict[str, list[str]], by: list[str], order: str, permutations: int) -> DataFrame:
+    """`rows` once for every (permutation, feature_group), each with that family's columns permuted as `permuted` does."""
+    variants = F.array(*[F.struct(F.lit(p).alias("permutation"), F.lit(f).alias("feature_group")) for p in range(permutations) for f in families])
+    columns = sorted({c for cs in families.values() for c in cs})
+    natural = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    each = rows.withColumn("_k", natural).select("*", F.inline(variants))
+    group = [*by, "permutation", "feature_group"]
+    seed = F.concat_ws(":", F.col("permutation").cast("string"), "feature_group", *[F.col(b).cast("string") for b in by], F.col(order).cast("string"))
+    drawn = F.row_number().over(Window.partitionBy(group).orderBy(F.md5(seed), order))
+    other = each.select(*group, drawn.alias("_k"), *[F.col(c).alias(f"_o_{c}") for c in columns])
+    held = {c: [f for f, cs in families.items() if c in cs] for c in columns}
+    j = each.join(other, [*group, "_k"])
+    return j.withColumns({c: F.when(F.col("feature_group").isin(held[c]), F.col(f"_o_{c}")).otherwise(F.col(c)) for c in columns}).select(*rows.columns, "permutation", "feature_group")
+
+
 def importance(validation: DataFrame, families: dict[str, list[str]], score, order: str, permutations: int = 1, by: tuple[str, ...] = ("repeat", "fold")) -> DataFrame:
-    """(repeat, permutation, feature_group, baseline_ap, permuted_ap, decrease_ap).
+    """(repeat, permutation, feature_group, n_features, baseline_ap, permuted_ap, decrease_ap).
 
-    `score` maps rows to rows with a score; the models behind it are fitted once and reused. Records are scored by their
-    largest segment score, folds pooled per repeat.
+    `score` maps rows to the same rows with a score; the models behind it are fitted once and reused. All permutations of all
+    families are rows of one table, so they are scored in one pass. Records are scored by their largest segment score, folds
+    pooled per repeat.
     """
-    def ap(rows: DataFrame, name: str) -> DataFrame:
-        return average_precision(record_scores(score(rows), ["repeat"]), ["repeat"]).withColumnRenamed("average_precision", name)
-
-    base = ap(validation, "baseline_ap")
-    parts = []
-    for p in range(permutations):
-        for family, columns in families.items():
-            moved = ap(permuted(validation, columns, list(by), order, f"{p}:{family}"), "permuted_ap")
-            parts.append(moved.select("repeat", F.lit(p).alias("permutation"), F.lit(family).alias("feature_group"), "permuted_ap", F.lit(len(columns)).alias("n_features")))
-    both = reduce(DataFrame.union, parts).join(base, "repeat")
+
+    def ap(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return average_precision(record_scores(score(rows), keys), keys).withColumnRenamed("average_precision", name)
+
+    moved = ap(all_permuted(validation, families, list(by), order, permutations), ["repeat", "permutation", "feature_group"], "permuted_ap")
+    sizes = F.create_map(*[F.lit(x) for f, cs in families.items() for x in (f, len(cs))])
+    both = moved.withColumn("n_features", sizes[F.col("feature_group")]).join(ap(validation, ["repeat"], "baseline_ap"), "repeat")
     return both.withColumn("decrease_ap", F.col("baseline_ap") - F.col("permuted_ap"))
 
 

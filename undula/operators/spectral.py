@@ -16,19 +16,19 @@ def autocorrelation(samples: DataFrame, keys: list[str], max_lag: int) -> DataFr
     """(keys, lag, r): autocorrelation of the demeaned signal up to `max_lag` samples (at most size - 1), over r[0] + eps.
 
     A signal of fewer than three samples, with a null or non-finite one, or without spread has lag 0 with value 1 only.
-    Samples are joined to themselves shifted, on the segment and the place, so no pair beyond the lags is made.
+    Each segment is one row with its values as an array, and every lag a sum over two slices of it: samples are shuffled once,
+    by segment, whatever the number of lags.
     """
-    w = Window.partitionBy(keys)
     finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf"))
-    s = samples.withColumns({"_size": F.count("*").over(w), "_ok": F.bool_and(finite).over(w)})
-    s = s.withColumn("_d", F.when(F.col("_ok"), F.col("x") - F.avg("x").over(w))).withColumn("_flat", ~F.col("_ok") | (F.col("_size") < 3) | (F.max(F.abs("_d")).over(w) <= 1e-8))
-    good = s.filter("not _flat").select(*keys, "i", "_d", "_size")
-    lags = good.select(*keys, F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag), F.col("_size").cast("int") - 1))).alias("lag"), F.col("i").alias("_i"), F.col("_d").alias("_a"))
-    j = lags.withColumn("i", F.col("_i") + F.col("lag")).join(good.select(*keys, "i", "_d"), [*keys, "i"])
-    sums = j.groupBy(*keys, "lag").agg(F.sum(F.col("_a") * F.col("_d")).alias("_s"))
-    r0 = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(w)
-    flat = s.filter("_flat").select(*keys).distinct().select(*keys, F.lit(0).alias("lag"), F.lit(1.0).alias("r"))
-    return sums.withColumn("r", F.col("_s") / (r0 + EPS)).select(*keys, "lag", "r").union(flat)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"])
+    s = samples.groupBy(keys).agg(ordered.alias("_x"), F.count("*").cast("int").alias("_n"), F.bool_and(finite).alias("_ok"), F.avg("x").alias("_mean"))
+    s = s.withColumn("_d", F.when(F.col("_ok"), F.transform("_x", lambda v: v - F.col("_mean"))))
+    s = s.withColumn("_flat", ~F.col("_ok") | (F.col("_n") < 3) | (F.array_max(F.transform("_d", F.abs)) <= 1e-8))
+    part = lambda k: F.zip_with(F.slice("_d", F.lit(1), F.col("_n") - k), F.slice("_d", k + 1, F.col("_n") - k), lambda a, b: a * b)
+    total = lambda k: F.aggregate(part(k), F.lit(0.0), lambda a, v: a + v)
+    sums = s.select(*keys, F.when(~F.col("_flat"), F.transform(F.sequence(F.lit(0), F.least(F.lit(max_lag), F.col("_n") - 1)), total)).alias("_s"))
+    values = F.coalesce(F.transform("_s", lambda v: v / (F.element_at("_s", 1) + EPS)), F.array(F.lit(1.0)))
+    return sums.select(*keys, F.posexplode(values).alias("lag", "r"))
 
 
 def welch_values(x: np.ndarray, fs: float, nperseg: int) -> tuple[np.ndarray, np.ndarray]:
