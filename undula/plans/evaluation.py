@@ -94,6 +94,14 @@ def cv_leaks(spark, d):
     return G.leaks(e.filter("train"), e.filter("not train"), ["repeat", "fold", "record"])
 
 
+@query(f"WITH {ML} SELECT CAST(t.fold AS BIGINT) AS fold, t.record FROM (SELECT DISTINCT f.range AS fold, record FROM ml, range(5) f WHERE segment_id % 5 <> f.range) t JOIN (SELECT DISTINCT segment_id % 5 AS fold, record FROM ml) v USING (fold, record)")
+def cv_segment_leaks(spark, d):
+    """Records on both sides when segments, not records, are dealt out to folds."""
+    ml = S.ml_features(spark, d, 3).select("record", (F.col("segment_id") % 5).alias("own"))
+    rows = ml.select("record", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("fold"))
+    return G.leaks(rows.filter("own <> fold"), rows.filter("own = fold"), ["fold", "record"])
+
+
 @query("SELECT record, CASE WHEN n = 0 THEN 'missing' ELSE 'repeated' END AS problem FROM (SELECT CAST(o.c AS VARCHAR) AS record, coalesce(n, 0) AS n FROM (SELECT c_custkey AS c FROM customer) o LEFT JOIN (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1) k USING (c)) WHERE n = 0 OR n > 1")
 def cv_coverage(spark, d):
     want = S.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("record"))
@@ -262,23 +270,55 @@ def asm_tall_families(spark, d):
     return A.tall(wide, ["segment_id", "record"], names).withColumn("family", family[F.col("feature")])
 
 
-@query()
+IMP = NB + f""", va AS (SELECT *, row_number() OVER (PARTITION BY repeat, fold ORDER BY segment_id) AS k FROM ex WHERE NOT train),
+ dr AS (SELECT va.*, g, row_number() OVER (PARTITION BY g, repeat, fold ORDER BY md5('0:' || g || ':' || repeat || ':' || fold || ':' || segment_id), segment_id) AS dk FROM va, (SELECT unnest(['first', 'rest']) AS g)),
+ mv AS (SELECT va.segment_id, va.record, va.label, va.repeat, va.fold, va.train, o.g, CASE WHEN o.g = 'first' THEN o.f1 ELSE va.f1 END AS f1, CASE WHEN o.g = 'rest' THEN o.f2 ELSE va.f2 END AS f2, CASE WHEN o.g = 'rest' THEN o.f3 ELSE va.f3 END AS f3
+  FROM va JOIN dr o ON o.repeat = va.repeat AND o.fold = va.fold AND o.dk = va.k
+  UNION ALL SELECT segment_id, record, label, repeat, fold, train, 'base', f1, f2, f3 FROM va),
+ ms AS (SELECT mv.*, 1 / (1 + exp(least(({_LD("a")}) - ({_LD("b")}), 700))) AS score FROM mv JOIN tv USING (repeat, fold)
+  JOIN st a ON a.repeat = mv.repeat AND a.fold = mv.fold AND a.label = 0 JOIN st b ON b.repeat = mv.repeat AND b.fold = mv.fold AND b.label = 1),
+ mr AS (SELECT g, repeat, record, min(label) AS label, max(score) AS score FROM ms GROUP BY g, repeat, record),
+ mg AS (SELECT g, repeat, score, count(*) FILTER (label = 1) AS ph, count(*) FILTER (label = 0) AS nh FROM mr GROUP BY ALL),
+ mu AS (SELECT *, sum(ph) OVER d AS tp, sum(nh) OVER d AS fp, sum(ph) OVER v AS pos FROM mg WINDOW d AS (PARTITION BY g, repeat ORDER BY score DESC), v AS (PARTITION BY g, repeat)),
+ ma AS (SELECT g, repeat, sum(ph / pos * (tp / (tp + fp))) AS ap FROM mu GROUP BY g, repeat),
+ im AS (SELECT x.repeat, CAST(0 AS INTEGER) AS permutation, x.g AS feature_group, CAST(CASE x.g WHEN 'first' THEN 1 ELSE 2 END AS INTEGER) AS n_features, b.ap AS baseline_ap, x.ap AS permuted_ap, b.ap - x.ap AS decrease_ap FROM ma x JOIN ma b ON b.repeat = x.repeat AND b.g = 'base' WHERE x.g <> 'base')"""
+_GROUPS = {"first": ["f1"], "rest": ["f2", "f3"]}
+
+
+@query(f"WITH {IMP} SELECT repeat, permutation, feature_group, n_features, round(baseline_ap, 6) AS baseline_ap, round(permuted_ap, 6) AS permuted_ap, round(decrease_ap, 6) AS decrease_ap FROM im")
 def imp_grouped_nb(spark, d):
     """Grouped permutation importance with naive Bayes as the model; its parameters are fitted on training rows only."""
+    return r6(grouped_nb(spark, d))
+
+
+def grouped_nb(spark, d) -> DataFrame:
     rows = split_rows(spark, d)
     train = rows.filter("train")
 
     def score(validation: DataFrame) -> DataFrame:
-        both = train.unionByName(validation)
-        return M.naive_bayes(both, FEATURES).filter("not train")
+        return M.naive_bayes(train.unionByName(validation, allowMissingColumns=True).select(validation.columns), FEATURES).filter("not train")
 
-    out = I.importance(rows.filter("not train"), {"first": ["f1"], "rest": ["f2", "f3"]}, score, "segment_id")
-    return r6(out)
+    return I.importance(rows.filter("not train"), _GROUPS, score, "segment_id")
 
 
-@query()
+@query(f"WITH {IMP} SELECT feature_group, round(avg(decrease_ap), 6) AS mean_decrease_ap, count(DISTINCT repeat) AS n_repeats, count(DISTINCT permutation) AS n_permutations, count(*) AS n, CAST(max(n_features) AS INTEGER) AS n_features FROM im GROUP BY feature_group")
 def imp_summary(spark, d):
-    return r6(I.importance_summary(imp_grouped_nb(spark, d)))
+    return r6(I.importance_summary(grouped_nb(spark, d)))
+
+
+@query()
+def imp_grouped_forest(spark, d):
+    """Grouped permutation importance with the forest, at the preset's size: every fold's forest is fitted once and scores all permutations."""
+    rows = P.standardised(split_rows(spark, d), FEATURES)
+    validation = rows.filter("not train")
+    moved = I.all_permuted(validation, _GROUPS, ["repeat", "fold"], "segment_id", 1).unionByName(validation.withColumns({"permutation": F.lit(-1), "feature_group": F.lit("base")}))
+    both = rows.filter("train").withColumns({"permutation": F.lit(-1), "feature_group": F.lit("")}).unionByName(moved)
+    scored = M.fitted(both, FEATURES, "Random Forest").filter("not train").select("repeat", "permutation", "feature_group", "record", "label", "score")
+    by = ["repeat", "permutation", "feature_group"]
+    ap = E.average_precision(E.record_scores(scored, by), by)
+    base = ap.filter("permutation < 0").select("repeat", F.col("average_precision").alias("baseline_ap"))
+    out = ap.filter("permutation >= 0").withColumnRenamed("average_precision", "permuted_ap").join(base, "repeat")
+    return r6(out.withColumn("decrease_ap", F.col("baseline_ap") - F.col("permuted_ap")))
 
 
 LONG = ML + ", ln AS (SELECT record, label, segment_id, 'ch1' AS channel, 'A' AS feature, f1 AS value FROM ml UNION ALL SELECT record, label, segment_id, 'ch2', 'A', CASE WHEN f2 > 0.1 THEN NULL ELSE f2 END FROM ml UNION ALL SELECT record, label, segment_id, 'ch1', 'B', f3 FROM ml), sg AS (SELECT record, label, segment_id, feature, avg(value) AS value FROM ln GROUP BY ALL), rm AS (SELECT record, label, feature, avg(value) AS value FROM sg GROUP BY ALL)"
@@ -396,7 +436,26 @@ def model_boosted_deep_oof(spark, d):
     return r6(model_oof(spark, d, "boosted-deep"))
 
 
-@query()
+_ZS = ", ".join(f"(ex.{f} - m_{f}) / s_{f} AS {f}" for f in FEATURES)
+_ZM = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES)
+_CV = ", ".join(f"0.5::DOUBLE * covar_samp({FEATURES[i]}, {FEATURES[j]}) + {0.5 if i == j else 0.0}::DOUBLE AS c{i}{j}" for i in range(3) for j in range(i, 3))
+
+
+def _qda(y: str) -> str:
+    """Log of a class's share times its density but for what both classes share; the 3 x 3 inverse by cofactors."""
+    c = lambda i, j: f"{y}.c{min(i, j)}{max(i, j)}"
+    det = f"({c(0, 0)} * ({c(1, 1)} * {c(2, 2)} - {c(1, 2)} * {c(1, 2)}) - {c(0, 1)} * ({c(0, 1)} * {c(2, 2)} - {c(1, 2)} * {c(0, 2)}) + {c(0, 2)} * ({c(0, 1)} * {c(1, 2)} - {c(1, 1)} * {c(0, 2)}))"
+    cof = {(0, 0): f"{c(1, 1)} * {c(2, 2)} - {c(1, 2)} * {c(1, 2)}", (1, 1): f"{c(0, 0)} * {c(2, 2)} - {c(0, 2)} * {c(0, 2)}", (2, 2): f"{c(0, 0)} * {c(1, 1)} - {c(0, 1)} * {c(0, 1)}",
+           (0, 1): f"{c(0, 2)} * {c(1, 2)} - {c(0, 1)} * {c(2, 2)}", (0, 2): f"{c(0, 1)} * {c(1, 2)} - {c(0, 2)} * {c(1, 1)}", (1, 2): f"{c(0, 1)} * {c(0, 2)} - {c(0, 0)} * {c(1, 2)}"}
+    r = lambda i: f"(z.{FEATURES[i]} - {y}.m_{FEATURES[i]})"
+    form = " + ".join(f"{1 if i == j else 2} * ({cof[i, j]}) * {r(i)} * {r(j)}" for i, j in cof)
+    return f"ln({y}.n) - 0.5 * (ln({det}) + ({form}) / {det})"
+
+
+@query(f"""WITH {EX}, zm AS (SELECT repeat, fold, {_ZM} FROM ex WHERE train GROUP BY repeat, fold), z AS (SELECT ex.record, ex.label, ex.repeat, ex.fold, ex.train, {_ZS} FROM ex JOIN zm USING (repeat, fold)),
+ q AS (SELECT repeat, fold, label, count(*)::DOUBLE AS n, {", ".join(f"avg({f}) AS m_{f}" for f in FEATURES)}, {_CV} FROM z WHERE train GROUP BY repeat, fold, label),
+ s AS (SELECT z.*, 1 / (1 + exp(({_qda("a")}) - ({_qda("b")}))) AS score FROM z JOIN q a ON a.repeat = z.repeat AND a.fold = z.fold AND a.label = 0 JOIN q b ON b.repeat = z.repeat AND b.fold = z.fold AND b.label = 1)
+ SELECT repeat, fold, record, CAST(min(label) AS INTEGER) AS label, round(max(score), 6) AS score FROM s WHERE NOT train GROUP BY repeat, fold, record""")
 def model_qda_oof(spark, d):
     s = M.quadratic_discriminant(P.standardised(split_rows(spark, d), FEATURES), FEATURES)
     return r6(E.record_scores(s.filter("not train"), ["repeat", "fold"]))

@@ -241,7 +241,27 @@ def tall(spark, d) -> DataFrame:
     return w.select("record", "segment_id", "i", F.stack(F.lit(2), F.lit("ch1"), "x", F.lit("ch2"), "x2").alias("channel", "x"))
 
 
-@query()
+def _all_sql() -> str:
+    """All parts above on both channels at once: a record's channels are records of their own until the last step."""
+    both = WIN.replace("w AS (", "w0 AS (").replace("i, x FROM ev", "i, x, x2 FROM ev") + """, w AS (SELECT record || '|ch1' AS record, segment_id, i, x FROM w0 UNION ALL SELECT record || '|ch2', segment_id, i, x2 FROM w0)"""
+    names = {"PEAK_RATE": "coalesce(p.n, 0) / dur", "PEAK_AMP_MEAN": "am", "PEAK_AMP_CV": "ac", "IPI_MEAN": "im", "IPI_CV": "ic", "PW_MEAN": "pw", "BURST_RATE": "coalesce(p.b, 0) / dur", "PEAKS_PER_BURST_MEAN": "p.n / p.b", "DASDV": "dasdv", "LOG": "lg", "MTKE": "mtke", "SE": "se", "perm_entropy": "pe", "sampen": "CASE WHEN st.a > 0 AND st.b > 0 THEN -ln(st.a / st.b) END"}
+    pick = ", ".join(f"round(max({v}) FILTER (right(k.record, 3) = '{c}'), 6) AS \"{c}_{n}\"" for c in ("ch1", "ch2") for n, v in names.items())
+    return WIDE.replace(WIN, both) + f""", pr AS (SELECT record, segment_id, count(*) AS n, avg(h) AS am, CASE WHEN count(*) >= 2 THEN stddev_pop(h) / (avg(h) + 1e-12) END AS ac, avg(gap) AS im,
+  CASE WHEN count(*) >= 3 THEN stddev_pop(gap) / (avg(gap) + 1e-12) END AS ic, avg(width) / 20 AS pw, max(burst) AS b FROM bu GROUP BY ALL),
+ k AS (SELECT record, segment_id, count(*) / (20.0::DOUBLE + 1e-12) + 1e-12 AS dur FROM w GROUP BY ALL),
+ l AS (SELECT *, lag(x) OVER p AS a, lead(x) OVER p AS b, lead(x, 2) OVER p AS c, 0.5::DOUBLE * stddev_pop(x) OVER (PARTITION BY record, segment_id) AS tol, min(x) OVER (PARTITION BY record, segment_id) AS lo, max(x) OVER (PARTITION BY record, segment_id) AS hi FROM w WINDOW p AS (PARTITION BY record, segment_id ORDER BY i)),
+ en AS (SELECT record, segment_id, sqrt(avg((x - a) * (x - a))) AS dasdv, exp(avg(ln(abs(x) + 1e-12))) AS lg, avg(x * x - a * b) AS mtke FROM l GROUP BY ALL),
+ hb AS (SELECT record, segment_id, CASE WHEN hi > lo THEN least(floor((x - lo) / nullif(hi - lo, 0) * 8), 7) ELSE 0 END AS bin, count(*) AS n FROM l GROUP BY ALL),
+ hp AS (SELECT record, segment_id, n / sum(n) OVER (PARTITION BY record, segment_id) AS p FROM hb), sh AS (SELECT record, segment_id, abs(-sum(p * ln(p))) AS se FROM hp GROUP BY ALL),
+ q AS (SELECT record, segment_id, (x > b)::INT * 4 + (x > c)::INT * 2 + (b > c)::INT AS q, count(*) AS n FROM l WHERE c IS NOT NULL GROUP BY ALL),
+ qp AS (SELECT record, segment_id, n / (sum(n) OVER (PARTITION BY record, segment_id) + 1e-12) AS p FROM q), qe AS (SELECT record, segment_id, -sum(p * ln(p + 1e-12)) / ln(6) AS pe FROM qp GROUP BY ALL),
+ t AS (SELECT * FROM l WHERE c IS NOT NULL AND tol > 0),
+ st AS (SELECT s.record, s.segment_id, count(*) AS b, count(*) FILTER (abs(s.c - t.c) <= s.tol) AS a FROM t s JOIN t ON s.record = t.record AND s.segment_id = t.segment_id AND s.i < t.i AND abs(s.x - t.x) <= s.tol AND abs(s.b - t.b) <= s.tol GROUP BY ALL)
+ SELECT k.record[:-5] AS record, k.segment_id, {pick} FROM k JOIN en USING (record, segment_id) JOIN sh USING (record, segment_id) JOIN qe USING (record, segment_id)
+ LEFT JOIN pr p ON p.record = k.record AND p.segment_id = k.segment_id LEFT JOIN st ON st.record = k.record AND st.segment_id = k.segment_id GROUP BY 1, 2"""
+
+
+@query(_all_sql())
 def feat_all_wide(spark, d):
     """All 14 features of both channels in one wide row per segment."""
     from undula.operators.assemble import wide

@@ -9,7 +9,7 @@ from undula.operators import decompose as D
 from undula.operators import features as X
 from undula.operators import segments as G
 from undula.operators import spectral as W
-from undula.plans.signals import EV, KEYS, WIN, WIDTH, r6, tall, windows
+from undula.plans.signals import EV, KEYS, PAIRS, WIN, WIDTH, r6, tall, windows
 from undula.schema import FEATURES
 from undula.sources import tables as S
 
@@ -99,6 +99,35 @@ def emd_components(spark, d):
     return j.groupBy(KEYS).agg((F.max("_n") - 1).alias("n_modes"), (F.max(F.abs(F.col("_s") - F.col("x"))) < 1e-6).alias("sums_to_signal"))
 
 
+PRICES = """pr AS (SELECT CAST(l_suppkey AS VARCHAR) AS record, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS n, l_extendedprice AS x FROM lineitem),
+ ps AS (SELECT record, count(*) AS size FROM pr GROUP BY record), pw AS (SELECT record, CAST(n // 128 AS INTEGER) AS segment_id, CAST(n % 128 AS INTEGER) AS i, x FROM pr JOIN ps USING (record) WHERE n < size // 128 * 128)"""
+
+
+@query(f"WITH {PRICES} SELECT record, segment_id, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, true AS sums_to_signal, true AS modes_in_range, true AS whole_components, 0 AS n_absent, true AS one_at_lag_0 FROM pw GROUP BY record, segment_id")
+def emd_invariants(spark, d):
+    """What holds of every decomposition: its parts sum to the signal (whose mean and deviation are taken from that sum), there
+    are at most four modes, all of full length, a mode that isn't there has no rows, and every part correlates with itself."""
+    w = price_windows(spark, d)
+    made = D.decomposition(w, KEYS)
+    parts = D.components(made, KEYS)
+    total = parts.groupBy(*KEYS, "i").agg(F.sum("x").alias("_s"), F.count("*").alias("_n")).join(w, [*KEYS, "i"])
+    per = total.groupBy(KEYS).agg(F.avg("_s").alias("mean"), F.stddev_pop("_s").alias("deviation"), (F.max(F.abs(F.col("_s") - F.col("x"))) < 1e-6).alias("sums_to_signal"), (F.max("_n") <= 5).alias("modes_in_range"), ((F.min("_n") == F.max("_n")) & (F.count("*") == 128)).alias("whole_components"))
+    absent = made.select(*KEYS, F.size(F.coalesce(D.mode_number("imfs", 5), F.array().cast("array<double>"))).alias("n_absent"))
+    first = W.autocorrelation(parts, [*KEYS, "component"], 0).groupBy(KEYS).agg((F.max(F.abs(F.col("r") - 1)) < 1e-6).alias("one_at_lag_0"))
+    return r6(per.join(absent, KEYS).join(first, KEYS))
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT * FROM pairs WHERE kind = 'contraction'), u AS (SELECT * FROM pairs WHERE kind = 'dummy') SELECT record, n, x, round(x, 6) AS parts, n / 20.0::DOUBLE AS sec, CAST(EXISTS (SELECT 1 FROM c WHERE c.record = ev.record AND ev.n >= start_sample AND ev.n < end_sample) AS INTEGER) AS in_contraction, CAST(EXISTS (SELECT 1 FROM u WHERE u.record = ev.record AND ev.n >= start_sample AND ev.n < end_sample) AS INTEGER) AS in_dummy FROM ev")
+def emd_recording_sum(spark, d):
+    """Whole recordings: every sample, the sum of its parts, and the interval flags."""
+    ev = S.event_samples(spark, d).select("record", "n", "x")
+    parts = D.components(D.decomposition(ev.withColumnRenamed("n", "i"), ["record"]), ["record"])
+    total = parts.groupBy("record", F.col("i").cast("long").alias("n")).agg(F.sum("x").alias("parts"))
+    a = S.event_annotations(spark, d)
+    flagged = G.membership(G.membership(ev, G.marker_pairs(a, "BC", "EC"), "in_contraction"), G.marker_pairs(a, "BD", "ED"), "in_dummy")
+    return flagged.join(total, ["record", "n"]).withColumns({"parts": F.round("parts", 6), "sec": F.col("n") / 20.0})
+
+
 @query()
 def emd_mode_features(spark, d):
     """Features of the first mode of windows of 128 samples."""

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder where driver and executors can both write: below the session's checkpoint folder, or else its warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/tables-{uuid.uuid4()}"
+
+
 def write_features(features: DataFrame, path: str) -> None:
     """One table for all modes and sources, partitioned by them."""
     features.write.mode("overwrite").partitionBy("mode", "feature_source").parquet(path)
