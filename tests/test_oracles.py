@@ -7,9 +7,9 @@ import os
 import duckdb
 import pytest
 
-from undula.plans import evaluation, signals, spectra
+from undula.plans import evaluation, signals, spectra, tables
 
-PLANS = {n: (p.QUERIES[n], p.SQL[n]) for p in (signals, spectra, evaluation) for n in p.SQL}
+PLANS = {n: (p.QUERIES[n], p.SQL[n]) for p in (signals, spectra, evaluation, tables) for n in p.SQL}
 
 
 @pytest.fixture(scope="module")

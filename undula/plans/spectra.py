@@ -64,14 +64,15 @@ def sig_class_psd(spark, d):
     return r6(W.class_spectrum(record_psd(spark, d)))
 
 
-@query(f"""WITH {EV}, gr AS (SELECT record, unnest(range(0, 40)) * 1.0::DOUBLE + 0.5::DOUBLE AS t FROM (SELECT DISTINCT record FROM ev)),
- ev2 AS (SELECT record, n::DOUBLE * 2 AS t, x FROM ev WHERE n <= 15)
+@query(f"""WITH {EV}, gr AS (SELECT record, unnest(range(0, 4 * max(n) // 3 + 4)) * 1.5::DOUBLE AS t FROM ev GROUP BY record),
+ ev2 AS (SELECT record, n::DOUBLE * 2 AS t, x FROM ev)
  SELECT gr.record, gr.t, round(coalesce(a.x + (b.x - a.x) * (gr.t - a.t) / nullif(b.t - a.t, 0), a.x, b.x), 6) AS x FROM gr ASOF LEFT JOIN ev2 a ON a.record = gr.record AND a.t <= gr.t ASOF LEFT JOIN ev2 b ON b.record = gr.record AND b.t >= gr.t""")
 def sig_regrid(spark, d):
+    """Every record whole on a grid that meets some of its samples, lies between others, and goes on a little past the last."""
     ev = S.event_samples(spark, d)
-    curve = ev.filter("n <= 15").select("record", (F.col("n") * 2.0).alias("t"), "x")
-    grid = ev.select("record").distinct().select("record", F.explode(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: (k + 0.5).cast("double"))).alias("t"))
-    return r6(W.regridded(curve, grid, ["record"], "t", "x"))
+    ends = ev.groupBy("record").agg(F.floor(4 * F.max("n") / 3).cast("int").alias("_last"))
+    grid = ends.select("record", F.explode(F.transform(F.sequence(F.lit(0), F.col("_last") + 3), lambda k: k * F.lit(1.5).cast("double"))).alias("t"))
+    return r6(W.regridded(ev.select("record", (F.col("n") * 2.0).alias("t"), "x"), grid, ["record"], "t", "x"))
 
 
 @query(f"""WITH {EV}, gr AS (SELECT record, unnest(range(0, 2 * max(n))) * 1.0::DOUBLE + 0.5::DOUBLE AS t FROM ev GROUP BY record),
