@@ -45,7 +45,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is covered, each row by its own text."""
+    """Documents in which no benchmark item is covered, each row by its own text.
+
+    Null, empty and null-id rows are judged like any others (a text without tokens holds nothing); repeated rows stay or go
+    together; without documents nothing comes out, without benchmark items everything.
+    """
     keyed = docs.withColumn("_key", row_key())
     rows = keyed.select(F.col("_key").alias("doc_id"), "text")
     leaks = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
@@ -53,7 +57,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, spans of personal data replaced by their kind; n_chars follows the text where it is given."""
+    """All documents, spans of personal data replaced by their kind; n_chars follows the text where it is given.
+
+    Null texts stay null, null ids and repeated rows stay, equal texts get equal texts; an empty table stays empty.
+    """
     out = pii.redacted(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(F.coalesce("text", F.lit("")))).cast(dict(docs.dtypes)["n_chars"]))
@@ -61,6 +68,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences of all documents; null texts are their end id alone, repeated rows and null ids are packed each."""
     return packing.packed(docs)
 
 
@@ -76,7 +84,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table, each written as Parquet and read again as the next one's input."""
+    """All stages over the whole table, each written as Parquet and read again as the next one's input.
+
+    An empty table, or one of which a stage keeps nothing, gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from undula.llm import decontaminate, html_text, packing, pii, quality, simhash, toxicity, vector_dedup
+from undula.llm import decontaminate, html_text, packing, pii, quality, toxicity, vector_dedup
 
 EMPTY = "doc_id long, text string"
 
@@ -47,7 +47,8 @@ def auc(pairs):
 def test_classifiers_on_held_out_rows(spark, op, column, at):
     rows, labels = synthetic(600, 3)
     lab = frame(spark, [*labels, (None, 1, 1), (9999, None, None)], "doc_id long, quality int, toxic int")
-    got = op.scored(frame(spark, [*rows, (None, None), (700, ""), (5, rows[5][1])], EMPTY), lab).collect()
+    extra = [(*r, 7, 8, 0.5, "x") for r in [*rows, (None, None), (700, ""), (5, rows[5][1])]]
+    got = op.scored(frame(spark, extra, EMPTY + ", label int, part int, score double, x string"), lab).collect()
     assert len(got) == 603
     held = {r["doc_id"]: r["score"] for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 600}
     rest = (4, 2) if op is quality else (5, 0)
@@ -66,6 +67,35 @@ def test_classifiers_without_labels_or_rows(spark, op):
     assert op.scored(frame(spark, [(k, f"t{k}") for k in range(30)], EMPTY), one).count() == 30
 
 
+def test_ridge_and_calibration_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    n, d = 700, len(quality.STATISTICS)
+    x = rng.normal(size=(n, d)) * rng.uniform(0.1, 5, d) + 3
+    y = (np.sin(x[:, 0]) + x[:, 1] + rng.normal(size=n) > np.median(x[:, 1])).astype(int)
+    part = rng.integers(0, 5, n)
+    rows = frame(spark, [(a.tolist(), int(b), int(c)) for a, b, c in zip(x, y, part, strict=True)], "x array<double>, label int, part long").repartition(6)
+    lift, weights, at, value = quality.fit(rows)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    lifted = np.column_stack((np.ones(n), np.sqrt(2 / quality.FEATURES) * np.cos(z @ lift.turn + lift.shift)))
+    learn = part > 0
+    penalty = quality.RIDGE * learn.sum() * np.diag([1e-9] + [1 / (quality.FEATURES + 1)] * quality.FEATURES)
+    want = np.linalg.solve(lifted[learn].T @ lifted[learn] + penalty, lifted[learn].T @ y[learn])
+    assert np.allclose(weights, want, atol=1e-6)
+    raw = lifted[~learn] @ want
+    order = np.argsort(raw)
+    blocks = []  # pool adjacent violators
+    for v in y[~learn][order]:
+        blocks.append([float(v), 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            (a, p), (b, q) = blocks[-2:]
+            blocks[-2:] = [[(a * p + b * q) / (p + q), p + q]]
+    fitted = np.concatenate([[v] * k for v, k in blocks])
+    assert np.allclose(np.interp(raw[order], at, value), fitted, atol=1e-6)
+    kernel = np.exp(-((z[:60, None] - z[None, :60]) ** 2).sum(2) / (2 * d))
+    many = quality.FourierFeatures(x.mean(0), x.std(0), count=60_000)(x[:60])[:, 1:]
+    assert np.abs(many @ many.T - kernel).max() < 0.05
+
+
 def test_statistics_are_finite():
     for t in (None, "", " ", "\n\n", "a", "é" * 100, "x" * 100_000):
         x = quality.statistics(t)
@@ -283,6 +313,22 @@ def test_hostile_markup_ends():
         html_text.main_text(page)
 
 
+def jaccard_groups(texts):
+    """The smallest id that links of 0.8 or more over five-word shingles reach, for every id."""
+
+    def five(text):
+        w = (text or "").encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {k: five(t) for k, t in texts.items()}, {k: k for k in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
 def test_pipeline_stages(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "packing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
@@ -290,9 +336,8 @@ def test_pipeline_stages(spark, sf):
     total = docs.count()
     scores = {r["doc_id"]: r["score"] for r in quality.scored(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     assert {r["doc_id"] for r in stage["quality"](spark, docs, sf).collect()} == {k for k, s in scores.items() if s >= 0.7}
-    groups = simhash.near_duplicates(docs).collect()
     unique = stage["near_duplicates"](spark, docs, sf)
-    assert unique.columns == docs.columns and sorted(r["doc_id"] for r in unique.collect()) == sorted({r["component_id"] for r in groups})
+    assert unique.columns == docs.columns and sorted(r["doc_id"] for r in unique.collect()) == sorted(set(jaccard_groups({r["doc_id"]: r["text"] for r in docs.collect()}).values()))
     leaks = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert stage["decontamination"](spark, docs, sf).count() == total - len(leaks) and leaks
     clean = stage["personal_data"](spark, docs, sf)
@@ -300,11 +345,32 @@ def test_pipeline_stages(spark, sf):
     assert not any(brute_spans(r["text"]) for r in clean.collect())
     assert stage["packing"](spark, docs, sf).select("doc_id").distinct().count() == total
     twice = docs.limit(20).union(docs.limit(20)).union(frame(spark, [(None, None, None, None, None)], docs.schema))
-    assert stage["near_duplicates"](spark, twice, sf).filter("doc_id is not null").count() == len({r["component_id"] for r in simhash.near_duplicates(docs.limit(20)).collect()})
+    assert stage["near_duplicates"](spark, twice, sf).filter("doc_id is not null").count() == len(set(jaccard_groups({r["doc_id"]: r["text"] for r in docs.limit(20).collect()}).values()))
     assert stage["quality"](spark, docs.limit(0), sf).count() == 0
     docs.unpersist()
 
 
+def test_pipeline_stages_with_odd_rows(spark, sf, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, item_id long, key long, root long, fp long, name string, proposals0 int, _proposals int, part int, label int, block int, n long"
+    long = "some words of a rather long text, " * 20_000
+    texts = [None, "", " ", "a@b.co", long, "same text here", "same text here", "\x00\x01"]
+    rows = [(k if k % 3 else None, t, None, None, len(t) if t else None, None, 1, 2, 3, 4, "n", 5, 6, 7, 8, 9, 10) for k, t in enumerate(texts)]
+    odd = frame(spark, rows, names)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf)
+        if name == "packing":
+            assert got.agg({"length": "sum"}).collect()[0][0] >= len(texts)
+        else:
+            assert got.columns == odd.columns
+            kept = got.collect()
+            assert len(kept) == len(texts) if name in ("decontamination", "personal_data") else len(kept) <= len(texts)
+        assert stage(spark, odd.limit(0), sf).count() == 0
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_end_to_end(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
