@@ -8,6 +8,7 @@ whole sets, so nothing is linked wrongly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,8 +29,8 @@ AGREE = 96
 BROADCAST = 1_000_000
 #: Rounds in which a fingerprint's sets are compared with one of them, before all that are still apart are compared.
 STARS = 2
-#: Shingles whose minima are taken at a time.
-_BLOCK = 1 << 12
+#: Shingles whose minima are taken at a time, and texts whose results a task holds.
+_BLOCK, _TEXTS = 1 << 12, 256
 _RNG = np.random.default_rng(5)
 _TURN, _FLIP = _RNG.integers(0, 1 << 63, (2, BANDS * WIDTH), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -53,16 +54,30 @@ def minima(own: np.ndarray) -> np.ndarray:
     return low
 
 
-def _measure(texts: pd.Series) -> pd.DataFrame:
-    out = []
-    for text in texts:
-        s = shingle_set(text)
-        low = minima(s)
-        name = np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)
-        bands = np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low.reshape(BANDS, WIDTH))], np.uint64)
-        sketch = ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
-        out.append((int(name), s.view(np.int64), bands.view(np.int64), sketch))
-    return pd.DataFrame(out, columns=["own", "hashes", "bands", "sketch"])
+def _name(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64))
+
+
+def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, own, n, bands, sketch) of (key, text), some texts at a time."""
+    for b in batches:
+        for k in range(0, len(b), _TEXTS):
+            part, out = b.iloc[k : k + _TEXTS], []
+            for text in part["text"]:
+                s = shingle_set(text)
+                low = minima(s)
+                bands = np.array([xxhash.xxh64_intdigest(row.tobytes(), j) for j, row in enumerate(low.reshape(BANDS, WIDTH))], np.uint64)
+                sketch = ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+                out.append((_name(s), len(s), bands.view(np.int64), sketch))
+            yield pd.DataFrame(out, columns=["own", "n", "bands", "sketch"]).assign(key=part["key"].to_numpy())[["key", "own", "n", "bands", "sketch"]]
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(own, hashes) of (text), some texts at a time."""
+    for b in batches:
+        for k in range(0, len(b), _TEXTS):
+            sets = [shingle_set(t) for t in b["text"].iloc[k : k + _TEXTS]]
+            yield pd.DataFrame({"own": [_name(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
 
 
 def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -73,12 +88,21 @@ def _alike(a: Column, b: Column, common: Column) -> Column:
     return BELOW * common >= ABOVE * (a + b - common)
 
 
-def _pairs(met: DataFrame, star: int | None) -> DataFrame:
-    """(a, b) of sets that meet, aren't connected yet and have sizes that allow a link; with `star` only with one set of each."""
-    x = "x" if star is None else F.array_min(F.transform("all", lambda s: F.struct(F.xxhash64(s["own"], F.lit(star)).alias("h"), s["own"].alias("own"), s["n"].alias("n"), s["root"].alias("root"))))
-    one = met.select(F.explode("all").alias("x"), "all") if star is None else met.select(x.alias("x"), "all")
-    both = one.select("x", F.explode("all").alias("y")).filter("x.own <> y.own and x.root <> y.root")
-    both = both.filter(_alike(F.col("x.n"), F.col("y.n"), F.least("x.n", "y.n")))
+def _pairs(places: DataFrame, star: int | None) -> DataFrame:
+    """(a, b) of sets that meet, aren't connected yet and have sizes that allow a link; with `star` only with one set of each band.
+
+    The one set is found by a combined aggregate and joined back, so that a band that very many sets share is never gathered.
+    Once stars have connected most of what can be, only bands whose sets are still apart are taken as a whole.
+    """
+    if star is not None:
+        lowest = F.min(F.struct(F.xxhash64("own", F.lit(star)).alias("h"), "own", "n", "root")).alias("x")
+        one = places.groupBy("band").agg(lowest, F.count("*").alias("c")).filter("c > 1").select("band", "x")
+        both = places.select("band", F.struct("own", "n", "root").alias("y")).join(one, "band").select("x", "y")
+    else:
+        apart = places.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+        met = places.join(apart, "band", "left_semi").groupBy("band").agg(F.collect_list(F.struct("own", "n", "root")).alias("all"))
+        both = met.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    both = both.filter("x.own <> y.own and x.root <> y.root").filter(_alike(F.col("x.n"), F.col("y.n"), F.least("x.n", "y.n")))
     return both.select(F.least("x.own", "y.own").alias("a"), F.greatest("x.own", "y.own").alias("b")).distinct()
 
 
@@ -86,19 +110,19 @@ def groups(docs: DataFrame) -> DataFrame:
     """(key, own, root) for every row of `docs` (key, text): rows of one root are near-duplicates, linked directly or not.
 
     Sets link at a Jaccard similarity of ABOVE / BELOW or more; texts without words are equal. Copies share a set and are
-    compared once. A pair that other links already connect isn't compared.
+    compared once. A pair that other links already connect isn't compared. Whole sets are made anew from the texts of those
+    that are compared, and only of those. An empty table gives no rows; null texts count as empty, repeated rows stay.
     """
-    measured = F.pandas_udf(_measure, "own long, hashes array<long>, bands array<long>, sketch binary")
     agree = F.pandas_udf(_agree, "int")
-    rows = written(docs.select("key", measured(F.col("text").cast("string")).alias("m")).select("key", "m.*"))
-    sets = written(rows.groupBy("own").agg(F.min("bands").alias("bands"), F.min(F.size("hashes")).alias("n"), F.min("sketch").alias("sketch")))
+    texts = docs.select("key", F.col("text").cast("string").alias("text"))
+    rows = written(texts.mapInPandas(_measured, "key long, own long, n int, bands array<long>, sketch binary"))
+    sets = written(rows.groupBy("own").agg(F.min("key").alias("key"), F.min("bands").alias("bands"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
     places = written(sets.select("own", F.col("n").cast("long").alias("n"), F.explode("bands").alias("band")))
     roots, links, tested = None, [], []
     for star in [*range(STARS), None]:
         now = places if roots is None else places.join(roots.withColumnRenamed("node", "own"), "own", "left")
         now = now.withColumn("root", F.col("own") if roots is None else F.coalesce("root", "own"))
-        met = now.groupBy("band").agg(F.collect_list(F.struct("own", "n", "root")).alias("all")).filter("size(all) > 1")
-        pairs = _pairs(met, star)
+        pairs = _pairs(now, star)
         for known in tested:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = written(pairs)
@@ -109,9 +133,10 @@ def groups(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(sets.select(F.col("own").alias(side), F.col("sketch").alias(f"s{side}")), side)
         pairs = written(pairs.filter(agree("sa", "sb") >= AGREE).select("a", "b"))
         asked = pairs.select(F.col("a").alias("own")).union(pairs.select("b")).distinct()
-        asked = written(asked)
+        asked = written(sets.select("own", "key").join(asked, "own").select("key"))
         asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked
-        whole = written(rows.select("own", "hashes").join(asked, "own", "left_semi").groupBy("own").agg(F.first("hashes").alias("hashes")))
+        again = texts.join(asked, "key", "left_semi").dropDuplicates(["key"])
+        whole = written(again.select("text").mapInPandas(_whole, "own long, hashes array<long>"))
         j = pairs.join(whole.select(F.col("own").alias("a"), F.col("hashes").alias("ha")), "a").join(whole.select(F.col("own").alias("b"), F.col("hashes").alias("hb")), "b")
         fine = j.filter(_alike(F.size("ha"), F.size("hb"), F.size(F.array_intersect("ha", "hb")))).select("a", "b")
         links.append(checkpointed(fine))
