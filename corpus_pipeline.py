@@ -14,6 +14,17 @@ from undula.llm import decontaminate, packing, pii, quality, shingles
 from undula.llm.shared import checkpointed, table, written
 
 
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Hands texts to Python workers in small batches, so that neither they nor the JVM hold many; a session with smaller ones keeps them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def row_key() -> Column:
     """A row's own key: its id and its text."""
     return F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -21,6 +32,7 @@ def row_key() -> Column:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject, each row by its own text; all where no model can be fitted."""
+    lean(spark)
     keyed = docs.withColumn("_key", row_key())
     scores = quality.scored(keyed, table(spark, sf_dir, "labels"), carry=("_key",), unfitted=1.0)
     rejected = scores.filter(F.col("score") < quality.KEEP).select("_key").distinct()
@@ -33,6 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Every row is judged on its text: one without an id goes if another of its group has one, and of rows with one id only
     those that link are alike.
     """
+    lean(spark)
     keyed = docs.withColumn("_key", row_key())
     own = shingles.groups(keyed.select(F.col("_key").alias("key"), "text")).select("key", "root")
     named = checkpointed(own.join(keyed.select(F.col("_key").alias("key"), "doc_id").distinct(), "key"))
@@ -50,6 +63,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and null-id rows are judged like any others (a text without tokens holds nothing); repeated rows stay or go
     together; without documents nothing comes out, without benchmark items everything.
     """
+    lean(spark)
     keyed = docs.withColumn("_key", row_key())
     rows = keyed.select(F.col("_key").alias("doc_id"), "text")
     leaks = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
@@ -69,6 +83,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences of all documents; null texts are their end id alone, repeated rows and null ids are packed each."""
+    lean(spark)
     return packing.packed(docs)
 
 
