@@ -28,7 +28,7 @@ AGREE = 96
 #: Most names of sets that are broadcast, so that other sets aren't shuffled.
 BROADCAST = 1_000_000
 #: Rounds in which a fingerprint's sets are compared with one of them, before all that are still apart are compared.
-STARS = 2
+STARS = 4
 #: Shingles whose minima are taken at a time, and texts whose results a task holds.
 _BLOCK, _TEXTS = 1 << 12, 256
 _RNG = np.random.default_rng(5)
@@ -95,7 +95,7 @@ def _pairs(places: DataFrame, star: int | None) -> DataFrame:
     Once stars have connected most of what can be, only bands whose sets are still apart are taken as a whole.
     """
     if star is not None:
-        lowest = F.min(F.struct(F.xxhash64("own", F.lit(star)).alias("h"), "own", "n", "root")).alias("x")
+        lowest = F.min(F.struct(F.xxhash64("own", "band", F.lit(star)).alias("h"), "own", "n", "root")).alias("x")
         one = places.groupBy("band").agg(lowest, F.count("*").alias("c")).filter("c > 1").select("band", "x")
         both = places.select("band", F.struct("own", "n", "root").alias("y")).join(one, "band").select("x", "y")
     else:
