@@ -35,7 +35,7 @@ HALF, POWERS = 20.0, (0, 1)
 #: Rows that an epoch takes at least, in more passes over fewer.
 EPOCH_ROWS = 4000
 TOXIC = 0.5
-_U = np.uint64
+_U, _F = np.uint64, np.float32
 _MARK = _U(0x9E3779B97F4A7C15)
 
 
@@ -144,7 +144,7 @@ def fit(known: DataFrame, epochs: int = EPOCHS) -> Machine:
     rows = checkpointed(known.select("text", F.col("label").cast("int"), F.col("part").cast("int")).mapInArrow(_as_rows, "at array<int>, label int, part int").repartition(PARTS))
     total, bad = rows.agg(F.count("*"), F.sum("label")).first()
     rng = np.random.default_rng(1)
-    machine = Machine(np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), rng.normal(size=(BUCKETS, FACTORS)) * START)
+    machine = Machine(np.zeros(BUCKETS, _F), 0.0, np.zeros(BUCKETS, _F), (rng.normal(size=(BUCKETS, FACTORS)) * START).astype(_F))
     learn = rows.filter("part > 0")
     n, k = learn.agg(F.count("*"), F.sum("label")).first()
     if not n or not k or k == n:
@@ -160,7 +160,7 @@ def fit(known: DataFrame, epochs: int = EPOCHS) -> Machine:
     best, least = machine, np.inf
     for power in POWERS:
         rarity = np.log((n + 1) / (texts + 1)) / np.log(n + 1)
-        run = Machine(texts / (texts + min(HALF, n / 20)) * rarity**power, machine.intercept, machine.linear, machine.factors)
+        run = Machine((texts / (texts + min(HALF, n / 20)) * rarity**power).astype(_F), machine.intercept, machine.linear, machine.factors)
         found, loss = _trained(rows, run, epochs, weight, passes)
         if best is machine or loss < least:
             best, least = found, loss
@@ -171,8 +171,8 @@ def _trained(rows: DataFrame, machine: Machine, epochs: int, weight: float, pass
     """The machine of the epoch with the least loss on the calibrating rows, calibrated; the last one where those don't tell."""
     spark, learn = rows.sparkSession, rows.filter("part > 0")
     best, least = machine, np.inf
+    sent = spark.sparkContext.broadcast(machine)  # one machine at a time is out, some 11 MB
     for epoch in range(epochs):
-        sent = spark.sparkContext.broadcast(machine)
 
         def train(batches: Iterator[pd.DataFrame], sent=sent, pace=(1 + epoch) ** -0.5) -> Iterator[pd.DataFrame]:
             part = pd.concat([pd.DataFrame({"at": [], "label": []}), *batches], ignore_index=True)
@@ -186,32 +186,32 @@ def _trained(rows: DataFrame, machine: Machine, epochs: int, weight: float, pass
 
         came = learn.select("at", "label").mapInPandas(train, "at binary, linear binary, factors binary, intercept double, n long").collect()
         machine = _averaged(machine, came)
-        sent.unpersist()
-        now = spark.sparkContext.broadcast(machine)
+        sent.destroy()
+        sent = spark.sparkContext.broadcast(machine)
 
-        def evaluate(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+        def evaluate(batches: Iterator[pd.DataFrame], now=sent) -> Iterator[pd.DataFrame]:
             for b in batches:
                 at = np.concatenate([np.asarray(a, np.int64) for a in b["at"]] or [np.zeros(0, np.int64)])
                 yield pd.DataFrame({"raw": now.value.raw(np.repeat(np.arange(len(b)), b["at"].map(len)), at, len(b)), "label": b["label"]})
 
         check = rows.filter("part = 0").select("at", "label").mapInPandas(evaluate, "raw double, label int").toPandas()
-        now.unpersist()
         if not 0 < check["label"].sum() < len(check):
             best = machine
             continue
         slope, shift, loss = _calibration(check["raw"].to_numpy(), check["label"].to_numpy(float))
         if loss < least and slope > 0:
             best, least = Machine(machine.value, machine.intercept, machine.linear, machine.factors, slope, shift), loss
+    sent.destroy()
     return best, least
 
 
 def _averaged(machine: Machine, came: list) -> Machine:
     """Parameters averaged over the partitions that touched them, each by its rows."""
-    linear, factors, n = np.zeros(BUCKETS), np.zeros_like(machine.factors), np.zeros(BUCKETS)
+    linear, factors, n = np.zeros(BUCKETS), np.zeros(machine.factors.shape), np.zeros(BUCKETS)
     for r in came:
         at = np.frombuffer(r["at"], np.int32)
-        linear[at] += r["n"] * np.frombuffer(r["linear"])
-        factors[at] += r["n"] * np.frombuffer(r["factors"]).reshape(-1, factors.shape[1])
+        linear[at] += r["n"] * np.frombuffer(r["linear"], _F)
+        factors[at] += r["n"] * np.frombuffer(r["factors"], _F).reshape(-1, factors.shape[1])
         n[at] += r["n"]
     has = n > 0
     new = Machine(machine.value, sum(r["n"] * r["intercept"] for r in came) / sum(r["n"] for r in came), machine.linear.copy(), machine.factors.copy())
