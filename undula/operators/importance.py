@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from undula.operators.evaluate import average_precision, record_scores
 
 
+_BETWEEN = "\x1f"
+
+
 def permuted(rows: DataFrame, columns: list[str], by: list[str], order: str, seed: str) -> DataFrame:
     """`rows` with `columns` jointly taken from another row of the same group, by a permutation drawn from a hash of `seed`."""
     natural = F.row_number().over(Window.partitionBy(by).orderBy(order))
@@ -35,17 +38,20 @@ def all_permuted(rows: DataFrame, families: dict[str, list[str]], by: list[str],
 def importance(validation: DataFrame, families: dict[str, list[str]], score, order: str, permutations: int = 1, by: tuple[str, ...] = ("repeat", "fold")) -> DataFrame:
     """(repeat, permutation, feature_group, n_features, baseline_ap, permuted_ap, decrease_ap).
 
-    `score` maps rows to the same rows with a score; the models behind it are fitted once and reused. All permutations of all
-    families are rows of one table, so they are scored in one pass. Records are scored by their largest segment score, folds
-    pooled per repeat.
+    `score` maps rows (of the columns of `validation`) to the same rows with a score; the models behind it are fitted once and
+    reused. All permutations of all families are rows of one table, so they are scored in one pass; meanwhile the record's
+    name carries which permutation a row belongs to. Records are scored by their largest segment score, folds pooled per repeat.
     """
 
-    def ap(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return average_precision(record_scores(score(rows), keys), keys).withColumnRenamed("average_precision", name)
-
-    moved = ap(all_permuted(validation, families, list(by), order, permutations), ["repeat", "permutation", "feature_group"], "permuted_ap")
+    base = average_precision(record_scores(score(validation), ["repeat"]), ["repeat"]).withColumnRenamed("average_precision", "baseline_ap")
+    each = all_permuted(validation, families, list(by), order, permutations)
+    named = each.withColumn("record", F.concat_ws(_BETWEEN, F.col("permutation").cast("string"), "feature_group", F.col("record").cast("string")))
+    part = F.split("record", _BETWEEN, 3)
+    told = score(named.select(validation.columns)).withColumns({"permutation": part[0].cast("int"), "feature_group": part[1]})
+    keys = ["repeat", "permutation", "feature_group"]
+    moved = average_precision(record_scores(told, keys), keys).withColumnRenamed("average_precision", "permuted_ap")
     sizes = F.create_map(*[F.lit(x) for f, cs in families.items() for x in (f, len(cs))])
-    both = moved.withColumn("n_features", sizes[F.col("feature_group")]).join(ap(validation, ["repeat"], "baseline_ap"), "repeat")
+    both = moved.withColumn("n_features", sizes[F.col("feature_group")]).join(base, "repeat")
     return both.withColumn("decrease_ap", F.col("baseline_ap") - F.col("permuted_ap"))
 
 
