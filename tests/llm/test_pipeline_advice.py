@@ -39,6 +39,26 @@ def test_near_duplicates_equal_brute_force_jaccard(spark, sf):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want))
 
 
+def test_blocks_link_what_brute_force_links(spark, monkeypatch):
+    """Near copies around the limit, in small blocks, with and without stars before them."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(f"v{rng.randint(0, 9000)}" if rng.random() < 0.02 else w for w in base) for _ in range(60)]
+    texts += [f"other {k % 4} words of {k} texts that stand alone" for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    want = {frozenset(k for k, r in enumerate(brute(texts)) if r == root) for root in brute(texts)}
+    assert 2 < len(want) < 60 and max(map(len, want)) > 10
+    monkeypatch.setattr(shingles, "ASKS", 4)
+    monkeypatch.setattr(shingles, "ROOM", 2000)
+    for stars in (0, 2):
+        monkeypatch.setattr(shingles, "STARS", stars)
+        groups = {}
+        for r in shingles.groups(docs).collect():
+            groups.setdefault(r["root"], set()).add(r["key"])
+        assert {frozenset(g) for g in groups.values()} == want
+    assert shingles.groups(docs.limit(0)).count() == 0
+
+
 def test_minima_of_a_long_text(monkeypatch):
     own = shingles.shingle_set(" ".join(str(k * k) for k in range(700)))
     want = shingles.minima(own)

@@ -1,9 +1,10 @@
-"""Near-duplicates by word shingles: short min-wise fingerprints that meet, verified by exact Jaccard similarity.
+"""Near-duplicates by word shingles: fingerprints that meet in the middle, then short min-wise ones, verified by exact Jaccard similarity.
 
-Every set of shingles has BANDS fingerprints of WIDTH minima each. Two sets of similarity s share one with probability
-1 - (1 - s ** WIDTH) ** BANDS: at s = 0.8 all but some three in a million pairs meet, above it more. What meets and has
-AGREE equal minima of BANDS * WIDTH (at s = 0.8 one is 128 of 160 on average, 96 is six deviations below) is compared by its
-whole sets, so nothing is linked wrongly.
+The balls of `simhash` come first: fingerprints of five-word shingles that differ in two bits or fewer meet in a variant. They
+find copies with few changes, but at a similarity of 0.8 some ten of 64 bits differ, and balls of that radius can't be
+emitted. So every set of shingles also has BANDS fingerprints of WIDTH minima each. Two sets of similarity s share one with
+probability 1 - (1 - s ** WIDTH) ** BANDS: at s = 0.8 all but some three in a million pairs meet, above it more. What meets is
+compared by its whole sets, so nothing is linked wrongly.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undula.llm import simhash
 from undula.llm.components import components
 from undula.llm.shared import checkpointed, written
 
@@ -29,6 +31,8 @@ AGREE = 96
 BROADCAST = 1_000_000
 #: Rounds in which a fingerprint's sets are compared with one of them, before all that are still apart are compared.
 STARS = 2
+#: Sets of a block that ask, and hashes of a block that answer; neither changes a result.
+ASKS, ROOM = 256, 1 << 20
 #: Shingles whose minima are taken at a time, and texts whose results a task holds.
 _BLOCK, _TEXTS = 1 << 12, 256
 _RNG = np.random.default_rng(5)
@@ -59,7 +63,7 @@ def _name(s: np.ndarray) -> int:
 
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, own, n, bands, sketch) of (key, text), some texts at a time."""
+    """(key, own, n, fp, bands, sketch) of (key, text), some texts at a time."""
     for b in batches:
         for k in range(0, len(b), _TEXTS):
             part, out = b.iloc[k : k + _TEXTS], []
@@ -68,8 +72,8 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 low = minima(s)
                 bands = np.array([xxhash.xxh64_intdigest(row.tobytes(), j) for j, row in enumerate(low.reshape(BANDS, WIDTH))], np.uint64)
                 sketch = ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
-                out.append((_name(s), len(s), bands.view(np.int64), sketch))
-            yield pd.DataFrame(out, columns=["own", "n", "bands", "sketch"]).assign(key=part["key"].to_numpy())[["key", "own", "n", "bands", "sketch"]]
+                out.append((_name(s), len(s), simhash.fingerprint(text, SHINGLE), bands.view(np.int64), sketch))
+            yield pd.DataFrame(out, columns=["own", "n", "fp", "bands", "sketch"]).assign(key=part["key"].to_numpy())[["key", "own", "n", "fp", "bands", "sketch"]]
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,24 +92,92 @@ def _alike(a: Column, b: Column, common: Column) -> Column:
     return BELOW * common >= ABOVE * (a + b - common)
 
 
-def _pairs(places: DataFrame, star: int | None) -> DataFrame:
-    """(a, b) of sets that meet, aren't connected yet and have sizes that allow a link; with `star` only with one set of each band.
+def _in_balls(sets: DataFrame) -> DataFrame:
+    """(a, b) of sets whose fingerprints meet in a variant, as many as connect every group of fingerprints."""
+    first = sets.groupBy("fp").agg(F.min("own").alias("first"))
+    same = sets.select("own", "fp").join(first, "fp").select(F.col("first").alias("a"), F.col("own").alias("b"))
+    met = simhash.links(first.select("fp"))
+    for side in ("a", "b"):
+        met = met.withColumnRenamed(side, "fp").join(first, "fp").drop("fp").withColumnRenamed("first", side)
+    both = same.union(met.select("a", "b")).filter("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _in_stars(places: DataFrame, star: int) -> DataFrame:
+    """(a, b) of every set and one set of each of its bands, if they aren't connected yet and have sizes that allow a link.
 
     The one set is found by a combined aggregate and joined back, so that a band that very many sets share is never gathered.
-    Once stars have connected most of what can be, only bands whose sets are still apart are taken as a whole.
     """
-    if star is not None:
-        lowest = F.min(F.struct(F.xxhash64("own", F.lit(star)).alias("h"), "own", "n", "root")).alias("x")
-        one = places.groupBy("band").agg(lowest, F.count("*").alias("c")).filter("c > 1").select("band", "x")
-        both = places.select("band", F.struct("own", "n", "root").alias("y")).join(one, "band").select("x", "y")
-    else:
-        apart = places.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-        met = places.join(apart, "band", "left_semi").groupBy("band").agg(F.collect_list(F.struct("own", "n", "root")).alias("all"))
-        both = met.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    lowest = F.min(F.struct(F.xxhash64("own", F.lit(star)).alias("h"), "own", "n", "root")).alias("x")
+    one = places.groupBy("band").agg(lowest, F.count("*").alias("c")).filter("c > 1").select("band", "x")
+    both = places.select("band", F.struct("own", "n", "root").alias("y")).join(one, "band").select("x", "y")
     both = both.filter("x.own <> y.own and x.root <> y.root").filter(_alike(F.col("x.n"), F.col("y.n"), F.least("x.n", "y.n")))
     return both.select(F.least("x.own", "y.own").alias("a"), F.greatest("x.own", "y.own").alias("b")).distinct()
 
 
+def _compared(block: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) links of the sets of a block that ask, with those that answer and share a band: one for each root that a set reaches."""
+    asks, rest = (block[block["ask"] == x].reset_index(drop=True) for x in (True, False))
+    if not len(asks) or not len(rest):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    sizes = rest["hashes"].map(len).to_numpy(np.int64)
+    flat = np.concatenate([*rest["hashes"], *asks["hashes"]])
+    codes, flat = np.unique(flat, return_inverse=True)
+    marked, ends = np.zeros(len(codes), bool), np.concatenate(([0], np.cumsum(sizes)))
+    bands, root, own, found = np.stack(rest["bands"].to_list()), rest["root"].to_numpy(), rest["own"].to_numpy(), []
+    at = int(ends[-1])
+    for x in asks.itertuples():
+        n = len(x.hashes)
+        mine, at = flat[at : at + n], at + n
+        near = np.flatnonzero((root != x.root) & (BELOW * np.minimum(sizes, n) >= ABOVE * np.maximum(sizes, n)))
+        near = near[(bands[near] == np.asarray(x.bands)).any(1)]
+        if not len(near):
+            continue
+        marked[mine] = True
+        size = sizes[near]
+        starts = np.cumsum(size) - size
+        common = np.add.reduceat(marked[flat[np.repeat(ends[near] - starts, size) + np.arange(size.sum())]].astype(np.int64), starts)
+        marked[mine] = False
+        near = near[BELOW * common >= ABOVE * (size + n - common)]
+        near = near[np.unique(root[near], return_index=True)[1]]
+        found.append((np.full(len(near), x.own, np.int64), own[near]))
+    return pd.DataFrame({"a": np.concatenate([a for a, _ in found] or [own[:0]]), "b": np.concatenate([b for _, b in found] or [own[:0]])})
+
+
+def _in_blocks(places: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) links between what is still apart in some band, compared in blocks; no pair becomes a row unless it links.
+
+    In every band those outside its most frequent component ask and all answer. Sets that ask for one component are kept together,
+    ASKS at most, and each set that shares a band with one of them goes to their block once; blocks are cut again by ROOM.
+    """
+    counted = places.groupBy("band", "root").agg(F.count("*").alias("c"))
+    top = counted.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("band", "top")
+    met = written(places.join(top, "band").select("own", "n", "root", "band", "top"))
+    asking = met.filter("root <> top").groupBy("own").agg(F.min("top").alias("top"))
+    many = asking.groupBy("top").agg(F.ceil(F.count("*") / ASKS).alias("parts"))
+    buckets = max(1, -(-asking.count() // ASKS))
+    block = F.struct(F.pmod(F.xxhash64("top"), F.lit(buckets)).alias("bucket"), F.pmod(F.xxhash64("own", F.lit(3)), F.col("parts")).alias("part"))
+    asking = written(asking.join(many, "top").select("own", block.alias("block")))
+    asked = met.filter("root <> top").join(asking, "own").select("band", "block").distinct()
+    answers = written(met.select("own", "n", "root", "band").join(asked, "band").select("own", "n", "root", "block").distinct())
+    room = answers.groupBy("block").agg(F.ceil(F.sum(F.col("n") + 64) / ROOM).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("own", F.lit(4)), F.col("chunks"))
+    root = met.select("own", "root").distinct()
+    asks = asking.join(root, "own").join(room, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    places_of = asks.select("own", "root", "block", "chunk", F.lit(True).alias("ask"))
+    places_of = places_of.union(answers.join(room, "block").select("own", "root", "block", chunk.alias("chunk"), F.lit(False).alias("ask")))
+    whole = written(_whole_sets(answers.select("own").distinct(), sets, texts).join(sets.select("own", "bands"), "own"))
+    return places_of.join(whole, "own").groupBy("block", "chunk").applyInPandas(_compared, "a long, b long").distinct()
+
+
+def _whole_sets(some: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(own, hashes) of some sets, made anew from one text of each."""
+    asked = written(sets.select("own", "key").join(some, "own").select("key"))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked
+    again = texts.join(asked, "key", "left_semi").dropDuplicates(["key"])
+    return again.select("text").mapInPandas(_whole, "own long, hashes array<long>")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(key, own, root) for every row of `docs` (key, text): rows of one root are near-duplicates, linked directly or not.
 
@@ -115,14 +187,21 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     agree = F.pandas_udf(_agree, "int")
     texts = docs.select("key", F.col("text").cast("string").alias("text"))
-    rows = written(texts.mapInPandas(_measured, "key long, own long, n int, bands array<long>, sketch binary"))
-    sets = written(rows.groupBy("own").agg(F.min("key").alias("key"), F.min("bands").alias("bands"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    rows = written(texts.mapInPandas(_measured, "key long, own long, n int, fp long, bands array<long>, sketch binary"))
+    of = [F.min(c).alias(c) for c in ("key", "n", "fp", "bands", "sketch")]
+    sets = written(rows.groupBy("own").agg(*of))
     places = written(sets.select("own", F.col("n").cast("long").alias("n"), F.explode("bands").alias("band")))
     roots, links, tested = None, [], []
-    for star in [*range(STARS), None]:
-        now = places if roots is None else places.join(roots.withColumnRenamed("node", "own"), "own", "left")
-        now = now.withColumn("root", F.col("own") if roots is None else F.coalesce("root", "own"))
-        pairs = _pairs(now, star)
+
+    def now() -> DataFrame:
+        if roots is None:
+            return places.withColumn("root", F.col("own"))
+        return places.join(roots.withColumnRenamed("node", "own"), "own", "left").withColumn("root", F.coalesce("root", "own"))
+
+    for star in range(STARS):
+        pairs = _in_stars(now(), star)
+        if not star:
+            pairs = pairs.union(_in_balls(sets)).distinct()
         for known in tested:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = written(pairs)
@@ -132,15 +211,15 @@ def groups(docs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("own").alias(side), F.col("sketch").alias(f"s{side}")), side)
         pairs = written(pairs.filter(agree("sa", "sb") >= AGREE).select("a", "b"))
-        asked = pairs.select(F.col("a").alias("own")).union(pairs.select("b")).distinct()
-        asked = written(sets.select("own", "key").join(asked, "own").select("key"))
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked
-        again = texts.join(asked, "key", "left_semi").dropDuplicates(["key"])
-        whole = written(again.select("text").mapInPandas(_whole, "own long, hashes array<long>"))
+        whole = written(_whole_sets(pairs.select(F.col("a").alias("own")).union(pairs.select("b")).distinct(), sets, texts))
         j = pairs.join(whole.select(F.col("own").alias("a"), F.col("hashes").alias("ha")), "a").join(whole.select(F.col("own").alias("b"), F.col("hashes").alias("hb")), "b")
         fine = j.filter(_alike(F.size("ha"), F.size("hb"), F.size(F.array_intersect("ha", "hb")))).select("a", "b")
         links.append(checkpointed(fine))
         roots = components(reduce(DataFrame.union, links), "a", "b")
+    if roots is not None or not places.isEmpty():
+        more = checkpointed(_in_blocks(written(now()), sets, texts))
+        if not more.isEmpty():
+            roots = components(reduce(DataFrame.union, [*links, more]), "a", "b")
     out = rows.select("key", "own")
     if roots is None:
         return out.withColumn("root", F.col("own"))
