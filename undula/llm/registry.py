@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from undula.llm.decontaminate import op7_decontaminate
+from undula.llm.hard_negatives import op13_hard_negatives
 from undula.llm.html_text import op9_html_text
 from undula.llm.packing import op10_pack
 from undula.llm.pii import op4_pii
@@ -16,7 +17,7 @@ from undula.llm.vector_dedup import op3_vector_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_pii, op5_token_count, op6_suffix_dedup, op7_decontaminate, op8_simhash, op9_html_text, op10_pack, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_pii, op5_token_count, op6_suffix_dedup, op7_decontaminate, op8_simhash, op9_html_text, op10_pack, op12_prefix_trie, op13_hard_negatives)}
 
 
 _VECTORS = """
@@ -51,7 +52,17 @@ SELECT q.conv_id, q.depth, f.conv_id AS parent_conv_id, q.n_convs, q.n_children,
 FROM q JOIN u ON u.top = q.node LEFT JOIN n f ON f.node = q.parent
 """
 
+_NEGATIVES = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.q) = len(b.q)),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Vectors and conversations only: fitted models, tokenizers, XXH64 and page parsing have no SQL form; tests hold those against brute force."""
-    return {"op3_vector_dedup": _VECTORS, "op12_prefix_trie": _TRIE}
+    return {"op3_vector_dedup": _VECTORS, "op12_prefix_trie": _TRIE, "op13_hard_negatives": _NEGATIVES}
