@@ -85,7 +85,7 @@ def test_pruning_loses_nothing_and_prunes():
     for _ in range(200):
         own = q[rand.randrange(2000)]
         norm = float(np.sqrt((own**2).sum()))
-        least = int(rand.uniform(0.6, 1.02) * norm * block.longest)
+        least = int(rand.uniform(0.75, 1.02) * norm * block.longest)
         rows = block.candidates(own, norm, least)
         assert set(np.flatnonzero(q @ own >= least)) <= set(rows.tolist())
         assert (block.products(own, norm, rows) == (q @ own).astype(np.int64)[rows]).all()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from undula.llm.decontaminate import op7_decontaminate
 from undula.llm.hard_negatives import op13_hard_negatives
 from undula.llm.html_text import op9_html_text
+from undula.llm.maxent_lm import op11_maxent_lm
 from undula.llm.packing import op10_pack
 from undula.llm.pii import op4_pii
 from undula.llm.prefix_trie import op12_prefix_trie
@@ -17,7 +18,7 @@ from undula.llm.vector_dedup import op3_vector_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_pii, op5_token_count, op6_suffix_dedup, op7_decontaminate, op8_simhash, op9_html_text, op10_pack, op12_prefix_trie, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_pii, op5_token_count, op6_suffix_dedup, op7_decontaminate, op8_simhash, op9_html_text, op10_pack, op11_maxent_lm, op12_prefix_trie, op13_hard_negatives)}
 
 
 _VECTORS = """
