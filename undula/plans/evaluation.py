@@ -9,6 +9,7 @@ from undula.functions import columns as C
 from undula.operators import assemble as A
 from undula.operators import describe as D
 from undula.operators import evaluate as E
+from undula.operators import grouped as L
 from undula.operators import importance as I
 from undula.operators import models as M
 from undula.operators import runs as J
@@ -401,9 +402,57 @@ def fn_publication_subset(spark, d):
     return named.filter(F.col("experiment").rlike("^(annotated_interval|fixed_3min)_imf[1-4]$"))
 
 
+_ZS = ", ".join(f"(ex.{f} - m_{f}) / s_{f} AS {f}" for f in FEATURES)
+_ZM = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES)
+#: Repeats and columns of the models that one plan trains for all folds.
+ALL_REPEATS, ALL_FEATURES = 30, [f"f{k + 1}" for k in range(64)]
+
+
+def grouped_folds(spark, d, features: list[str] = ALL_FEATURES, repeats: int = ALL_REPEATS) -> L.Folds:
+    ml = S.ml_features(spark, d, len(features))
+    return L.assigned(ml, features, P.folds(P.record_labels(ml), repeats), repeats)
+
+
+def oof(scored: DataFrame) -> DataFrame:
+    return r6(E.record_scores(scored, ["repeat", "fold"]))
+
+
 @query()
 def model_logistic_oof(spark, d):
-    return r6(model_oof(spark, d, "Logistic Regression"))
+    """Logistic regression of all 150 folds at once, over all columns."""
+    data = grouped_folds(spark, d)
+    return oof(L.linear_scores(data, L.logistic(data)))
+
+
+def _newton_sql(steps: int = 9) -> str:
+    """Newton's steps of the three-column logistic unrolled: sums of a step, elimination column by column, back substitution."""
+    n, x = 4, ["z.f1", "z.f2", "z.f3", "1.0::DOUBLE"]
+    parts = [f"""w0 AS MATERIALIZED (SELECT DISTINCT repeat, fold, {", ".join(f"0.0::DOUBLE AS w{i}" for i in range(n))} FROM zs)"""]
+    for t in range(steps):
+        z = " + ".join(f"w{i} * {x[i]}" for i in range(n))
+        grad = ", ".join(f"sum(0.5::DOUBLE * s * (p - label) * {x[i].replace('z.', '')})" + (f" + max(w{i})" if i < 3 else "") + f" AS a{i}{n}" for i in range(n))
+        curve = ", ".join(f"sum(0.5::DOUBLE * s * p * (1 - p) * {x[i].replace('z.', '')} * {x[j].replace('z.', '')})" + (" + 1.0::DOUBLE" if i == j < 3 else "") + f" AS a{i}{j}" for i in range(n) for j in range(n))
+        keep = ", ".join(f"max(w{i}) AS w{i}" for i in range(n))
+        parts.append(f"e{t}_0 AS MATERIALIZED (SELECT repeat, fold, {keep}, {curve}, {grad} FROM (SELECT z.*, w0, w1, w2, w3, 1 / (1 + exp(-({z}))) AS p FROM zs z JOIN w{t} USING (repeat, fold)) GROUP BY repeat, fold)")
+        for c in range(n - 1):
+            cells = ", ".join(f"a{i}{j} - a{i}{c} * a{c}{j} / a{c}{c} AS a{i}{j}" if i > c else f"a{i}{j}" for i in range(n) for j in range(n + 1))
+            parts.append(f"e{t}_{c + 1} AS MATERIALIZED (SELECT repeat, fold, w0, w1, w2, w3, {cells} FROM e{t}_{c})")
+        sql = f"SELECT * FROM e{t}_{n - 1}"
+        for i in reversed(range(n)):
+            sql = f"SELECT *, (a{i}{n}{''.join(f' - a{i}{j} * d{j}' for j in range(i + 1, n))}) / a{i}{i} AS d{i} FROM ({sql})"
+        parts.append(f"w{t + 1} AS MATERIALIZED (SELECT repeat, fold, {', '.join(f'w{i} - d{i} AS w{i}' for i in range(n))} FROM ({sql}))")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {EX.replace("range(2)", f"range({ALL_REPEATS})")}, zm AS (SELECT repeat, fold, {_ZM}, count(*) AS n, count(*) FILTER (label = 1) AS n1 FROM ex WHERE train GROUP BY repeat, fold),
+ zs AS MATERIALIZED (SELECT ex.label, ex.repeat, ex.fold, n / (2.0::DOUBLE * CASE WHEN label = 1 THEN n1 ELSE n - n1 END) AS s, {_ZS} FROM ex JOIN zm USING (repeat, fold) WHERE train), {_newton_sql()}
+ SELECT repeat, fold, name, round(value, 6) AS value FROM (SELECT repeat, fold, unnest(['f1', 'f2', 'f3', 'intercept']) AS name, unnest([w0, w1, w2, w3]) AS value FROM w9)""")
+def model_logistic_coefficients(spark, d):
+    """(repeat, fold, name, value): coefficients of the logistic regression of all 150 folds, over three columns."""
+    data = grouped_folds(spark, d, FEATURES)
+    w = L.logistic(data)
+    rows = [(g // data.k, g % data.k, n, float(v)) for g in range(data.groups) for n, v in zip([*FEATURES, "intercept"], w[g], strict=True)]
+    return r6(spark.createDataFrame(rows, "repeat int, fold int, name string, value double"))
 
 
 @query()
@@ -413,7 +462,10 @@ def model_forest_oof(spark, d):
 
 @query()
 def model_svm_oof(spark, d):
-    return r6(model_oof(spark, d, "SVM"))
+    """Linear support vector machines of all 150 folds at once, over all columns, with Platt's probabilities."""
+    data = grouped_folds(spark, d)
+    model = L.support(data)
+    return oof(L.linear_scores(data, model, L.platt(data, model)))
 
 
 @query()
@@ -436,8 +488,6 @@ def model_boosted_deep_oof(spark, d):
     return r6(model_oof(spark, d, "boosted-deep"))
 
 
-_ZS = ", ".join(f"(ex.{f} - m_{f}) / s_{f} AS {f}" for f in FEATURES)
-_ZM = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES)
 _CV = ", ".join(f"0.5::DOUBLE * covar_samp({FEATURES[i]}, {FEATURES[j]}) + {0.5 if i == j else 0.0}::DOUBLE AS c{i}{j}" for i in range(3) for j in range(i, 3))
 
 

@@ -9,9 +9,24 @@ from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors can both write: below the session's checkpoint folder, or else its warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared}/tables-{uuid.uuid4()}"
+    """A new folder where driver and executors can both write, below the session's checkpoint folder; removed when the driver ends.
+
+    Where none is set, a session whose tasks all run in the driver's process takes its warehouse; one on a cluster has to set it.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{shared or spark.conf.get('spark.sql.warehouse.dir')}/tables-{uuid.uuid4()}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written once to a work folder and read from there: lineage is cut, and lost executors lose nothing of it."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_features(features: DataFrame, path: str) -> None:
