@@ -88,7 +88,9 @@ def assigned(rows: DataFrame, features: list[str], split: DataFrame, repeats: in
     """
     own = split.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("repeat", "fold"))).alias("own")).select(key, F.transform("own", lambda v: v["fold"]).alias("own"))
     x = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
-    data = kept(rows.join(own.filter(F.size("own") == repeats), key).select(*keep, F.col("label").cast("int").alias("label"), x, "own"))
+    data = rows.join(own.filter(F.size("own") == repeats), key).select(*keep, F.col("label").cast("int").alias("label"), x, "own")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    data = kept(data.repartition(cores, *keep) if data.rdd.getNumPartitions() < cores else data)
     d, groups = len(features), repeats * k
 
     def counts(b: pd.DataFrame) -> np.ndarray:

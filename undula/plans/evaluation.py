@@ -15,7 +15,9 @@ from undula.operators import models as M
 from undula.operators import runs as J
 from undula.operators import segments as G
 from undula.operators import splits as P
+from undula.operators import trees as T
 from undula.sources import tables as S
+from undula.sources.sinks import kept
 
 QUERIES, SQL = {}, {}
 BY = ["model", "repeat"]
@@ -309,12 +311,12 @@ def imp_summary(spark, d):
 
 @query()
 def imp_grouped_forest(spark, d):
-    """Grouped permutation importance with the forest, at the preset's size: every fold's forest is fitted once and scores all permutations."""
-    rows = P.standardised(split_rows(spark, d), FEATURES)
-    validation = rows.filter("not train")
+    """Grouped permutation importance with the forest, at the preset's size: every fold's forest is grown once and scores all permutations."""
+    data = T.binned(grouped_folds(spark, d, FEATURES, REPEATS))
+    validation = split_rows(spark, d).filter("not train")
     moved = I.all_permuted(validation, _GROUPS, ["repeat", "fold"], "segment_id", 1).unionByName(validation.withColumns({"permutation": F.lit(-1), "feature_group": F.lit("base")}))
-    both = rows.filter("train").withColumns({"permutation": F.lit(-1), "feature_group": F.lit("")}).unionByName(moved)
-    scored = M.fitted(both, FEATURES, "Random Forest").filter("not train").select("repeat", "permutation", "feature_group", "record", "label", "score")
+    rows = moved.select("repeat", "fold", "permutation", "feature_group", "record", "label", F.array(*FEATURES).cast("array<double>").alias("x"))
+    scored = kept(T.scored(data, T.forest(data), rows))
     by = ["repeat", "permutation", "feature_group"]
     ap = E.average_precision(E.record_scores(scored, by), by)
     base = ap.filter("permutation < 0").select("repeat", F.col("average_precision").alias("baseline_ap"))
@@ -405,7 +407,7 @@ def fn_publication_subset(spark, d):
 _ZS = ", ".join(f"(ex.{f} - m_{f}) / s_{f} AS {f}" for f in FEATURES)
 _ZM = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES)
 #: Repeats and columns of the models that one plan trains for all folds.
-ALL_REPEATS, ALL_FEATURES = 30, [f"f{k + 1}" for k in range(64)]
+ALL_REPEATS, FOREST_REPEATS, ALL_FEATURES = 30, 2, [f"f{k + 1}" for k in range(64)]
 
 
 def grouped_folds(spark, d, features: list[str] = ALL_FEATURES, repeats: int = ALL_REPEATS) -> L.Folds:
@@ -457,7 +459,9 @@ def model_logistic_coefficients(spark, d):
 
 @query()
 def model_forest_oof(spark, d):
-    return r6(model_oof(spark, d, "Random Forest"))
+    """Forests at the preset's size, over all columns; a forest of 500 trees for each fold of FOREST_REPEATS repeats."""
+    data = T.binned(grouped_folds(spark, d, repeats=FOREST_REPEATS))
+    return oof(T.scored(data, T.forest(data)))
 
 
 @query()
@@ -470,12 +474,47 @@ def model_svm_oof(spark, d):
 
 @query()
 def model_tree_oof(spark, d):
-    return r6(model_oof(spark, d, "Decision Tree"))
+    """Decision trees of all 150 folds at once, over all columns."""
+    data = T.binned(grouped_folds(spark, d))
+    return oof(T.scored(data, T.tree(data)))
+
+
+_STEPS = [k / 20 for k in range(-8, 9)]
+
+
+def _level_sql(t: int) -> str:
+    """The best split of every node of level t, and the side that its rows go to, null where it doesn't split."""
+    by = ", ".join(["repeat", "fold", *[f"s{k}" for k in range(t)]])
+    node = " AND ".join(["b.repeat = a.repeat", "b.fold = a.fold", *[f"b.s{k} IS NOT DISTINCT FROM a.s{k}" for k in range(t)]])
+    good = lambda s: f"({s}0 * {s}0 + {s}1 * {s}1) / ({s}0 + {s}1)"
+    return f"""c{t} AS (SELECT {by}, f, c, (count(*) FILTER (x <= c AND label = 0))::DOUBLE AS l0, (count(*) FILTER (x <= c AND label = 1))::DOUBLE AS l1, (count(*) FILTER (x > c AND label = 0))::DOUBLE AS r0,
+  (count(*) FILTER (x > c AND label = 1))::DOUBLE AS r1, (count(*) FILTER (label = 0))::DOUBLE AS t0, (count(*) FILTER (label = 1))::DOUBLE AS t1
+  FROM (SELECT *, unnest([1, 2, 3]) AS f, unnest([f1, f2, f3]) AS x FROM n{t} WHERE train), (SELECT k / 20.0::DOUBLE AS c FROM range(-8, 9) r(k)) GROUP BY ALL),
+ b{t} AS (SELECT * FROM (SELECT *, round({good("l")} + {good("r")} - {good("t")}, 9) AS gain FROM c{t} WHERE l0 + l1 > 0 AND r0 + r1 > 0) WHERE gain > 1e-7 QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY gain DESC, f, c) = 1),
+ n{t + 1} AS MATERIALIZED (SELECT a.*, CASE WHEN b.f IS NULL THEN NULL ELSE CAST((CASE b.f WHEN 1 THEN a.f1 WHEN 2 THEN a.f2 ELSE a.f3 END) > b.c AS INTEGER) END AS s{t} FROM n{t} a LEFT JOIN b{t} b ON {node})"""
+
+
+@query(f"""WITH {EX.replace("range(2)", f"range({ALL_REPEATS})")}, n0 AS MATERIALIZED (SELECT segment_id, record, label, repeat, fold, train, f1, f2, f3 FROM ex), {_level_sql(0)}, {_level_sql(1)},
+ v AS (SELECT repeat, fold, s0, s1, avg(label) AS score FROM n2 WHERE train GROUP BY ALL)
+ SELECT n2.repeat, n2.fold, record, CAST(min(label) AS INTEGER) AS label, round(max(score), 6) AS score FROM n2 JOIN v ON v.repeat = n2.repeat AND v.fold = n2.fold AND v.s0 IS NOT DISTINCT FROM n2.s0 AND v.s1 IS NOT DISTINCT FROM n2.s1
+ WHERE NOT train GROUP BY n2.repeat, n2.fold, record""")
+def model_shallow_tree_oof(spark, d):
+    """Trees of depth 2 of all 150 folds over three columns and fixed thresholds."""
+    data = T.binned(grouped_folds(spark, d, FEATURES), cuts=[_STEPS] * len(FEATURES))
+    return oof(T.scored(data, T.tree(data, 2)))
 
 
 @query()
 def model_boosting_oof(spark, d):
-    return r6(model_oof(spark, d, "Gradient Boosting"))
+    """Gradient boosting of all 150 folds at once, over all columns, at the preset's size."""
+    data = T.binned(grouped_folds(spark, d))
+    return oof(T.scored(data, T.boosted(data)))
+
+
+@query()
+def model_boosted_deep_oof(spark, d):
+    data = T.binned(grouped_folds(spark, d))
+    return oof(T.scored(data, T.boosted(data, depth=6)))
 
 
 @query()
