@@ -41,8 +41,10 @@ def plain(x, y, cuts, depth):
     return lambda v: sides[int(v[f] > c)](v)
 
 
-@pytest.mark.parametrize("depth", [1, 3, 30])
-def test_trees_equal_a_plain_grower(spark, depth):
+@pytest.mark.parametrize("few", [20_000, 0])
+@pytest.mark.parametrize("depth", [3, 30])
+def test_trees_equal_a_plain_grower(spark, monkeypatch, depth, few):
+    monkeypatch.setattr(T, "FEW", few)
     rows, split, folds = table(spark)
     data = T.binned(folds)
     got = {(r["repeat"], r["segment_id"]): r for r in T.scored(data, T.tree(data, depth)).collect()}
@@ -64,11 +66,19 @@ def test_small_blocks_and_chunks_change_nothing(spark, monkeypatch):
     one = grown()
     monkeypatch.setattr(T, "CELLS", 1)
     monkeypatch.setattr(T, "PAIRS", 5)
-    two = grown()
+    monkeypatch.setattr(T, "DENSE", 0)
+    same(one, grown())
+    assert data.chunks > 1
+    monkeypatch.setattr(T, "FEW", 0)
+    data = T.binned(folds)
+    assert data.chunks == 1
+    assert len(one.root) == 7 * folds.groups and len({tuple(one.feature[[r, one.child[r]]]) for r in one.root}) > 1
+
+
+def same(one, two):
     for name in ("group", "root", "feature", "cut", "child"):
         assert (getattr(one, name) == getattr(two, name)).all()
     assert np.allclose(one.value, two.value)
-    assert len(one.root) == 7 * folds.groups and len({tuple(one.feature[[r, one.child[r]]]) for r in one.root}) > 1
 
 
 def test_bags_are_poisson():
@@ -79,6 +89,7 @@ def test_bags_are_poisson():
 def test_boosting_lowers_the_loss_at_every_round(spark, monkeypatch):
     rows, split, folds = table(spark)
     monkeypatch.setattr(T, "EVERY", 2)
+    monkeypatch.setattr(T, "FEW", 0)
     data = T.binned(folds)
     model = T.boosted(data, rounds=5, depth=2)
     x = np.array([[np.nan if v is None else v for v in r[3:]] for r in rows])

@@ -20,8 +20,10 @@ from undula.operators.grouped import Folds, trains
 from undula.schema import SEED
 from undula.sources.sinks import kept
 
-#: Bins of a feature; (row, tree) pairs that are routed together; cells of a block of nodes; rounds of boosting between written scores.
-BINS, PAIRS, CELLS, EVERY = 64, 2_000_000, 1 << 20, 10
+#: Rows up to which trees, not rows, are dealt over tasks.
+FEW = 20_000
+#: Bins of a feature; (row, tree) pairs that are routed together; cells of a block of nodes; most cells that a task keeps as one array; rounds of boosting between written scores.
+BINS, PAIRS, CELLS, DENSE, EVERY = 64, 2_000_000, 1 << 20, 1 << 22, 10
 _NULL, _LEAST = 255, 1e-7
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, 1, 2, 3, 4, 5, 6, 7]))
 _U = np.uint64
@@ -29,12 +31,16 @@ _U = np.uint64
 
 @dataclass
 class Binned:
-    """Rows (the kept columns, label, own, x, bins, draw) of `folds`, thresholds by feature (x <= threshold goes left), and the bins of the groups' means."""
+    """Rows (the kept columns, label, own, x, bins, draw, chunk) of `folds`, thresholds by feature (x <= threshold goes left), and the bins of the groups' means.
+
+    Few rows stand once in each of `chunks` chunks, each of which grows its share of the trees alone; of many rows there is one chunk.
+    """
 
     folds: Folds
     rows: DataFrame
     cuts: list[np.ndarray]
     means: np.ndarray
+    chunks: int
 
 
 @dataclass
@@ -93,9 +99,13 @@ def binned(folds: Folds, bins: int = BINS, cuts: list[list[float]] | None = None
                 yield b.assign(bins=[r.tobytes() for r in _bins(x, edges)])
 
     draw = folds.rows.withColumn("draw", F.xxhash64(*folds.keep))
+    cores = folds.rows.sparkSession.sparkContext.defaultParallelism
+    chunks = cores if folds.rows.count() <= FEW else 1
+    draw = draw.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     types = ", ".join(f"{c} {t}" for c, t in draw.dtypes)
-    means = _bins(folds.mean, edges)
-    return Binned(folds, kept(draw.mapInPandas(placed, f"{types}, bins binary")), edges, means)
+    rows = draw.mapInPandas(placed, f"{types}, bins binary")
+    rows = kept(rows.repartitionByRange(chunks, "chunk") if chunks > 1 else rows)  # a chunk is one small file, so one task reads it
+    return Binned(folds, rows, edges, _bins(folds.mean, edges), chunks)
 
 
 def _bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -116,6 +126,47 @@ def _bag(draw: np.ndarray, tree: np.ndarray) -> np.ndarray:
     return np.searchsorted(_POISSON, ((h ^ (h >> _U(31))) >> _U(11)).astype(np.float64) / 2.0**53, "right")
 
 
+class _Cells:
+    """Sums of histogram cells: one array where there are few, else codes and sums that are merged now and then."""
+
+    def __init__(self, size: int, width: int):
+        self.dense = np.zeros((size, width)) if size <= DENSE else None
+        self.some: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, code: np.ndarray, sums: np.ndarray) -> None:
+        if self.dense is not None:
+            for c in range(sums.shape[1]):
+                self.dense[:, c] += np.bincount(code, sums[:, c], len(self.dense))
+        else:
+            self.some.append((code, sums))
+            if sum(len(c) for c, _ in self.some) > 4 * PAIRS:
+                self.some = [_merged(self.some)]
+
+    def filled(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.dense is None:
+            self.some = [_merged(self.some)]
+            return self.some[0]
+        code = np.flatnonzero(self.dense.any(1))
+        return code, self.dense[code]
+
+    def between(self, lo: int, hi: int) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[lo:hi]
+        if len(self.some) > 1:
+            self.some = [_merged(self.some)]
+        code, sums = self.some[0]
+        i, j = np.searchsorted(code, [lo, hi])
+        out = np.zeros((hi - lo, sums.shape[1]))
+        out[code[i:j] - lo] = sums[i:j]
+        return out
+
+
+def _picked(h: np.ndarray, first: int, features: int, bins: int, kind: str) -> pd.DataFrame:
+    gain, f, cut, left, total = _best(h.reshape(-1, features, bins, h.shape[1]), kind)
+    found = np.column_stack((first + np.arange(len(gain)), gain, f, cut, left, total))
+    return pd.DataFrame({"found": [found.tobytes()]})
+
+
 def _merged(cells: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     code, place = np.unique(np.concatenate([c for c, _ in cells]), return_inverse=True)
     value = np.concatenate([v for _, v in cells])
@@ -144,7 +195,7 @@ def _best(h: np.ndarray, kind: str) -> tuple[np.ndarray, ...]:
 def grow(data: Binned, rows: DataFrame, group: np.ndarray, depth: int, features: int, bag: bool, kind: str, offset=None, first_tree: int = 0) -> Forest:
     """Trees of the given groups. `kind` "class" sums weights by label and splits by Gini impurity, "residual" sums counts, residuals and curvature of the logistic loss.
 
-    A node takes `features` of all features, drawn anew; `bag` draws rows for each tree, with balanced weights. `offset(frame, bins)` gives rows x groups scores
+    A node takes `features` of all features, drawn anew; `bag` draws rows for each tree, with balanced weights. `offset(frame, bins, some)` gives rows x groups scores, right for some groups,
     that residuals are taken from.
     """
     folds, k = data.folds, data.folds.k
@@ -153,57 +204,72 @@ def grow(data: Binned, rows: DataFrame, group: np.ndarray, depth: int, features:
     taught = folds.taught()
     trees = len(group)
     forest = Forest(group, np.arange(trees), np.full(trees, -1, np.int16), np.zeros(trees, np.uint8), np.zeros(trees, np.int64), np.zeros(trees))
-    rng = np.random.default_rng(SEED + first_tree)
+    rng, chunks, owner = np.random.default_rng(SEED + first_tree), data.chunks, np.arange(trees)
     opened = np.flatnonzero(taught[group])
     per_block = max(1, CELLS // (features * max(2, bins) * width))
     cells_of_node = features * bins
     for level in range(depth + 1):
         if not len(opened) or bins < 2:
             break
+        opened = opened[np.argsort(owner[opened] % chunks, kind="stable")]
+        starts = np.searchsorted(owner[opened] % chunks, np.arange(chunks + 1))
         slot = np.full(len(forest.feature), -1, np.int64)
         slot[opened] = np.arange(len(opened))
         drawn = np.argsort(rng.random((len(opened), d)), axis=1)[:, :features] if features < d else np.tile(np.arange(d), (len(opened), 1))
         drawn = np.sort(drawn, axis=1).astype(np.int16)
         sent = rows.sparkSession.sparkContext.broadcast((forest, slot, drawn))
 
-        def parts(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def gathered(batches: Iterator[pd.DataFrame], sent=sent, starts=starts) -> dict[int, _Cells]:
+            """Cells of the open nodes of each chunk."""
             forest, slot, drawn = sent.value
-            cells: list[tuple[np.ndarray, np.ndarray]] = []
+            found: dict[int, _Cells] = {}
+            step = max(1, PAIRS // max(trees, features * 8))
             for b in batches:
-                step = max(1, PAIRS // trees)
-                for i in range(0, len(b), step):
-                    part = b.iloc[i : i + step]
-                    own, y, bin_of = np.array(part["own"].tolist(), np.int64).reshape(len(part), -1), part["label"].to_numpy(np.int64), _codes(part["bins"])
-                    times = trains(own, k)[:, group].astype(np.float64)
-                    if bag:
-                        times *= _bag(part["draw"].to_numpy(), np.arange(trees) + first_tree)
-                    row, tree = np.nonzero(times)
-                    at = slot[forest.leaf(bin_of, means, row, tree)]
-                    row, tree, at = row[at >= 0], tree[at >= 0], at[at >= 0]
-                    if not len(at):
-                        continue
-                    w = times[row, tree]
-                    if kind == "class":
-                        sums = np.zeros((len(at), 2))
-                        sums[np.arange(len(at)), y[row]] = w * (weights[group[tree], y[row]] if bag else 1.0)
-                    else:
-                        p = 1 / (1 + np.exp(-offset(part, bin_of)[row, group[tree]]))
-                        sums = np.column_stack((w, w * (y[row] - p), w * p * (1 - p)))
-                    for j in range(features):
-                        f = drawn[at, j]
-                        c = bin_of[row, f].astype(np.int64)
-                        if (lost := c == _NULL).any():
-                            c = np.where(lost, means[group[tree], f], c)
-                        cells.append(((at * features + j) * bins + c, sums))
-                    if sum(len(c) for c, _ in cells) > 4 * PAIRS:
-                        cells = [_merged(cells)]
-            if cells:
-                code, value = _merged(cells)
+                for chunk in np.unique(b["chunk"]) if len(b) else ():
+                    mine, rows = np.arange(chunk, trees, chunks), b[b["chunk"] == chunk]
+                    first, last = starts[chunk], starts[chunk + 1]
+                    for i in range(0, len(rows) if last > first else 0, step):
+                        part = rows.iloc[i : i + step]
+                        own, y, bin_of = np.array(part["own"].tolist(), np.int64).reshape(len(part), -1), part["label"].to_numpy(np.int64), _codes(part["bins"])
+                        times = trains(own, k)[:, group[mine]].astype(np.float64)
+                        if bag:
+                            times *= _bag(part["draw"].to_numpy(), mine + first_tree)
+                        row, tree = np.nonzero(times)
+                        w, tree = times[row, tree], mine[tree]
+                        at = slot[forest.leaf(bin_of, means, row, tree)]
+                        row, tree, at, w = row[at >= 0], tree[at >= 0], at[at >= 0], w[at >= 0]
+                        if kind == "class":
+                            sums = np.zeros((len(at), 2))
+                            sums[np.arange(len(at)), y[row]] = w * (weights[group[tree], y[row]] if bag else 1.0)
+                        else:
+                            p = 1 / (1 + np.exp(-offset(part, bin_of, np.unique(group[mine]))[row, group[tree]]))
+                            sums = np.column_stack((w, w * (y[row] - p), w * p * (1 - p)))
+                        f = drawn[at]
+                        code = bin_of[row[:, None], f].astype(np.int64)
+                        if (lost := code == _NULL).any():
+                            code = np.where(lost, means[group[tree][:, None], f], code)
+                        code += ((at[:, None] - first) * features + np.arange(features)) * bins
+                        if chunk not in found:
+                            found[chunk] = _Cells(int(last - first) * cells_of_node, width)
+                        found[chunk].add(code.ravel(), np.repeat(sums, features, axis=0))
+            return found
+
+        def alone(batches: Iterator[pd.DataFrame], gathered=gathered, starts=starts) -> Iterator[pd.DataFrame]:
+            for chunk, cells in gathered(batches).items():
+                for lo in range(0, int(starts[chunk + 1] - starts[chunk]), per_block):
+                    hi = min(lo + per_block, int(starts[chunk + 1] - starts[chunk]))
+                    yield _picked(cells.between(lo * cells_of_node, hi * cells_of_node), int(starts[chunk]) + lo, features, bins, kind)
+
+        def parts(batches: Iterator[pd.DataFrame], gathered=gathered, starts=starts) -> Iterator[pd.DataFrame]:
+            for chunk, cells in gathered(batches).items():
+                code, value = cells.filled()
+                code = code + int(starts[chunk]) * cells_of_node
                 block = code // (per_block * cells_of_node)
                 cuts = np.flatnonzero(np.diff(block)) + 1
                 for c, v in zip(np.split(code, cuts), np.split(value, cuts), strict=True):
-                    n = int(c[0] // (per_block * cells_of_node))
-                    yield pd.DataFrame({"block": [n], "code": [(c - n * per_block * cells_of_node).astype(np.int32).tobytes()], "value": [v.tobytes()]})
+                    if len(c):
+                        n = int(c[0] // (per_block * cells_of_node))
+                        yield pd.DataFrame({"block": [n], "code": [(c - n * per_block * cells_of_node).astype(np.int32).tobytes()], "value": [v.tobytes()]})
 
         count = len(opened)
 
@@ -215,12 +281,13 @@ def grow(data: Binned, rows: DataFrame, group: np.ndarray, depth: int, features:
                         blocks[n] = np.zeros((min(per_block, count - n * per_block) * cells_of_node, width))
                     blocks[n][np.frombuffer(code, np.int32)] += np.frombuffer(value).reshape(-1, width)
             for n, h in blocks.items():
-                gain, f, cut, left, total = _best(h.reshape(-1, features, bins, width), kind)
-                found = np.column_stack((n * per_block + np.arange(len(gain)), gain, f, cut, left, total))
-                yield pd.DataFrame({"found": [found.tobytes()]})
+                yield _picked(h, n * per_block, features, bins, kind)
 
         kinds = "block int, code binary, value binary"
-        came = rows.mapInPandas(parts, kinds).repartition("block").mapInPandas(picked, "found binary").collect()
+        if chunks > 1:  # a tree's rows are all in one task, so its histograms are whole there
+            came = rows.mapInPandas(alone, "found binary").collect()
+        else:
+            came = rows.mapInPandas(parts, kinds).repartition("block").mapInPandas(picked, "found binary").collect()
         sent.destroy()
         found = np.concatenate([np.frombuffer(r["found"]).reshape(-1, 4 + 2 * width) for r in came] or [np.zeros((0, 4 + 2 * width))])
         found = found[np.argsort(found[:, 0])]
@@ -239,6 +306,7 @@ def grow(data: Binned, rows: DataFrame, group: np.ndarray, depth: int, features:
         forest.cut = np.concatenate((forest.cut, np.zeros(more, np.uint8)))
         forest.child = np.concatenate((forest.child, np.zeros(more, np.int64)))
         forest.value = np.concatenate((forest.value, _value(sides, kind)))
+        owner = np.concatenate((owner, np.repeat(owner[node], 2)))
         impure = (sides.min(1) > 1e-9) if kind == "class" else (sides[:, 0] > 1.5)
         opened = n + np.flatnonzero(impure) if level + 1 < depth else np.zeros(0, np.int64)
     return forest
@@ -290,11 +358,11 @@ def boosted(data: Binned, rounds: int = 100, depth: int = 3, rate: float = 0.1)
     means, groups = data.means, np.arange(folds.groups)
 
     def add(trees: list[Forest]):
-        def scores(part: pd.DataFrame, bins: np.ndarray) -> np.ndarray:
+        def scores(part: pd.DataFrame, bins: np.ndarray, some: np.ndarray) -> np.ndarray:
             out = np.tile(start, (len(part), 1)) if part["f"].iloc[0] is None else np.array(part["f"].tolist(), np.float64)
-            row, tree = np.repeat(np.arange(len(part)), len(groups)), np.tile(groups, len(part))
+            row, tree = np.repeat(np.arange(len(part)), len(some)), np.tile(some, len(part))
             for t in trees:
-                out += rate * t.value[t.leaf(bins, means, row, tree)].reshape(out.shape)
+                out[:, some] += rate * t.value[t.leaf(bins, means, row, tree)].reshape(len(part), -1)
             return out
 
         return scores
@@ -308,7 +376,7 @@ def boosted(data: Binned, rounds: int = 100, depth: int = 3, rate: float = 0.1)
             def moved(batches: Iterator[pd.DataFrame], scores=scores) -> Iterator[pd.DataFrame]:
                 for b in batches:
                     if len(b):
-                        yield b.assign(f=list(scores(b, _codes(b["bins"]))))
+                        yield b.assign(f=list(scores(b, _codes(b["bins"]), groups)))
 
             rows, recent = kept(rows.mapInPandas(moved, rows.schema)), []
     return Boosted(start, rate, joined(done) if done else grow(data, rows, groups, 0, 1, False, "residual", add([])))
