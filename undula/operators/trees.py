@@ -144,8 +144,7 @@ class _Cells:
 
     def filled(self) -> tuple[np.ndarray, np.ndarray]:
         if self.dense is None:
-            self.some = [_merged(self.some)]
-            return self.some[0]
+            return _merged(self.some) if self.some else (np.zeros(0, np.int64), np.zeros((0, 1)))
         code = np.flatnonzero(self.dense.any(1))
         return code, self.dense[code]
 
@@ -161,12 +160,6 @@ class _Cells:
         return out
 
 
-def _picked(h: np.ndarray, first: int, features: int, bins: int, kind: str) -> pd.DataFrame:
-    gain, f, cut, left, total = _best(h.reshape(-1, features, bins, h.shape[1]), kind)
-    found = np.column_stack((first + np.arange(len(gain)), gain, f, cut, left, total))
-    return pd.DataFrame({"found": [found.tobytes()]})
-
-
 def _merged(cells: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     code, place = np.unique(np.concatenate([c for c, _ in cells]), return_inverse=True)
     value = np.concatenate([v for _, v in cells])
@@ -192,124 +185,179 @@ def _best(h: np.ndarray, kind: str) -> tuple[np.ndarray, ...]:
     return flat[n, at], f, b, left[n, f, b], total[n, 0, 0]
 
 
+@dataclass
+class _Grower:
+    """What the growing of `group`'s trees needs besides rows; see `grow`."""
+
+    group: np.ndarray
+    k: int
+    depth: int
+    features: int
+    bins: int
+    bag: bool
+    kind: str
+    offset: object
+    first_tree: int
+    weights: np.ndarray
+    means: np.ndarray
+    taught: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return 2 if self.kind == "class" else 3
+
+    @property
+    def node_cells(self) -> int:
+        return self.features * self.bins
+
+    @property
+    def per_block(self) -> int:
+        return max(1, CELLS // (self.node_cells * self.width))
+
+    def roots(self, trees: np.ndarray) -> tuple[Forest, np.ndarray]:
+        """Trees (by their numbers) of one node each, and the nodes that are open."""
+        n = len(trees)
+        start = Forest(self.group[trees], np.arange(n), np.full(n, -1, np.int16), np.zeros(n, np.uint8), np.zeros(n, np.int64), np.zeros(n))
+        return start, np.flatnonzero(self.taught[start.group]) if self.bins > 1 else np.zeros(0, np.int64)
+
+    def drawn(self, count: int, rng: np.random.Generator) -> np.ndarray:
+        """Features that open nodes take."""
+        d = self.means.shape[1]
+        if self.features == d:
+            return np.tile(np.arange(d, dtype=np.int16), (count, 1))
+        return np.sort(np.argsort(rng.random((count, d)), axis=1)[:, : self.features], axis=1).astype(np.int16)
+
+    def add(self, cells: _Cells, rows: pd.DataFrame, trees: np.ndarray, forest: Forest, slot: np.ndarray, drawn: np.ndarray) -> None:
+        """Adds rows to the cells of the open nodes that they come to."""
+        step = max(1, PAIRS // max(len(trees), self.node_cells // self.bins * 8))
+        for i in range(0, len(rows), step):
+            part = rows.iloc[i : i + step]
+            own, y, bin_of = np.array(part["own"].tolist(), np.int64).reshape(len(part), -1), part["label"].to_numpy(np.int64), _codes(part["bins"])
+            times = trains(own, self.k)[:, forest.group].astype(np.float64)
+            if self.bag:
+                times *= _bag(part["draw"].to_numpy(), trees + self.first_tree)
+            row, tree = np.nonzero(times)
+            at = slot[forest.leaf(bin_of, self.means, row, tree)]
+            row, tree, at = row[at >= 0], tree[at >= 0], at[at >= 0]
+            w, group = times[row, tree], forest.group[tree]
+            if self.kind == "class":
+                sums = np.zeros((len(at), 2))
+                sums[np.arange(len(at)), y[row]] = w * (self.weights[group, y[row]] if self.bag else 1.0)
+            else:
+                p = 1 / (1 + np.exp(-self.offset(part, bin_of, np.unique(forest.group))[row, group]))
+                sums = np.column_stack((w, w * (y[row] - p), w * p * (1 - p)))
+            f = drawn[at]
+            code = bin_of[row[:, None], f].astype(np.int64)
+            if (lost := code == _NULL).any():
+                code = np.where(lost, self.means[group[:, None], f], code)
+            code += (at[:, None] * self.features + np.arange(self.features)) * self.bins
+            cells.add(code.ravel(), np.repeat(sums, self.features, axis=0))
+
+    def picked(self, h: np.ndarray, first: int) -> np.ndarray:
+        """One row for each node of a histogram, the first of them open node `first`: its number, gain, feature, bin, sums of the left side and of all."""
+        gain, f, cut, left, total = _best(h.reshape(-1, self.features, self.bins, self.width), self.kind)
+        return np.column_stack((first + np.arange(len(gain)), gain, f, cut, left, total))
+
+    def split(self, forest: Forest, opened: np.ndarray, drawn: np.ndarray, found: np.ndarray, level: int) -> np.ndarray:
+        """Splits the open nodes of a level as `found` (rows of `picked`); returns the nodes that are open then."""
+        width, which, total = self.width, found[:, 0].astype(np.int64), found[:, 4 + self.width :]
+        if not level:
+            forest.value[opened[which]] = _value(total, self.kind)
+        split = (found[:, 1] > _LEAST) & (level < self.depth)
+        which, left, total = which[split], found[split, 4 : 4 + width], total[split]
+        node, n = opened[which], len(forest.feature)
+        forest.feature[node] = drawn[which, found[split, 2].astype(np.int64)]
+        forest.cut[node] = found[split, 3].astype(np.uint8)
+        forest.child[node] = n + 2 * np.arange(len(node))
+        sides = np.stack((left, total - left), axis=1).reshape(-1, width)
+        more = len(sides)
+        forest.feature = np.concatenate((forest.feature, np.full(more, -1, np.int16)))
+        forest.cut = np.concatenate((forest.cut, np.zeros(more, np.uint8)))
+        forest.child = np.concatenate((forest.child, np.zeros(more, np.int64)))
+        forest.value = np.concatenate((forest.value, _value(sides, self.kind)))
+        impure = (sides.min(1) > 1e-9) if self.kind == "class" else (sides[:, 0] > 1.5)
+        return n + np.flatnonzero(impure) if level + 1 < self.depth else np.zeros(0, np.int64)
+
+    def alone(self, rows: pd.DataFrame, trees: np.ndarray, rng: np.random.Generator) -> Forest:
+        """All levels of some trees over rows that are all here."""
+        forest, opened = self.roots(trees)
+        for level in range(self.depth + 1):
+            if not len(opened):
+                break
+            slot = np.full(len(forest.feature), -1, np.int64)
+            slot[opened] = np.arange(len(opened))
+            drawn = self.drawn(len(opened), rng)
+            cells = _Cells(len(opened) * self.node_cells, self.width)
+            self.add(cells, rows, trees, forest, slot, drawn)
+            parts = [self.picked(cells.between(i * self.node_cells, min(i + self.per_block, len(opened)) * self.node_cells), i) for i in range(0, len(opened), self.per_block)]
+            opened = self.split(forest, opened, drawn, np.concatenate(parts), level)
+        return forest
+
+
+_FIELDS = ["group", "root", "feature", "cut", "child", "value"]
+
+
 def grow(data: Binned, rows: DataFrame, group: np.ndarray, depth: int, features: int, bag: bool, kind: str, offset=None, first_tree: int = 0) -> Forest:
-    """Trees of the given groups. `kind` "class" sums weights by label and splits by Gini impurity, "residual" sums counts, residuals and curvature of the logistic loss.
+    """Trees of the given groups, ordered by group. `kind` "class" sums weights by label and splits by Gini impurity, "residual" sums counts, residuals and curvature of the logistic loss.
 
-    A node takes `features` of all features, drawn anew; `bag` draws rows for each tree, with balanced weights. `offset(frame, bins, some)` gives rows x groups scores, right for some groups,
-    that residuals are taken from.
+    A node takes `features` of all features, drawn anew; `bag` draws rows for each tree, with balanced weights. `offset(frame, bins, some)` gives rows x groups
+    scores, right for some groups, that residuals are taken from.
     """
-    folds, k = data.folds, data.folds.k
-    d, width, bins = folds.mean.shape[1], 2 if kind == "class" else 3, max([len(c) for c in data.cuts], default=0) + 1
-    weights, means = folds.weights(), data.means
-    taught = folds.taught()
-    trees = len(group)
-    forest = Forest(group, np.arange(trees), np.full(trees, -1, np.int16), np.zeros(trees, np.uint8), np.zeros(trees, np.int64), np.zeros(trees))
-    rng, chunks, owner = np.random.default_rng(SEED + first_tree), data.chunks, np.arange(trees)
-    opened = np.flatnonzero(taught[group])
-    per_block = max(1, CELLS // (features * max(2, bins) * width))
-    cells_of_node = features * bins
+    folds, chunks = data.folds, data.chunks
+    bins = max([len(c) for c in data.cuts], default=0) + 1
+    own = _Grower(group, folds.k, depth, features, bins, bag, kind, offset, first_tree, folds.weights(), data.means, folds.taught())
+    if chunks > 1:  # every chunk has all rows, in one task, and grows its share of the trees there
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [b for b in batches if len(b)]
+            frame = pd.concat(parts) if parts else pd.DataFrame({"chunk": []})
+            for chunk in np.unique(frame["chunk"]).astype(int):
+                trees = np.arange(chunk, len(group), chunks)
+                f = own.alone(frame[frame["chunk"] == chunk], trees, np.random.default_rng([SEED, first_tree, chunk]))
+                yield pd.DataFrame({"chunk": np.int32(chunk), **{c: [getattr(f, c).tobytes()] for c in _FIELDS}})
+
+        came = rows.mapInPandas(whole, "chunk int, " + ", ".join(f"{c} binary" for c in _FIELDS)).collect()
+        types = dict(zip(_FIELDS, ("i8", "i8", "i2", "u1", "i8", "f8"), strict=True))
+        some = [Forest(*[np.frombuffer(r[c], t) for c, t in types.items()]) for r in sorted(came, key=lambda r: r["chunk"])]
+        return joined(some) if some else own.roots(np.arange(len(group)))[0]
+    trees, rng = np.arange(len(group)), np.random.default_rng([SEED, first_tree])
+    forest, opened = own.roots(trees)
+    block_cells = own.per_block * own.node_cells
     for level in range(depth + 1):
-        if not len(opened) or bins < 2:
+        if not len(opened):
             break
-        opened = opened[np.argsort(owner[opened] % chunks, kind="stable")]
-        starts = np.searchsorted(owner[opened] % chunks, np.arange(chunks + 1))
         slot = np.full(len(forest.feature), -1, np.int64)
         slot[opened] = np.arange(len(opened))
-        drawn = np.argsort(rng.random((len(opened), d)), axis=1)[:, :features] if features < d else np.tile(np.arange(d), (len(opened), 1))
-        drawn = np.sort(drawn, axis=1).astype(np.int16)
+        drawn, count = own.drawn(len(opened), rng), len(opened)
         sent = rows.sparkSession.sparkContext.broadcast((forest, slot, drawn))
 
-        def gathered(batches: Iterator[pd.DataFrame], sent=sent, starts=starts) -> dict[int, _Cells]:
-            """Cells of the open nodes of each chunk."""
-            forest, slot, drawn = sent.value
-            found: dict[int, _Cells] = {}
-            step = max(1, PAIRS // max(trees, features * 8))
+        def parts(batches: Iterator[pd.DataFrame], sent=sent, count=count) -> Iterator[pd.DataFrame]:
+            cells = _Cells(count * own.node_cells, own.width)
             for b in batches:
-                for chunk in np.unique(b["chunk"]) if len(b) else ():
-                    mine, rows = np.arange(chunk, trees, chunks), b[b["chunk"] == chunk]
-                    first, last = starts[chunk], starts[chunk + 1]
-                    for i in range(0, len(rows) if last > first else 0, step):
-                        part = rows.iloc[i : i + step]
-                        own, y, bin_of = np.array(part["own"].tolist(), np.int64).reshape(len(part), -1), part["label"].to_numpy(np.int64), _codes(part["bins"])
-                        times = trains(own, k)[:, group[mine]].astype(np.float64)
-                        if bag:
-                            times *= _bag(part["draw"].to_numpy(), mine + first_tree)
-                        row, tree = np.nonzero(times)
-                        w, tree = times[row, tree], mine[tree]
-                        at = slot[forest.leaf(bin_of, means, row, tree)]
-                        row, tree, at, w = row[at >= 0], tree[at >= 0], at[at >= 0], w[at >= 0]
-                        if kind == "class":
-                            sums = np.zeros((len(at), 2))
-                            sums[np.arange(len(at)), y[row]] = w * (weights[group[tree], y[row]] if bag else 1.0)
-                        else:
-                            p = 1 / (1 + np.exp(-offset(part, bin_of, np.unique(group[mine]))[row, group[tree]]))
-                            sums = np.column_stack((w, w * (y[row] - p), w * p * (1 - p)))
-                        f = drawn[at]
-                        code = bin_of[row[:, None], f].astype(np.int64)
-                        if (lost := code == _NULL).any():
-                            code = np.where(lost, means[group[tree][:, None], f], code)
-                        code += ((at[:, None] - first) * features + np.arange(features)) * bins
-                        if chunk not in found:
-                            found[chunk] = _Cells(int(last - first) * cells_of_node, width)
-                        found[chunk].add(code.ravel(), np.repeat(sums, features, axis=0))
-            return found
-
-        def alone(batches: Iterator[pd.DataFrame], gathered=gathered, starts=starts) -> Iterator[pd.DataFrame]:
-            for chunk, cells in gathered(batches).items():
-                for lo in range(0, int(starts[chunk + 1] - starts[chunk]), per_block):
-                    hi = min(lo + per_block, int(starts[chunk + 1] - starts[chunk]))
-                    yield _picked(cells.between(lo * cells_of_node, hi * cells_of_node), int(starts[chunk]) + lo, features, bins, kind)
-
-        def parts(batches: Iterator[pd.DataFrame], gathered=gathered, starts=starts) -> Iterator[pd.DataFrame]:
-            for chunk, cells in gathered(batches).items():
-                code, value = cells.filled()
-                code = code + int(starts[chunk]) * cells_of_node
-                block = code // (per_block * cells_of_node)
-                cuts = np.flatnonzero(np.diff(block)) + 1
-                for c, v in zip(np.split(code, cuts), np.split(value, cuts), strict=True):
-                    if len(c):
-                        n = int(c[0] // (per_block * cells_of_node))
-                        yield pd.DataFrame({"block": [n], "code": [(c - n * per_block * cells_of_node).astype(np.int32).tobytes()], "value": [v.tobytes()]})
-
-        count = len(opened)
-
-        def picked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                if len(b):
+                    own.add(cells, b, trees, *sent.value)
+            code, value = cells.filled()
+            cuts = np.flatnonzero(np.diff(code // block_cells)) + 1
+            for c, v in zip(np.split(code, cuts), np.split(value, cuts), strict=True):
+                if len(c):
+                    n = int(c[0] // block_cells)
+                    yield pd.DataFrame({"block": [n], "code": [(c - n * block_cells).astype(np.int32).tobytes()], "value": [v.tobytes()]})
+
+        def picked(batches: Iterator[pd.DataFrame], count=count) -> Iterator[pd.DataFrame]:
             blocks: dict[int, np.ndarray] = {}
             for b in batches:
                 for n, code, value in zip(b["block"], b["code"], b["value"], strict=True):
                     if n not in blocks:
-                        blocks[n] = np.zeros((min(per_block, count - n * per_block) * cells_of_node, width))
-                    blocks[n][np.frombuffer(code, np.int32)] += np.frombuffer(value).reshape(-1, width)
+                        blocks[n] = np.zeros((min(own.per_block, count - n * own.per_block) * own.node_cells, own.width))
+                    blocks[n][np.frombuffer(code, np.int32)] += np.frombuffer(value).reshape(-1, own.width)
             for n, h in blocks.items():
-                yield _picked(h, n * per_block, features, bins, kind)
+                yield pd.DataFrame({"found": [own.picked(h, n * own.per_block).tobytes()]})
 
-        kinds = "block int, code binary, value binary"
-        if chunks > 1:  # a tree's rows are all in one task, so its histograms are whole there
-            came = rows.mapInPandas(alone, "found binary").collect()
-        else:
-            came = rows.mapInPandas(parts, kinds).repartition("block").mapInPandas(picked, "found binary").collect()
+        came = rows.mapInPandas(parts, "block int, code binary, value binary").repartition("block").mapInPandas(picked, "found binary").collect()
         sent.destroy()
-        found = np.concatenate([np.frombuffer(r["found"]).reshape(-1, 4 + 2 * width) for r in came] or [np.zeros((0, 4 + 2 * width))])
-        found = found[np.argsort(found[:, 0])]
-        which, total = found[:, 0].astype(np.int64), found[:, 4 + width :]
-        if not level:
-            forest.value[opened[which]] = _value(total, kind)
-        split = (found[:, 1] > _LEAST) & (level < depth)
-        which, left, total = which[split], found[split, 4 : 4 + width], total[split]
-        node, n = opened[which], len(forest.feature)
-        forest.feature[node] = drawn[which, found[split, 2].astype(np.int64)]
-        forest.cut[node] = found[split, 3].astype(np.uint8)
-        forest.child[node] = n + 2 * np.arange(len(node))
-        sides = np.stack((left, total - left), axis=1).reshape(-1, width)
-        more = len(sides)
-        forest.feature = np.concatenate((forest.feature, np.full(more, -1, np.int16)))
-        forest.cut = np.concatenate((forest.cut, np.zeros(more, np.uint8)))
-        forest.child = np.concatenate((forest.child, np.zeros(more, np.int64)))
-        forest.value = np.concatenate((forest.value, _value(sides, kind)))
-        owner = np.concatenate((owner, np.repeat(owner[node], 2)))
-        impure = (sides.min(1) > 1e-9) if kind == "class" else (sides[:, 0] > 1.5)
-        opened = n + np.flatnonzero(impure) if level + 1 < depth else np.zeros(0, np.int64)
-    return forest
+        found = np.concatenate([np.frombuffer(r["found"]).reshape(-1, 4 + 2 * own.width) for r in came] or [np.zeros((0, 4 + 2 * own.width))])
+        opened = own.split(forest, opened, drawn, found[np.argsort(found[:, 0])], level)
+    return forest if (np.diff(group) >= 0).all() else joined([forest])
 
 
 def _value(sums: np.ndarray, kind: str) -> np.ndarray:
