@@ -523,11 +523,6 @@ def model_perceptron_oof(spark, d):
     return r6(model_oof(spark, d, "MLP"))
 
 
-@query()
-def model_boosted_deep_oof(spark, d):
-    return r6(model_oof(spark, d, "boosted-deep"))
-
-
 _CV = ", ".join(f"0.5::DOUBLE * covar_samp({FEATURES[i]}, {FEATURES[j]}) + {0.5 if i == j else 0.0}::DOUBLE AS c{i}{j}" for i in range(3) for j in range(i, 3))
 
 
