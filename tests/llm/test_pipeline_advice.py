@@ -77,3 +77,11 @@ def test_rows_are_judged_one_by_one(spark, sf, tmp_path):
     assert kept("quality") == sorted(rows, key=repr)  # no label, no model
     assert kept("decontamination") == sorted(rows[2:], key=repr)
     assert kept("near_duplicates") == sorted([rows[1], rows[2], rows[5]], key=repr)  # the first is alike the second (16 of 19 shingles)
+
+
+def test_columns_named_like_keys_stay(spark, sf):
+    rows = [(1, "some clean words of a text that goes on and on", 77, 5), (2, "other clean words of another text, and no more", 78, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key long, _KEY_ long")
+    for name in ("quality", "near_duplicates", "decontamination", "personal_data"):
+        got = {r["doc_id"]: (r["_key"], r["_KEY_"]) for r in STAGE[name](spark, docs, sf).collect()}
+        assert set(got.items()) <= {(1, (77, 5)), (2, (78, 6))} and (got or name == "quality")

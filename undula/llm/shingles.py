@@ -159,7 +159,12 @@ def _in_blocks(places: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFram
     block = F.struct(F.pmod(F.xxhash64("top"), F.lit(buckets)).alias("bucket"), F.pmod(F.xxhash64("own", F.lit(3)), F.col("parts")).alias("part"))
     asking = written(asking.join(many, "top").select("own", block.alias("block")))
     asked = met.filter("root <> top").join(asking, "own").select("band", "block").distinct()
-    answers = written(met.select("own", "n", "root", "band").join(asked, "band").select("own", "n", "root", "block").distinct())
+    # Bands that the same blocks ask in stand for each other: a set goes to these blocks once, not once for each of its bands.
+    by_band = asked.groupBy("band").agg(F.xxhash64(F.sort_array(F.collect_list("block"))).alias("kind"))
+    by_band = written(by_band)
+    kinds = by_band.groupBy("kind").agg(F.min("band").alias("band")).join(asked, "band").select("kind", "block")
+    going = met.select("own", "n", "root", "band").join(by_band, "band").select("own", "n", "root", "kind").distinct()
+    answers = written(going.join(kinds, "kind").select("own", "n", "root", "block").distinct())
     room = answers.groupBy("block").agg(F.ceil(F.sum(F.col("n") + 64) / ROOM).alias("chunks"))
     chunk = F.pmod(F.xxhash64("own", F.lit(4)), F.col("chunks"))
     root = met.select("own", "root").distinct()
