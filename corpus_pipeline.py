@@ -30,30 +30,40 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def free_name(docs: DataFrame) -> str:
+    """A column name that the documents don't have."""
+    taken, name = {c.lower() for c in docs.columns}, "_key"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject, each row by its own text; all where no model can be fitted."""
     lean(spark)
-    keyed = docs.withColumn("_key", row_key())
-    scores = quality.scored(keyed, table(spark, sf_dir, "labels"), carry=("_key",), unfitted=1.0)
-    rejected = scores.filter(F.col("score") < quality.KEEP).select("_key").distinct()
-    return keyed.join(rejected, "_key", "left_anti").select(docs.columns)
+    key = free_name(docs)
+    keyed = docs.withColumn(key, row_key())
+    scores = quality.scored(keyed, table(spark, sf_dir, "labels"), carry=(key,), unfitted=1.0)
+    rejected = scores.filter(F.col("score") < quality.KEEP).select(key).distinct()
+    return keyed.join(rejected, key, "left_anti").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links of 0.8 or more of their 5-word shingles, the one with the smallest id.
+    """Of documents connected by links of 0.8 or more of their 5-word shingles, the one with the smallest id; none of an empty table.
 
     Every row is judged on its text: one without an id goes if another of its group has one, and of rows with one id only
     those that link are alike.
     """
     lean(spark)
-    keyed = docs.withColumn("_key", row_key())
-    own = shingles.groups(keyed.select(F.col("_key").alias("key"), "text")).select("key", "root")
-    named = checkpointed(own.join(keyed.select(F.col("_key").alias("key"), "doc_id").distinct(), "key"))
+    key = free_name(docs)
+    keyed = docs.withColumn(key, row_key())
+    own = shingles.groups(keyed.select(F.col(key).alias("key"), "text")).select("key", "root")
+    named = checkpointed(own.join(keyed.select(F.col(key).alias("key"), "doc_id").distinct(), "key"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("first"))
-    others = named.join(first, "root").filter("key <> first").select(F.col("key").alias("_key")).distinct()
-    kept = keyed.join(others, "_key", "left_anti")
+    others = named.join(first, "root").filter("key <> first").select(F.col("key").alias(key)).distinct()
+    kept = keyed.join(others, key, "left_anti")
     if not named.groupBy("key").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_key"])
+        kept = kept.dropDuplicates([key])
     return kept.select(docs.columns)
 
 
@@ -64,10 +74,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     together; without documents nothing comes out, without benchmark items everything.
     """
     lean(spark)
-    keyed = docs.withColumn("_key", row_key())
-    rows = keyed.select(F.col("_key").alias("doc_id"), "text")
-    leaks = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(leaks, "_key", "left_anti").select(docs.columns)
+    key = free_name(docs)
+    keyed = docs.withColumn(key, row_key())
+    rows = keyed.select(F.col(key).alias("doc_id"), "text")
+    leaks = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(leaks, key, "left_anti").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
