@@ -42,12 +42,16 @@ def numbered(intervals: DataFrame, mode: str, fs: float) -> DataFrame:
     return out.select(F.lit(mode).alias("mode"), "record", "segment_id", "start_sample", "end_sample").withColumns(sec)
 
 
-def sliced(samples: DataFrame, segments: DataFrame) -> DataFrame:
-    """Samples with the segments that hold them; overlapping segments repeat samples.
+def sliced(samples: DataFrame, segments: DataFrame, width: int = 256) -> DataFrame:
+    """Samples with the segments [start_sample, end_sample) that hold them; overlapping segments repeat samples.
 
-    An equi join on the record with a range left over; both sides are dealt out by record, whatever their size.
+    Segments stand once in every bin of `width` samples that they touch, and meet the samples of their bins only: both sides are dealt
+    out by record and bin, so a long record is spread, and a segment meets fewer than 2 `width` samples that it doesn't hold.
     """
-    return samples.join(segments, "record").filter((F.col("n") >= F.col("start_sample")) & (F.col("n") < F.col("end_sample")))
+    last = F.floor((F.col("end_sample") - 1) / width)
+    bins = segments.filter("end_sample > start_sample").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_sample") / width), last)))
+    met = samples.withColumn("_bin", F.floor(F.col("n") / width)).join(bins, ["record", "_bin"]).drop("_bin")
+    return met.filter((F.col("n") >= F.col("start_sample")) & (F.col("n") < F.col("end_sample")))
 
 
 def fixed_slices(samples: DataFrame, width: int) -> DataFrame:
