@@ -22,7 +22,7 @@ from undula.sources.sinks import kept
 QUERIES, SQL = {}, {}
 BY = ["model", "repeat"]
 FEATURES = ["f1", "f2", "f3"]
-REPEATS = 2
+REPEATS = 30
 
 ML = """ml AS (SELECT vec_id AS segment_id, (CASE WHEN label % 2 = 1 THEN 'p' ELSE 't' END) || '_' || (vec_id % 13) AS record, CAST(label % 2 AS INTEGER) AS label,
  embedding[1]::DOUBLE AS f1, embedding[2]::DOUBLE AS f2, embedding[3]::DOUBLE AS f3 FROM embeddings)"""
@@ -40,7 +40,7 @@ CU = RS + cumulative_sql("model, repeat")
 TH = CU + """, mc AS (SELECT *, coalesce((tp * (neg - fp) - fp * (pos - tp))::DOUBLE / nullif(sqrt((tp + fp)::DOUBLE * pos * neg * (neg - fp + pos - tp)), 0), 0) AS m FROM cu),
  th AS (SELECT model, repeat, score AS threshold FROM mc QUALIFY row_number() OVER (PARTITION BY model, repeat ORDER BY round(m, 12) DESC, score) = 1),
  pr AS (SELECT rs.*, threshold, CAST(score >= threshold AS INTEGER) AS prediction FROM rs JOIN th USING (model, repeat))"""
-FOLDS = ML + """, rec AS (SELECT DISTINCT record, label FROM ml), rp AS (SELECT CAST(range AS INTEGER) AS repeat FROM range(2)),
+FOLDS = ML + """, rec AS (SELECT DISTINCT record, label FROM ml), rp AS (SELECT CAST(range AS INTEGER) AS repeat FROM range(30)),
  rk AS (SELECT repeat, record, label, row_number() OVER (PARTITION BY repeat, label ORDER BY md5(record || ':' || CAST(42 + repeat AS VARCHAR)), record) - 1 AS rank FROM rec, rp),
  fo AS (SELECT repeat, record, label, CAST((CASE WHEN label = 1 THEN (SELECT count(*) FROM rec WHERE label = 0) ELSE 0 END + rank) % 5 AS INTEGER) AS fold FROM rk)"""
 EX = FOLDS + ", ex AS (SELECT ml.*, fo.repeat, f.fold, f.fold <> fo.fold AS train FROM ml JOIN fo ON fo.record = ml.record, (SELECT CAST(range AS INTEGER) AS fold FROM range(5)) f)"
@@ -76,9 +76,9 @@ def predictions(spark, d) -> DataFrame:
     return E.applied(s, E.thresholds(s, BY), BY)
 
 
-def split_rows(spark, d) -> DataFrame:
+def split_rows(spark, d, repeats: int = REPEATS) -> DataFrame:
     ml = S.ml_features(spark, d, 3)
-    return P.expanded(ml, P.folds(P.record_labels(ml), REPEATS))
+    return P.expanded(ml, P.folds(P.record_labels(ml), repeats))
 
 
 @query(f"WITH {FOLDS} SELECT * FROM fo")
@@ -312,8 +312,8 @@ def imp_summary(spark, d):
 @query()
 def imp_grouped_forest(spark, d):
     """Grouped permutation importance with the forest, at the preset's size: every fold's forest is grown once and scores all permutations."""
-    data = T.binned(grouped_folds(spark, d, FEATURES, REPEATS))
-    validation = split_rows(spark, d).filter("not train")
+    data = T.binned(grouped_folds(spark, d, FEATURES, FOREST_REPEATS))
+    validation = split_rows(spark, d, FOREST_REPEATS).filter("not train")
     moved = I.all_permuted(validation, _GROUPS, ["repeat", "fold"], "segment_id", 1).unionByName(validation.withColumns({"permutation": F.lit(-1), "feature_group": F.lit("base")}))
     rows = moved.select("repeat", "fold", "permutation", "feature_group", "record", "label", F.array(*FEATURES).cast("array<double>").alias("x"))
     scored = kept(T.scored(data, T.forest(data), rows))
@@ -407,7 +407,7 @@ def fn_publication_subset(spark, d):
 _ZS = ", ".join(f"(ex.{f} - m_{f}) / s_{f} AS {f}" for f in FEATURES)
 _ZM = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES)
 #: Repeats and columns of the models that one plan trains for all folds.
-ALL_REPEATS, FOREST_REPEATS, ALL_FEATURES = 30, 2, [f"f{k + 1}" for k in range(64)]
+ALL_REPEATS, FOREST_REPEATS, ALL_FEATURES = REPEATS, 2, [f"f{k + 1}" for k in range(64)]
 
 
 def grouped_folds(spark, d, features: list[str] = ALL_FEATURES, repeats: int = ALL_REPEATS) -> L.Folds:
@@ -446,7 +446,7 @@ def _newton_sql(steps: int = 9) -> str:
     return ", ".join(parts)
 
 
-@query(f"""WITH {EX.replace("range(2)", f"range({ALL_REPEATS})")}, zm AS (SELECT repeat, fold, {_ZM}, count(*) AS n, count(*) FILTER (label = 1) AS n1 FROM ex WHERE train GROUP BY repeat, fold),
+@query(f"""WITH {EX}, zm AS (SELECT repeat, fold, {_ZM}, count(*) AS n, count(*) FILTER (label = 1) AS n1 FROM ex WHERE train GROUP BY repeat, fold),
  zs AS MATERIALIZED (SELECT ex.label, ex.repeat, ex.fold, n / (2.0::DOUBLE * CASE WHEN label = 1 THEN n1 ELSE n - n1 END) AS s, {_ZS} FROM ex JOIN zm USING (repeat, fold) WHERE train), {_newton_sql()}
  SELECT repeat, fold, name, round(value, 6) AS value FROM (SELECT repeat, fold, unnest(['f1', 'f2', 'f3', 'intercept']) AS name, unnest([w0, w1, w2, w3]) AS value FROM w9)""")
 def model_logistic_coefficients(spark, d):
@@ -494,7 +494,7 @@ def _level_sql(t: int) -> str:
  n{t + 1} AS MATERIALIZED (SELECT a.*, CASE WHEN b.f IS NULL THEN NULL ELSE CAST((CASE b.f WHEN 1 THEN a.f1 WHEN 2 THEN a.f2 ELSE a.f3 END) > b.c AS INTEGER) END AS s{t} FROM n{t} a LEFT JOIN b{t} b ON {node})"""
 
 
-@query(f"""WITH {EX.replace("range(2)", f"range({ALL_REPEATS})")}, n0 AS MATERIALIZED (SELECT segment_id, record, label, repeat, fold, train, f1, f2, f3 FROM ex), {_level_sql(0)}, {_level_sql(1)},
+@query(f"""WITH {EX}, n0 AS MATERIALIZED (SELECT segment_id, record, label, repeat, fold, train, f1, f2, f3 FROM ex), {_level_sql(0)}, {_level_sql(1)},
  v AS (SELECT repeat, fold, s0, s1, avg(label) AS score FROM n2 WHERE train GROUP BY ALL)
  SELECT n2.repeat, n2.fold, record, CAST(min(label) AS INTEGER) AS label, round(max(score), 6) AS score FROM n2 JOIN v ON v.repeat = n2.repeat AND v.fold = n2.fold AND v.s0 IS NOT DISTINCT FROM n2.s0 AND v.s1 IS NOT DISTINCT FROM n2.s1
  WHERE NOT train GROUP BY n2.repeat, n2.fold, record""")
@@ -547,7 +547,7 @@ def model_qda_oof(spark, d):
 
 
 def model_oof(spark, d, name: str) -> DataFrame:
-    """Out-of-fold record scores of an MLlib model over all repeats (each fold is a job of its own), at the presets' sizes."""
-    rows = P.standardised(split_rows(spark, d), FEATURES)
+    """Out-of-fold record scores of an MLlib model over FOREST_REPEATS repeats (each fold is a job of its own), at the presets' sizes."""
+    rows = P.standardised(split_rows(spark, d, FOREST_REPEATS), FEATURES)
     s = M.fitted(rows, FEATURES, name)
     return E.record_scores(s.filter("not train"), ["repeat", "fold"])
