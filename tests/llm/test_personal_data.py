@@ -4,6 +4,9 @@ import random
 import re
 import time
 
+import numpy as np
+import pytest
+
 from undula.llm import pii
 
 WORDS = ["stone", "river", "walks", "slow", "green", "north", "under", "light", "of", "and", "the"]
@@ -59,6 +62,53 @@ def test_planted_spans_are_added(spark):
     assert false / decoys < 0.05, (false, decoys)
 
 
+def by_context(count, seed, edge):
+    """Texts with a span whose shape fits: true after a word for it, a decoy after one against it (with `edge`, glued to a letter too)."""
+    rng = random.Random(seed)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    out = []
+    for k in range(count):
+        kind = rng.choice(["phone", "ssn"])
+        span = f"{digits(3)}-{digits(3)}-{digits(4)}" if kind == "phone" else f"1{digits(2)}-{digits(2)}-{digits(4)}"
+        true = k % 2 == 0
+        lead = ("call " if kind == "phone" else "ssn ") if true else rng.choice(["serial ", "invoice "])
+        text = " ".join(rng.choice(WORDS) for _ in range(rng.randint(3, 20))) + " " + lead
+        out.append((text + span + ("x and" if edge and not true else " and") + " the rest.", true, f"{kind}:{len(text)}:{len(text) + len(span)}"))
+    return out
+
+
+@pytest.mark.parametrize("edge", [False, True])
+def test_decoys_whose_shape_fits_are_told_by_context(spark, edge):
+    rows = by_context(600, 8, edge)
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+
+    def added():
+        got = {r["doc_id"]: set(r["spans"].split(",")) for r in pii.marked(df).collect()}
+        hits = [span in got[k] for k, (_, true, span) in enumerate(rows) if true]
+        false = [span in got[k] for k, (_, true, span) in enumerate(rows) if not true]
+        return sum(hits) / len(hits), sum(hits) / max(1, sum(hits) + sum(false))
+
+    recall, precision = added()
+    assert recall > 0.95 and precision > 0.95, (recall, precision)
+
+
+def test_the_classifier_decides(spark, monkeypatch):
+    """With a classifier that says yes to everything the decoys come through, so the test above rests on it."""
+    rows = by_context(200, 8, False)
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    monkeypatch.setattr(pii, "train", lambda proposed, column="proposals", rounds=100: np.full(pii._STARTS[-1], 9.0))
+    got = {r["doc_id"]: r["spans"] for r in pii.marked(df).collect()}
+    assert all(span in got[k] for k, (_, _, span) in enumerate(rows))
+
+
+def test_no_labeler_has_a_veto():
+    """A proposal that the first labeler objects to is likely where the others speak for it and are usually right."""
+    counts = [((1, 1, 1, 1), 500), ((1, 1, 0, 1), 200), ((-1, 1, 1, 1), 60), ((-1, 1, -1, -1), 300), ((1, 1, -1, -1), 100)]
+    share, rates = pii.estimate(counts)
+    odds = lambda v: np.log(share / (1 - share)) + sum(np.log(rates[k, 1, x + 1] / rates[k, 0, x + 1]) for k, x in enumerate(v))
+    assert odds((-1, 1, 1, 1)) > np.log(9) and odds((1, 1, -1, -1)) < 0 and odds((-1, 1, -1, -1)) < 0
+
+
 def pii_empty():
     import hashlib
 

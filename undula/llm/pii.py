@@ -2,10 +2,11 @@
 
 Patterns propose spans. Labelers (shape, gazetteer, context, edges) vote on each proposal for, against, or not at all. How
 many proposals there are of each kind and votes is a small table, on which expectation-maximisation estimates, kind by kind,
-how often each labeler is right. The posteriors train a logistic span classifier that doesn't see the votes: it has features
-of its own, the span's length and separators, the word before it, and what stands between that and the span and after it.
-Its weights go back into a column expression. Base spans (valid matches of the four base patterns) always stay; the
-classifier adds proposals that it is sure of. Both tables that come to the driver are bounded by the numbers of combinations.
+how often each labeler is right. It starts from what is objected to by any labeler, so one that says yes to everything says
+nothing. The posteriors train a logistic span classifier, whose features are whether the shape fits, the span's length and
+separators, the word before it, and what stands between that and the span and after it. Its weights go back into a column
+expression. Base spans (valid matches of the four base patterns) always stay; the classifier adds proposals that it is sure
+of, and no labeler has a veto. Both tables that come to the driver are bounded by the numbers of combinations.
 
 A text with many spans takes little more than linear time: arrays are accumulated in blocks (`_running`), overlaps are found
 by one sweep over sorted spans, and no span looks its surroundings up in the whole text.
@@ -58,8 +59,10 @@ AGAINST_WORDS = "version|release|order|invoice|isbn|issn|serial|token|hash|check
 LABELERS = ("shape", "gazetteer", "context", "edge")
 #: Probability from which the classifier adds a proposal.
 SURE = 0.9
-#: Values of the classifier's features: length, separators, word before, what stands between, what comes after.
-SIZES, MASKS, CUES, GAPS, NEXTS = 7, 8, 17, 4, 4
+#: Values of the classifier's features: shape, length, separators, word before, what stands between, what comes after.
+FITS, SIZES, MASKS, CUES, GAPS, NEXTS = 2, 7, 8, 17, 4, 4
+#: Probability that a proposal is true before reliabilities are known: nobody objects, somebody does.
+CALM, DOUBTED = 0.95, 0.05
 #: Elements of an array that are accumulated at a time; it changes no result.
 BLOCK = 256
 _MARK, _FAR = "\x01", 2**31 - 1
@@ -159,21 +162,22 @@ def _votes(kind: str, m: Column, base: Column, before: Column, after: Column) ->
     return [vote(shape), F.when(known, 1).otherwise(-1 if kind in ("card", "phone") else 0), context, vote(~before.rlike(r"[A-Za-z0-9_]$") & ~after.rlike(r"^[A-Za-z0-9_]"))]
 
 
-def _cell(m: Column, before: Column, after: Column) -> Column:
-    """The classifier's features of a span as one number below SIZES * MASKS * CUES * GAPS * NEXTS."""
+def _cell(m: Column, before: Column, after: Column, shape: Column) -> Column:
+    """The classifier's features of a span as one number below FITS * SIZES * MASKS * CUES * GAPS * NEXTS."""
     size = F.least(F.floor(F.length(m) / 5), F.lit(SIZES - 1)).cast("int")
     mask = F.contains(m, F.lit(" ")).cast("int") + 2 * F.contains(m, F.lit("-")).cast("int") + 4 * m.rlike(r"[.()\[]").cast("int")
     word = F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1))
     cue = F.when(word == "", 0).otherwise(1 + F.pmod(F.xxhash64(word), F.lit(CUES - 1)).cast("int"))
     gap = F.when(before == "", 0).when(before.rlike(r"[:=#]\s*$"), 3).when(before.rlike(r"\s$"), 2).otherwise(1)
     then = F.when(after == "", 0).when(after.rlike(r"\s"), 1).when(after.rlike(r"[\p{L}\p{N}_]"), 2).otherwise(3)
-    return (((size * MASKS + mask) * CUES + cue) * GAPS + gap) * NEXTS + then
+    fits = (shape == 1).cast("int")
+    return ((((fits * SIZES + size) * MASKS + mask) * CUES + cue) * GAPS + gap) * NEXTS + then
 
 
 def _split(cell: Column | int) -> list[tuple]:
     """The features that a cell's number holds: (value, number of values), as columns or ints."""
     out = []
-    for n in (NEXTS, GAPS, CUES, MASKS, SIZES):
+    for n in (NEXTS, GAPS, CUES, MASKS, SIZES, FITS):
         out.append((cell % n, n))
         cell = F.floor(cell / n).cast("int") if isinstance(cell, Column) else cell // n
     return out
@@ -185,8 +189,9 @@ def _proposals(text: Column) -> Column:
     def proposed(kind: str, found: Column, is_base: bool) -> Column:
         def one(x: Column) -> Column:
             base = _valid(kind, x["m"]) if is_base else F.lit(False)
-            votes = F.array(*[v.cast("int") for v in _votes(kind, x["m"], base, x["before"], x["after"])])
-            return F.struct(F.lit(ORDER.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), base.alias("base"), votes.alias("votes"), _cell(x["m"], x["before"], x["after"]).alias("cell"))
+            cast = [v.cast("int") for v in _votes(kind, x["m"], base, x["before"], x["after"])]
+            votes, cell = F.array(*cast), _cell(x["m"], x["before"], x["after"], cast[0])
+            return F.struct(F.lit(ORDER.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), base.alias("base"), votes.alias("votes"), cell.alias("cell"))
 
         return F.transform(found, one)
 
@@ -206,31 +211,26 @@ def found(docs: DataFrame, column: str = "proposals") -> DataFrame:
 def estimate(counts: Iterable[tuple[tuple[int, ...], float]], rounds: int = 40) -> tuple[float, np.ndarray]:
     """Share of true proposals and P(vote | truth) as labelers x (false, true) x (-1, 0, 1), by expectation-maximisation.
 
-    `counts` are distinct votes and how often they occur. Labelers are taken as independent given the truth; a few imagined
-    proposals, on which each labeler is right more often than not, keep estimates off 0 and 1 where votes are rare.
+    `counts` are distinct votes and how often they occur. Labelers are taken as independent given the truth. The first
+    guess is that a proposal is true unless a labeler objects to it; a few imagined proposals, on which each labeler is right
+    more often than not, keep estimates off 0 and 1 where votes are rare.
     """
-    rows = [(np.array(v) + 1, n) for v, n in counts]
-    imagined = np.array([[4.0, 2.0, 1.0], [1.0, 2.0, 4.0]])
-    share, rates = 0.5, np.repeat((imagined / imagined.sum(1, keepdims=True))[None], len(LABELERS), 0)
+    votes = np.array([v for v, _ in counts]).reshape(-1, len(LABELERS))
+    n = np.array([float(c) for _, c in counts])
+    imagined = np.array([[1.0, 0.5, 0.25], [0.25, 0.5, 1.0]])
+    given = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)  # rows x labelers x votes
+    p = np.where((votes < 0).any(1), DOUBTED, CALM)
     for _ in range(rounds):
-        seen, true, total = np.repeat(imagined[None], len(LABELERS), 0), 1.0, 2.0
-        for v, n in rows:
-            p = posterior(share, rates, v - 1)
-            true, total = true + n * p, total + n
-            for k, x in enumerate(v):
-                seen[k, 1, x] += n * p
-                seen[k, 0, x] += n * (1 - p)
-        share, rates = true / total, seen / seen.sum(2, keepdims=True)
+        seen = np.stack([np.einsum("r,rkv->kv", n * (1 - p), given), np.einsum("r,rkv->kv", n * p, given)], 1) + imagined
+        rates = seen / seen.sum(2, keepdims=True)
+        share = float(((n * p).sum() + 1) / (n.sum() + 2))
+        odds = np.log(share / (1 - share)) + np.einsum("rkv,kv->r", given, np.log(rates[:, 1] / rates[:, 0]))
+        p = 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
     return share, rates
 
 
-def posterior(share: float, rates: np.ndarray, votes: Iterable[int]) -> float:
-    odds = np.log(share / (1 - share)) + sum(np.log(rates[k, 1, v + 1] / rates[k, 0, v + 1]) for k, v in enumerate(votes))
-    return float(1 / (1 + np.exp(-np.clip(odds, -35, 35))))
-
-
 def _posterior(fits: dict[int, tuple[float, np.ndarray]], k: Column, votes: Column) -> Column:
-    """`posterior` as a column, by each kind's own estimates."""
+    """Probability that a proposal with these votes is true, by its kind's own estimates."""
     share = [float(np.log(fits[j][0] / (1 - fits[j][0]))) if j in fits else 0.0 for j in range(len(ORDER))]
     odds = _pick(share, k)
     for i in range(len(LABELERS)):
@@ -244,12 +244,13 @@ def _pick(values: Iterable[float], at: Column) -> Column:
 
 
 #: Where the weights of each feature begin: kinds, then features within each kind, in the order of `_split`.
-_WIDTHS = [len(ORDER) * n for n in (NEXTS, GAPS, CUES, MASKS, SIZES)]
+_VALUES = [NEXTS, GAPS, CUES, MASKS, SIZES, FITS]
+_WIDTHS = [len(ORDER) * n for n in _VALUES]
 _STARTS = np.cumsum([len(ORDER), *_WIDTHS]).tolist()
 
 
 def train(proposed: DataFrame, column: str = "proposals", rounds: int = 100) -> np.ndarray:
-    """Weights of the span classifier (the last is the intercept), from all proposals of `proposed`."""
+    """Weights of the span classifier, from all proposals of `proposed`; each kind is fitted apart, its own weight its intercept."""
     p = proposed.select(F.explode(column).alias("p")).select("p.k", "p.votes", "p.cell")
     counts: dict[int, dict[tuple[int, ...], int]] = {}
     for r in p.groupBy("k", "votes").count().collect():
@@ -257,11 +258,22 @@ def train(proposed: DataFrame, column: str = "proposals", rounds: int = 100) ->
     fits = {k: estimate(sorted(c.items())) for k, c in sorted(counts.items())}
     true = _posterior(fits, F.col("k"), F.col("votes"))
     table = p.select("k", "cell", F.round(true, 9).alias("true")).groupBy("k", "cell").agg(F.sum(F.col("true").cast("decimal(28,9)")).cast("double").alias("true"), F.count("*").alias("n")).orderBy("k", "cell").collect()
-    x = np.zeros((len(table), _STARTS[-1] + 1))
-    for i, r in enumerate(table):
-        x[i, [r["k"], *(s + r["k"] * n + v for s, (v, n) in zip(_STARTS, _split(r["cell"]), strict=False)), -1]] = 1
-    y, n, w = np.array([r["true"] for r in table]), np.array([float(r["n"]) for r in table]), np.zeros(_STARTS[-1] + 1)
-    for _ in range(rounds if len(table) else 0):  # Newton's method with a small ridge
+    w = np.zeros(_STARTS[-1])
+    for kind in sorted({r["k"] for r in table}):
+        own = [r for r in table if r["k"] == kind]
+        places = np.concatenate([[kind], *(np.arange(s + kind * n, s + (kind + 1) * n) for s, n in zip(_STARTS, _VALUES, strict=False))])
+        x = np.zeros((len(own), len(places)))
+        first = np.cumsum([1, *_VALUES])
+        for i, r in enumerate(own):
+            x[i, [0, *(s + v for s, (v, _) in zip(first, _split(r["cell"]), strict=False))]] = 1
+        w[places] = _logistic(x, np.array([r["true"] for r in own]), np.array([float(r["n"]) for r in own]), rounds)
+    return w
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int) -> np.ndarray:
+    """Weights by Newton's method with a small ridge: y of n rows of each row of x are true."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w)), x.T @ (y - n * p) - 1e-2 * w)
         w += np.clip(step, -2, 2)
@@ -276,9 +288,9 @@ def accepted(weights: np.ndarray, column: str = "proposals", sure: float = SURE)
 
     def odds(p: Column) -> Column:
         parts = [_pick(w[s : s + len(ORDER) * n], p["k"] * n + v) for s, (v, n) in zip(_STARTS, _split(p["cell"]), strict=False)]
-        return reduce(lambda a, b: a + b, [_pick(w[: len(ORDER)], p["k"]), *parts], F.lit(w[-1]))
+        return reduce(lambda a, b: a + b, [_pick(w[: len(ORDER)], p["k"]), *parts])
 
-    sure_of = F.filter(column, lambda p: p["base"] | ((F.element_at(p["votes"], 1) == 1) & (odds(p) >= float(np.log(sure / (1 - sure))))))
+    sure_of = F.filter(column, lambda p: p["base"] | (odds(p) >= float(np.log(sure / (1 - sure)))))
     by_start = F.sort_array(F.transform(sure_of, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), p["k"].alias("k"), p["base"].alias("base"))))
 
     def free(spans: Column) -> Column:
