@@ -148,18 +148,24 @@ def _in_blocks(places: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFram
     """(a, b) links between what is still apart in some band, compared in blocks; no pair becomes a row unless it links.
 
     In every band those outside its most frequent component ask and all answer. Sets that ask for one component are kept together,
-    ASKS at most, and each set that shares a band with one of them goes to their block once; blocks are cut again by ROOM.
+    about ASKS, and each set that shares a band with one of them goes to their block once; blocks are cut again by ROOM. A band
+    names the blocks that ask in it as bits of 64 blocks a word, and a set's words are or-ed before they become rows, so however
+    many bands a set and a block share, they meet in one row.
     """
     counted = places.groupBy("band", "root").agg(F.count("*").alias("c"))
     top = counted.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("band", "top")
     met = written(places.join(top, "band").select("own", "n", "root", "band", "top"))
     asking = met.filter("root <> top").groupBy("own").agg(F.min("top").alias("top"))
     many = asking.groupBy("top").agg(F.ceil(F.count("*") / ASKS).alias("parts"))
-    buckets = max(1, -(-asking.count() // ASKS))
-    block = F.struct(F.pmod(F.xxhash64("top"), F.lit(buckets)).alias("bucket"), F.pmod(F.xxhash64("own", F.lit(3)), F.col("parts")).alias("part"))
+    blocks = max(1, -(-asking.count() // ASKS))
+    block = F.pmod(F.pmod(F.xxhash64("top"), F.lit(blocks)) + F.pmod(F.xxhash64("own", F.lit(3)), F.col("parts")), F.lit(blocks))
     asking = written(asking.join(many, "top").select("own", block.alias("block")))
-    asked = met.filter("root <> top").join(asking, "own").select("band", "block").distinct()
-    answers = written(met.select("own", "n", "root", "band").join(asked, "band").select("own", "n", "root", "block").distinct())
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("block", F.lit(64)).cast("int"))
+    word = F.floor(F.col("block") / 64).alias("word")
+    asked = met.filter("root <> top").join(asking, "own").groupBy("band", word).agg(F.bit_or(bit).alias("bits"))
+    answers = met.select("own", "n", "root", "band").join(asked, "band").groupBy("own", "n", "root", "word").agg(F.bit_or("bits").alias("bits"))
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("getbit", F.col("bits"), k) == 1)
+    answers = written(answers.select("own", "n", "root", F.explode(F.transform(set_bits, lambda k: F.col("word") * 64 + k)).alias("block")))
     room = answers.groupBy("block").agg(F.ceil(F.sum(F.col("n") + 64) / ROOM).alias("chunks"))
     chunk = F.pmod(F.xxhash64("own", F.lit(4)), F.col("chunks"))
     root = met.select("own", "root").distinct()
