@@ -1,5 +1,6 @@
 """Hand-computed and brute-force cases of the operators."""
 
+import time
 import itertools
 import math
 
@@ -328,3 +329,29 @@ def test_failed_check_raises(spark):
 def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = tables.price_samples(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "ReadSchema: struct<l_orderkey" in plan
+
+
+def test_widths_of_many_peaks_equal_plain_scans():
+    rng = np.random.default_rng(6)
+    for n, rel in [(3, 0.5), (17, 0.5), (60, 0.5), (60, 1.5)] * 20:
+        v = np.round(rng.normal(size=n), 1)
+        p = rng.choice(n, min(n, 8), replace=False)
+        prominence, width = X._measures(v, p, v[p], rel)
+        for k, at in enumerate(p):
+            h = v[at]
+            left = max((j for j in range(at) if v[j] > h), default=-1)
+            right = min((j for j in range(at + 1, n) if v[j] > h), default=n)
+            low = max(v[left + 1 : at + 1].min(), v[at:right].min())
+            level, ends = h - (h - low) * rel, []
+            for side, places in ((-1, range(at - 1, -1, -1)), (1, range(at + 1, n))):
+                j = next((j for j in places if v[j] <= level), None)
+                ends.append(np.nan if j is None else j - side * ((level - v[j]) / (v[j - side] - v[j]) if v[j] < level else 0.0))
+            assert prominence[k] == h - low and np.array_equal(width[k], ends[1] - ends[0], equal_nan=True)
+
+
+def test_widths_of_a_long_segment_take_seconds():
+    v = np.random.default_rng(7).normal(size=100_000)
+    p = np.sort(np.random.default_rng(8).choice(100_000, 10_000, replace=False))
+    began = time.perf_counter()
+    X._measures(v, p, v[p], 0.5)
+    assert time.perf_counter() - began < 5

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import factorial, log
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,41 +61,71 @@ def peaks(marked: DataFrame, keys: list[str], distance: int) -> DataFrame:
     return ranked.select(*keys, F.inline(kept)).select(*keys, "p", "h")
 
 
-def _with(value: Column, body) -> Column:
-    """`body` of a value that is worked out once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+class _Ranges:
+    """Least and greatest values of any range, from tables over ranges of powers of two; nearest places by descent through them."""
+
+    def __init__(self, v: np.ndarray):
+        self.n, self.low, self.high = len(v), [v], [v]
+        while 2 << (len(self.low) - 1) <= self.n:
+            half = 1 << (len(self.low) - 1)
+            self.low.append(np.minimum(self.low[-1][:-half], self.low[-1][half:]))
+            self.high.append(np.maximum(self.high[-1][:-half], self.high[-1][half:]))
+
+    def least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The least value of first ... last, both included."""
+        level = np.frexp(last - first + 1)[1] - 1
+        out = np.empty(len(first))
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.minimum(self.low[k][first[at]], self.low[k][last[at] - (1 << k) + 1])
+        return out
+
+    def nearest(self, start: np.ndarray, side: int, passed) -> np.ndarray:
+        """The nearest place beyond `start` on one side that ends the run of places whose ranges are `passed(low, high, which)`; -1 or n if none does."""
+        free = start.copy() if side < 0 else start + 1  # the run's open end
+        for k in range(len(self.low) - 1, -1, -1):
+            size = 1 << k
+            which = np.flatnonzero(free >= size if side < 0 else free + size <= self.n)
+            at = free[which] - size if side < 0 else free[which]
+            which = which[passed(self.low[k][at], self.high[k][at], which)]
+            free[which] += side * size
+        return free - 1 if side < 0 else free
+
+
+def _measures(v: np.ndarray, p: np.ndarray, h: np.ndarray, rel_height: float) -> tuple[np.ndarray, np.ndarray]:
+    """(prominence, width) of peaks p of height h: N log N for the values and log N for each peak."""
+    ranges = _Ranges(v)
+    left, right = (ranges.nearest(p, side, lambda low, high, which: high <= h[which]) for side in (-1, 1))
+    base = np.maximum(ranges.least(left + 1, p), ranges.least(p, right - 1))
+    level = h - (h - base) * rel_height
+    ends = []
+    for side in (-1, 1):
+        k = ranges.nearest(p, side, lambda low, high, which: low > level[which])
+        inside = (k >= 0) & (k < ranges.n)
+        at = np.where(inside, k, p)
+        below, above = v[at], v[np.where(inside, k - side, p)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.where(below < level, (level - below) / (above - below), 0.0)
+        ends.append(np.where(inside, k - side * step, np.nan))
+    return h - base, ends[1] - ends[0]
 
 
 def widths(marked: DataFrame, found: DataFrame, keys: list[str], rel_height: float = REL_HEIGHT) -> DataFrame:
-    """(keys, p, h, prominence, width): width in samples at `rel_height` of the prominence, crossings interpolated.
+    """(keys, p, h, prominence, width): width in samples at `rel_height` of the prominence, crossings interpolated; null if one is missing.
 
-    A segment is one row with its values and its peaks as arrays (bounded by the segment); values aren't repeated for peaks.
+    A segment is one row with its values and its peaks as arrays; values aren't repeated for peaks, nor scanned for each.
     """
-    values = marked.groupBy(keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("v"))
-    tops = found.groupBy(keys).agg(F.collect_list(F.struct("p", "h")).alias("_tops"))
-    at = lambda k: F.element_at("v", k + 1)
-    n = F.size("v")
-
-    def crossing(p: Column, side: int, e: Column) -> Column:
-        """Where the values first come down to e on one side of p, interpolated towards the peak."""
-        near = F.when(p > 0, F.reverse(F.sequence(F.lit(0), p - 1))) if side < 0 else F.when(p < n - 1, F.sequence(p + 1, n - 1))
-        first = F.try_element_at(F.filter(near, lambda k: at(k) <= e), F.lit(1))
-        return _with(first, lambda k: k - side * F.when(at(k) < e, (e - at(k)) / (at(k - side) - at(k))).otherwise(0.0))
-
-    def lowest(p: Column, h: Column) -> Column:
-        """The higher of the two lowest values between the peak and the nearest higher value on each side."""
-        before = F.when(p > 0, F.sequence(F.lit(0), p - 1))
-        after = F.when(p < n - 1, F.sequence(p + 1, n - 1))
-        left = F.coalesce(F.array_max(F.filter(before, lambda k: at(k) > h)), F.lit(-1))
-        right = F.coalesce(F.array_min(F.filter(after, lambda k: at(k) > h)), n)
-        return F.greatest(_with(left, lambda k: F.array_min(F.slice("v", k + 2, p - k))), _with(right, lambda k: F.array_min(F.slice("v", p + 1, k - p))))
-
-    def measured(x: Column) -> Column:
-        p, h = x["p"], x["h"]
-        end = lambda low: _with(h - (h - low) * rel_height, lambda e: crossing(p, 1, e) - crossing(p, -1, e))
-        return _with(lowest(p, h), lambda low: F.struct(p.alias("p"), h.alias("h"), (h - low).alias("prominence"), end(low).alias("width")))
-
-    return values.join(tops, keys).select(*keys, F.inline(F.transform("_tops", measured)))
+
+    @F.pandas_udf("prominence array<double>, width array<double>")
+    def measured(values: pd.Series, places: pd.Series, heights: pd.Series) -> pd.DataFrame:
+        rows = [_measures(np.asarray(v, float), np.asarray(p, np.int64), np.asarray(h, float), rel_height) for v, p, h in zip(values, places, heights, strict=True)]
+        return pd.DataFrame({"prominence": [a for a, _ in rows], "width": [[None if np.isnan(x) else x for x in w] for _, w in rows]})
+
+    values = marked.groupBy(keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("_v"))
+    tops = found.groupBy(keys).agg(F.sort_array(F.collect_list(F.struct("p", "h"))).alias("_t"))
+    both = values.join(tops, keys).select(*keys, F.col("_t.p").alias("_p"), F.col("_t.h").alias("_h"), measured("_v", "_t.p", "_t.h").alias("_m"))
+    rows = F.arrays_zip(F.col("_p").alias("p"), F.col("_h").alias("h"), F.col("_m.prominence").alias("prominence"), F.col("_m.width").alias("width"))
+    return both.select(*keys, F.inline(rows)).toDF(*keys, "p", "h", "prominence", "width")
 
 
 def bursts(found: DataFrame, keys: list[str], fs: float, tau: float) -> DataFrame:

@@ -49,6 +49,25 @@ def sig_psd_native(spark, d):
     return r6(W.welch_single(tall(spark, d), [*KEYS, "channel"], WIDTH, 20.0))
 
 
+OVERLAP = f"WITH {WIN}" + """, e AS (SELECT w.record, segment_id, v.v, i - v.v * 4 AS j, x FROM w, range(3) v(v) WHERE i BETWEEN v.v * 4 AND v.v * 4 + 7),
+ dm AS (SELECT record, segment_id, v, j, (x - avg(x) OVER (PARTITION BY record, segment_id, v)) * (0.5 - 0.5 * cos(2 * pi() * j / 8)) AS d FROM e),
+ ft AS (SELECT record, segment_id, v, k, sum(d * cos(2 * pi() * k * j / 8)) AS re, sum(d * sin(2 * pi() * k * j / 8)) AS im FROM dm, range(5) r(k) GROUP BY ALL),
+ ps AS (SELECT record, segment_id, k * 20.0::DOUBLE / 8 AS freq, avg((re * re + im * im) / (20.0::DOUBLE * 3.0::DOUBLE) * CASE WHEN k > 0 AND k < 4 THEN 2 ELSE 1 END) AS psd FROM ft GROUP BY ALL)
+ SELECT record, segment_id, round(freq, 6) AS freq, round(psd, 6) AS psd FROM ps"""
+
+
+@query(OVERLAP)
+def sig_psd_overlap(spark, d):
+    """Three windows of half a segment each, half overlapping, by transforms."""
+    return r6(W.welch(windows(spark, d), KEYS, 20.0, WIDTH // 2))
+
+
+@query(OVERLAP)
+def sig_psd_overlap_native(spark, d):
+    """The same by sums over sines and cosines."""
+    return r6(W.welch_windows(windows(spark, d), KEYS, WIDTH // 2, 20.0))
+
+
 def record_psd(spark, d) -> DataFrame:
     psd = W.welch_single(tall(spark, d), [*KEYS, "channel"], WIDTH, 20.0)
     return W.record_spectrum(psd.withColumn("label", F.col("record").cast("int") % 2))
