@@ -376,3 +376,12 @@ def test_pipeline_end_to_end(spark, sf):
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
     per = out.groupBy("sequence_id").sum("length").collect()
     assert max(r[1] for r in per) <= packing.WINDOW
+
+
+def test_a_small_sample_loses_no_link(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(20, 8))
+    rows = [(k, [float(v) for v in centers[k % 20] + rng.normal(size=8) * 0.02], 1) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    of = lambda n: sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.linked(df, fit_rows=n).collect())
+    assert of(40) == of(1) == of(1000)

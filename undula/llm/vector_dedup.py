@@ -28,6 +28,7 @@ from undula.llm.shared import checkpointed, table
 LIMIT = 0.98
 #: Vectors that centroids and codes are fitted on; every vector is indexed.
 FIT_ROWS = 65_536
+#: (FIT_ROWS is about how many vectors fit the index, drawn by a hash of their ids.)
 #: Codes of a sub-space, dimensions of one, and most inverted lists: as many as FIT_ROWS can place, reached at a billion vectors.
 CODES, SUB, LISTS = 32, 4, FIT_ROWS // 4
 #: Vectors of a list, or probes of one, that meet in a task; larger lists are compared in blocks.
@@ -186,12 +187,15 @@ def linked(vectors: DataFrame, limit: float = LIMIT, fit_rows: int = FIT_ROWS) -
     sound = F.size("e").__gt__(0) & ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("e", lambda v: v != 0)
     fine = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull() & sound)
     reps = fine.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
-    sample = reps.select("rep", "e").orderBy(F.xxhash64("rep"), "rep").limit(fit_rows).toPandas()
+    total = reps.count()
+    drawn = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1_000_000_000)) < int(1_000_000_000 * min(1.0, fit_rows / max(total, 1)))
+    sample = reps.filter(drawn).select("rep", "e").toPandas().sort_values("rep", ignore_index=True)
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not len(sample):
+    if not total:
         return alone
+    if not len(sample):
+        sample = reps.select("rep", "e").limit(1).toPandas()
     d = int(sample["e"].map(len).mode()[0])
-    total = reps.count()
     index = build(_placed(sample["e"], d), int(np.clip(np.sqrt(total / 4), 4, LISTS)))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
