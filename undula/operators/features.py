@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
 from math import factorial, log
 
 import numpy as np
@@ -193,22 +195,65 @@ def shannon_entropy(samples: DataFrame, keys: list[str], bins: int = SHANNON_BIN
     return counts.withColumn("_p", p).groupBy(keys).agg(F.when(F.sum("c") >= 2, F.abs(-F.sum(F.col("_p") * F.ln("_p")))).alias("SE"))
 
 
+#: Cells of the grid of sample entropy in one tolerance.
+GRID = 8
+
+
+def template_cells(samples: DataFrame, keys: list[str], m: int = SAMPEN_M, r: float = SAMPEN_R, tau: int = SAMPEN_TAU) -> DataFrame:
+    """(keys, c0 .. cm, _tol, t0 .. tm, n): distinct templates of m + 1 values, how often they occur, and their cell in a grid of GRID cells a tolerance."""
+    w = Window.partitionBy(keys)
+    o = Window.partitionBy(keys).orderBy("i")
+    values, cells = [f"t{j}" for j in range(m + 1)], [f"c{j}" for j in range(m + 1)]
+    s = samples.withColumns({t: F.lead("x", j * tau).over(o) for j, t in enumerate(values)})
+    s = s.withColumns({"_tol": r * F.stddev_pop("x").over(w), "_low": F.min("x").over(w)}).filter(F.col(values[m]).isNotNull() & (F.col("_tol") > 0))
+    s = s.withColumns({c: F.floor((F.col(t) - F.col("_low")) / F.col("_tol") * GRID) for c, t in zip(cells, values, strict=True)})
+    return s.groupBy(*keys, *cells, "_tol", *values).agg(F.count("*").alias("n"))
+
+
+def cell_pairs(templates: DataFrame, keys: list[str], m: int = SAMPEN_M) -> DataFrame:
+    """(keys, c0 .., d0 .., pairs, first, last) of pairs of cells, a cell with itself included, whose templates may be alike in their first m values.
+
+    `first`: the cells lie so near that all their templates are; `last`: whether the values after these are alike, null if
+    the cells don't tell. Cells meet in blocks of the first m coordinates and their neighbours. A cell of margin on either side
+    of the tolerance leaves room for rounding.
+    """
+    cells, others, block = [f"c{j}" for j in range(m + 1)], [f"d{j}" for j in range(m + 1)], [f"_g{j}" for j in range(m)]
+    at = {g: F.floor(F.col(f"c{j}") / (GRID + 2)) for j, g in enumerate(block)}
+    one = templates.groupBy(*keys, *cells).agg(F.sum("n").alias("n")).withColumns(at)
+    around = F.array(*[F.struct(*[(F.col(g) + k).alias(g) for g, k in zip(block, step, strict=True)]) for step in product((-1, 0, 1), repeat=m)])
+    two = one.select(*keys, *[F.col(c).alias(d) for c, d in zip(cells, others, strict=True)], F.col("n").alias("_n"), F.inline(around))
+    apart = [F.abs(F.col(c) - F.col(d)) for c, d in zip(cells, others, strict=True)]
+    met = one.join(two, [*keys, *block]).filter(F.struct(*cells) <= F.struct(*others))
+    for a in apart[:m]:
+        met = met.filter(a <= GRID + 1)
+    pairs = F.when(F.struct(*cells) == F.struct(*others), F.expr("n * (n - 1) div 2")).otherwise(F.col("n") * F.col("_n"))
+    last = F.when(apart[m] <= GRID - 2, True).when(apart[m] >= GRID + 2, False)
+    return met.select(*keys, *cells, *others, pairs.alias("pairs"), (F.greatest(*apart[:m], F.lit(0)) <= GRID - 2).alias("first"), last.alias("last"))
+
+
+def compared_templates(templates: DataFrame, met: DataFrame, keys: list[str], m: int = SAMPEN_M) -> DataFrame:
+    """(keys, first, pairs, b, a) of pairs of templates in those cells that don't tell: whether m and m + 1 values are alike."""
+    cells, others, values = [f"c{j}" for j in range(m + 1)], [f"d{j}" for j in range(m + 1)], [f"t{j}" for j in range(m + 1)]
+    unsure = met.filter(~F.col("first") | F.col("last").isNull()).select(*keys, *cells, *others, "first")
+    right = templates.select(*keys, *[F.col(c).alias(d) for c, d in zip(cells, others, strict=True)], *[F.col(t).alias(f"_{t}") for t in values], F.col("n").alias("_n"))
+    both = unsure.join(templates, [*keys, *cells]).join(right, [*keys, *others])
+    alike = [F.abs(F.col(t) - F.col(f"_{t}")) <= F.col("_tol") for t in values]
+    b = reduce(lambda x, y: x & y, alike[:m])
+    return both.select(*keys, "first", (F.col("n") * F.col("_n")).alias("pairs"), b.alias("b"), (b & alike[m]).alias("a"))
+
+
 def sample_entropy(samples: DataFrame, keys: list[str], m: int = SAMPEN_M, r: float = SAMPEN_R, tau: int = SAMPEN_TAU) -> DataFrame:
     """(keys, b, a, sampen): -ln(A/B) over unordered pairs of templates within r standard deviations, point by point.
 
-    Templates meet in buckets of their first value, slightly wider than the tolerance, so a join never pairs templates that
-    are far apart; one join counts both lengths.
+    Templates are counted by cells of a grid over all their values. Pairs of cells that lie wholly within the tolerance, or
+    wholly beyond, are counted without looking at a template; templates are compared only where the tolerance cuts through.
     """
-    w = Window.partitionBy(keys)
-    o = Window.partitionBy(keys).orderBy("i")
-    cols = {f"t{j}": F.lead("x", j * tau).over(o) for j in range(m + 1)}
-    s = samples.withColumns(cols).withColumn("_tol", r * F.stddev_pop("x").over(w)).filter(F.col(f"t{m}").isNotNull() & (F.col("_tol") > 0))
-    s = s.withColumn("_bucket", F.floor(F.col("t0") / (F.col("_tol") * (1 + 1e-9)))).select(*keys, "i", "_tol", "_bucket", *cols)
-    near = s.select(*keys, F.explode(F.array(*[F.col("_bucket") + d for d in (-1, 0, 1)])).alias("_bucket"), F.col("i").alias("_i"), *[F.col(c).alias(f"_{c}") for c in cols])
-    pairs = s.join(near, [*keys, "_bucket"]).filter("i < _i")
-    for j in range(m):
-        pairs = pairs.filter(F.abs(F.col(f"t{j}") - F.col(f"_t{j}")) <= F.col("_tol"))
-    counts = pairs.groupBy(keys).agg(F.count("*").alias("b"), F.count_if(F.abs(F.col(f"t{m}") - F.col(f"_t{m}")) <= F.col("_tol")).alias("a"))
+    templates = template_cells(samples, keys, m, r, tau)
+    met = cell_pairs(templates, keys, m)
+    sure = met.groupBy(keys).agg(F.sum(F.when(F.col("first"), F.col("pairs"))).alias("b"), F.sum(F.when(F.col("first") & F.col("last"), F.col("pairs"))).alias("a"))
+    seen = compared_templates(templates, met, keys, m)
+    seen = seen.groupBy(keys).agg(F.sum(F.when(~F.col("first") & F.col("b"), F.col("pairs"))).alias("b"), F.sum(F.when(F.col("a"), F.col("pairs"))).alias("a"))
+    counts = sure.unionByName(seen).groupBy(keys).agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     out = samples.select(keys).distinct().join(counts, keys, "left").withColumns({"a": F.coalesce("a", F.lit(0)), "b": F.coalesce("b", F.lit(0))})
     return out.withColumn("sampen", F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.col("a") / F.col("b"))))
 

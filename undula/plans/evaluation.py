@@ -17,7 +17,7 @@ from undula.operators import segments as G
 from undula.operators import splits as P
 from undula.operators import trees as T
 from undula.sources import tables as S
-from undula.sources.sinks import kept
+from undula.sources.sinks import kept, work_folder
 
 QUERIES, SQL = {}, {}
 BY = ["model", "repeat"]
@@ -551,3 +551,30 @@ def model_oof(spark, d, name: str) -> DataFrame:
     rows = P.standardised(split_rows(spark, d, FOREST_REPEATS), FEATURES)
     s = M.fitted(rows, FEATURES, name)
     return E.record_scores(s.filter("not train"), ["repeat", "fold"])
+
+
+def nb_study() -> J.Study:
+    def predict(rows: DataFrame, split: DataFrame) -> DataFrame:
+        return E.record_scores(M.naive_bayes(P.expanded(rows, split), FEATURES).filter("not train"), ["repeat", "fold"])
+
+    return J.Study("NB", "smoothing=1e-9", predict)
+
+
+def qda_study(regular: float = 0.5) -> J.Study:
+    def predict(rows: DataFrame, split: DataFrame) -> DataFrame:
+        scored = M.quadratic_discriminant(P.standardised(P.expanded(rows, split), FEATURES), FEATURES, regular=regular)
+        return E.record_scores(scored.filter("not train"), ["repeat", "fold"])
+
+    return J.Study("QDA", f"regular={regular}", predict)
+
+
+@query(f"""WITH p AS (SELECT 'NB' AS model, * FROM ({SQL["cv_gnb_oof"]}) UNION ALL SELECT 'QDA', repeat, fold, record, label, score FROM ({SQL["model_qda_oof"]}))
+ SELECT model, repeat, count(*) AS n, count(DISTINCT fold) AS folds, round(sum(score), 6) AS total, NOT (model = 'NB' AND repeat < 10) AS fitted FROM p GROUP BY model, repeat""")
+def run_resumed(spark, d):
+    """Thirty repeats of two models, taken up after a run that stopped at ten of one model and had five of the other with another parameter."""
+    ml, path = kept(S.ml_features(spark, d, 3)), work_folder(spark)
+    J.resume(ml, FEATURES, [nb_study()], 10, path)
+    J.resume(ml, FEATURES, [qda_study(0.25)], 5, path)
+    done = J.resume(ml, FEATURES, [nb_study(), qda_study()], REPEATS, path)
+    scored = r6(J.results(spark, path)).groupBy("model", "repeat").agg(F.count("*").alias("n"), F.count_distinct("fold").alias("folds"), F.round(F.sum("score"), 6).alias("total"))
+    return scored.join(done.select("model", "repeat", "fitted"), ["model", "repeat"])
