@@ -111,3 +111,39 @@ def test_nested_markup_takes_linear_time():
         html_text.main_text("<ul><li>x" * n + "</b></i>" * n)
         times.append(time.perf_counter() - began)
     assert times[0] < 1 and times[1] < 12 * times[0]
+
+
+LONG = "The river runs slowly under the stone bridge, and nobody knows why. It was built long ago; some say by monks. " * 8
+
+
+@pytest.mark.parametrize("name", ['class="social-studies"', 'class="ad-free"', 'class="search-page"', 'id="related-work"'])
+def test_a_name_that_may_mean_an_aside_keeps_the_only_long_text(name):
+    page = f"<html><body><div><p>A short block, elsewhere.</p></div><div {name}><h1>Bridges</h1><p>{LONG}</p><p>{LONG}</p></div></body></html>"
+    got = html_text.main_text(page)
+    assert LONG.strip() in got and "Bridges" in got
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "commentBody", "ad-box", "sidebar-left", "related-posts"])
+def test_a_sure_name_stays_an_aside_however_much_it_holds(name):
+    page = f'<html><body><article><p>{LONG}</p></article><div class="{name}"><p>Mine: {LONG}{LONG}</p></div></body></html>'
+    assert html_text.main_text(page) == LONG.strip()
+
+
+def test_a_name_that_may_mean_an_aside_is_one_beside_a_longer_text():
+    page = f'<html><body><article><p>{LONG}{LONG}</p></article><div class="related-work"><p>Beside: {LONG}</p></div></body></html>'
+    assert html_text.main_text(page) == (LONG + LONG).strip()
+
+
+def test_forms():
+    inside = f'<nav>Home</nav><div class="sidebar"><p>Side.</p></div><h1>Bridges</h1><p>{LONG}</p><p>More of it.</p><button>Go</button>'
+    assert html_text.main_text(f"<html><body><form action=x>{inside}</form></body></html>") == f"Bridges {LONG.strip()} More of it."
+    fill = "<form>Your name <input> Your address and everything else that we would like to know about you</form>"
+    assert html_text.main_text(f"<html><body><article><p>{LONG}</p></article>{fill}</body></html>") == LONG.strip()
+    assert html_text.main_text(f"<html><body>{fill}</body></html>") == ""
+    assert html_text.main_text(f"<html><body><article><p>{LONG}</p></article><form><p>{LONG}</p></form></body></html>") == LONG.strip()
+
+
+def test_a_page_of_many_megabytes_with_few_tags():
+    page = f"<html><body><div class='ad'>x</div><p>{LONG * 6000}</p></body></html>"
+    begun = time.time()
+    assert len(html_text.main_text(page)) > 5_000_000 and time.time() - begun < 20

@@ -21,18 +21,22 @@ from pyspark.sql import functions as F
 from undula.llm.shared import table
 
 # Elements that never hold main text, words in class names of what isn't main text, and kinds of elements.
-ASIDE_TAGS = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title", "button", "select", "textarea", "iframe", "svg", "dialog", "menu", "object", "canvas", "option", "label", "fieldset"}
+ASIDE_TAGS = {"nav", "header", "footer", "aside", "script", "style", "noscript", "template", "head", "title", "button", "select", "textarea", "iframe", "svg", "dialog", "menu", "object", "canvas", "option", "label", "fieldset"}
 ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "masthead", "comment", "comments", "reply", "replies", "disqus", "cookie", "cookies", "consent", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "widget", "pagination", "pager", "toolbar", "copyright", "disclaimer", "alert"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Words that make a class name speak of a page's layout or state, as in no-sidebar, has-comments, search-result.
 LAYOUT_WORDS = {"no", "not", "non", "has", "have", "with", "without", "hide", "hides", "hidden", "show", "is", "result", "results"}
+#: Words that only tell an element's place, shape or kind, so that a name made of them and aside words alone is sure, as in comment-list.
+PART_WORDS = {"area", "bar", "block", "body", "bottom", "box", "boxes", "button", "buttons", "col", "column", "container", "content", "dropdown", "form", "frame", "group", "header", "holder", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "lists", "main", "message", "mobile", "outer", "panel", "policy", "posts", "primary", "respond", "right", "row", "secondary", "section", "site", "slot", "sticky", "stories", "text", "thread", "title", "top", "tools", "unit", "wrap", "wrapper", "zone"}
+#: Elements that hold running text, which a form around a whole page has and a form to fill in hasn't.
+TEXT_TAGS = {"p", "article", "main"}
 RAW_TAGS = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE_TAGS = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 ITEMS = {"li", "dt", "dd", "tr", "td", "th", "option"}
-HOLDERS = {"article", "main", "section", "div", "body", "html", ""}
+HOLDERS = {"article", "main", "section", "div", "form", "body", "html", ""}
 #: Share of the highest fused ratio that a content path has; share of the content that the element around it holds.
 SHARE, HELD = 0.5, 0.9
 #: Fused ratios are multiplied by this for every marked element on the path.
@@ -50,17 +54,20 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _MARKS = re.compile(r"[.,;:!?…、。，！？；：¿¡\"'«»()-]")
 
 
-def _marked(attrs: str) -> bool:
-    """Whether an element's class, id or role names something beside the main text."""
+def _marked(attrs: str) -> int:
+    """Whether an element's class, id or role names something beside the main text: 2 surely, 1 if the name has other words too."""
+    found = 0
     for name, *value in _ATTR.findall(attrs) if "=" in attrs else ():
         for token in "".join(value).split():
             words = {w.lower() for w in _WORDS.findall(token)}
             if name.lower() == "role":
                 if token.lower() in ASIDE_ROLES:
-                    return True
+                    return 2
             elif words & ASIDE_WORDS and not words & LAYOUT_WORDS:
-                return True
-    return False
+                if words <= ASIDE_WORDS | PART_WORDS:
+                    return 2
+                found = 1
+    return found
 
 
 class Page:
@@ -68,20 +75,51 @@ class Page:
 
     Element 0 stands above the root. `parent`, `tag`, `marks` (marked elements from the root), `shut` (whether in an element
     that never holds main text) and `path` (number of the tag path) are given for each element; blocks are (text, element).
+
+    An element whose name only may speak of an aside isn't marked if it holds more than half of the text that no sure mark
+    takes away. A form's blocks count only if the form holds nearly all of that text, half of it or more in TEXT_TAGS.
     """
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.own_mark, self.shut = [0], [""], [False], [False]
+        self.parent, self.tag, self.own_mark, self.shut = [0], [""], [0], [False]
         self.blocks: list[tuple[str, int]] = []
         self._read(page)
         holds_main = [t == "main" for t in self.tag]
         for e in range(len(self.tag) - 1, 0, -1):
             holds_main[self.parent[e]] |= holds_main[e]
+        mark = [0 if m or t in ("html", "body") else k for k, m, t in zip(self.own_mark, holds_main, self.tag, strict=True)]
+        if "form" in self.tag:
+            self._leave_forms(mark)
+        held = self._held(mark)
         self.marks, self.path, known = [0], [0], {}
         for e in range(1, len(self.tag)):
-            mark = self.own_mark[e] and not holds_main[e] and self.tag[e] not in ("html", "body")
-            self.marks.append(self.marks[self.parent[e]] + mark)
-            self.path.append(known.setdefault((self.path[self.parent[e]], self.tag[e], mark), len(known) + 1))
+            marked = mark[e] == 2 or mark[e] == 1 and 2 * held[e] <= held[0]
+            self.marks.append(self.marks[self.parent[e]] + marked)
+            self.path.append(known.setdefault((self.path[self.parent[e]], self.tag[e], marked), len(known) + 1))
+
+    def _held(self, mark: list[int], within: list[bool] | None = None) -> list[int]:
+        """Characters of the blocks in every element, those in surely marked elements left out; with `within`, only of blocks in such elements."""
+        sure = [False] * len(self.tag)
+        held = [0] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            sure[e] = sure[self.parent[e]] or mark[e] == 2
+        for text, e in self.blocks:
+            if not sure[e] and (within is None or within[e]):
+                held[e] += len(text)
+        for e in range(len(held) - 1, 0, -1):
+            held[self.parent[e]] += held[e]
+        return held
+
+    def _leave_forms(self, mark: list[int]) -> None:
+        """Takes away the blocks of forms to fill in."""
+        form, running = [0] * len(self.tag), [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            up = self.parent[e]
+            form[e] = form[up] or (e if self.tag[e] == "form" else 0)
+            running[e] = running[up] or self.tag[e] in TEXT_TAGS
+        held, told = self._held(mark), self._held(mark, running)
+        stays = {f: f == 0 or (mark[f] != 2 and held[f] >= HELD * held[0] and 2 * told[f] >= held[f]) for f in set(form)}
+        self.blocks = [(text, e) for text, e in self.blocks if stays[form[e]]]
 
     def _read(self, page: str) -> None:
         parent, tag_of, shut = self.parent, self.tag, self.shut
