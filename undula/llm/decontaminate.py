@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undula.llm.shared import checkpointed, table
+from undula.llm.shared import checkpointed, table, written
 from undula.llm.tokens import BASE, mix, token_names
 
 #: Tokens of a seed, which is also the shortest tile.
@@ -22,6 +22,8 @@ COVERAGE = 0.5
 FILTER_BITS = 1 << 26
 #: Most seeds of items that are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
+#: A seed with more than this part of all rows of documents' seeds is hot and split by document; so there are at most this many hot ones.
+HOT = 1_000
 _U = np.uint64
 _INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -151,16 +153,46 @@ def _filter(seeds: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _met(docs: DataFrame, theirs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, item_id, item_tokens, here, name) of the documents' seeds of `size` tokens that an item has, once for each item."""
+def _hits(docs: DataFrame, theirs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, here, name) of the documents' seeds of `size` tokens that pass the filter of the items' seeds."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter(theirs))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _seed_rows(size, bits.value)(batches)
 
-    ours = docs.mapInArrow(hits, _ROWS).select(F.col("id").alias("doc_id"), F.col("at").alias("here"), "name")
+    return docs.mapInArrow(hits, _ROWS).select(F.col("id").alias("doc_id"), F.col("at").alias("here"), "name")
+
+
+def _met(docs: DataFrame, theirs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, item_id, item_tokens) of documents and items of `size` tokens that share a seed, once for each row of a document's seeds."""
     named = theirs.select("item_id", "name", "item_tokens").distinct()
-    return ours.join(F.broadcast(named) if theirs.count() <= BROADCAST else named, "name")
+    return _hits(docs, theirs, size).join(F.broadcast(named) if theirs.count() <= BROADCAST else named, "name")
+
+
+def candidates(found: DataFrame, theirs: DataFrame, size: int, coverage: float, broadcast: bool) -> DataFrame:
+    """(doc_id, item_id) once each, of pairs that may reach the threshold: all of those, and few others.
+
+    Tiles cover at most `size` tokens for each seed of the item that matches, so a pair has to match a certain number of the
+    item's seeds. An item's most frequent seeds, one fewer than that number, can then be left out: the pair matches another.
+    So a seed that all documents and items share makes no pairs, unless it alone can reach the threshold. Seeds that are hot
+    all the same are split by document where items aren't broadcast.
+    """
+    rows = found.select("doc_id", "name").distinct()
+    often = checkpointed(rows.groupBy("name").agg(F.count("*").alias("often")))
+    longest = Window.partitionBy("item_id")
+    seeds = theirs.select("item_id", "there", "name", F.max("item_tokens").over(longest).alias("item_tokens")).distinct().join(often, "name")
+    need = F.ceil(F.col("item_tokens") * coverage / size - 1e-9)
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("often"), "there", "name"))
+    kept = seeds.withColumn("rank", rank).filter(F.col("rank") >= need).select("item_id", "name").distinct()
+    if broadcast:
+        return rows.join(F.broadcast(kept), "name").select("doc_id", "item_id").distinct()
+    total = often.agg(F.coalesce(F.sum("often"), F.lit(0))).first()[0]
+    least = total // HOT + 1
+    hot = F.broadcast(often.filter(F.col("often") >= least).select("name", F.floor(F.col("often") / least).alias("parts")))
+    parts = F.coalesce("parts", F.lit(0))
+    ours = rows.join(hot, "name", "left").select("doc_id", "name", F.pmod(F.xxhash64("doc_id"), parts + 1).alias("part"))
+    split = kept.join(hot, "name", "left").select("item_id", "name", F.explode(F.sequence(F.lit(0).cast("long"), parts)).alias("part"))
+    return ours.join(split, ["name", "part"]).select("doc_id", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED, coverage: float = COVERAGE) -> DataFrame:
@@ -169,34 +201,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED, covera
     `docs` has doc_id and text, `benchmark` item_id and text; others are ignored. Coverage is the share of an item's tokens
     in tiles of `size` or more tokens, so passages that were put in another order count in full. An item shorter than a
     seed is its own seed: a document that holds all its tokens in a row covers it in full, by one tile; an item without
-    tokens is never found. Seeds of documents pass a fixed-size filter of the items' seeds before they are shuffled, and meet
-    those on their names (64 bits), each once for an item however often the item has it; the seeds of one document and one
-    item are then tiled. Null or empty texts match nothing; rows with a null id are left out; of rows with equal ids the
-    seeds are taken together. Empty tables give no rows.
+    tokens is never found. Seeds of documents pass a fixed-size filter of the items' seeds before they are written; documents
+    and items that share enough of them (named by 64 bits) are paired, and a pair's seeds are then tiled. Null or empty texts
+    match nothing; rows with a null id are left out; of rows with equal ids the seeds are taken together, an item's tokens
+    being the longest one's. Empty tables give no rows.
     """
     given = lambda t, key: t.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ours, items = given(docs, "doc_id"), given(benchmark, "item_id")
     seeds = lambda n, whole: checkpointed(items.mapInArrow(_seed_rows(n, whole=whole), _ROWS).select(F.col("id").alias("item_id"), F.col("at").alias("there"), "name", F.col("tokens").alias("item_tokens")))
     theirs = seeds(size, False)
+    few = theirs.count() <= BROADCAST
 
     @F.pandas_udf("covered long, n_tiles long, longest long")
-    def tiled(matches: pd.Series, names: pd.Series) -> pd.DataFrame:
+    def tiled(matches: pd.Series, names: pd.Series, tokens: pd.Series) -> pd.DataFrame:
         out = []
-        for m, item in zip(matches, names, strict=True):
+        for m, item, n in zip(matches, names, tokens, strict=True):
+            item = np.asarray(item, np.int64)
             here, doc = np.array([x["here"] for x in m], np.int64), np.array([x["name"] for x in m], np.int64)
-            by = np.argsort(here, kind="stable")
-            fresh = np.concatenate(([True], np.diff(here[by]) > 0))
-            found = tiles(here[by][fresh], doc[by][fresh], np.asarray(item, np.int64), size)
+            mine = np.isin(doc, item)
+            here, doc = here[mine], doc[mine]
+            found = []
+            if np.isin(item, doc).sum() * size >= n * coverage:  # fewer seeds can't reach the threshold
+                by = np.argsort(here, kind="stable")
+                fresh = np.concatenate(([True], np.diff(here[by]) > 0))
+                found = tiles(here[by][fresh], doc[by][fresh], item, size)
             out.append((sum(t[2] for t in found), len(found), max((t[2] for t in found), default=0)))
         return pd.DataFrame(out, columns=["covered", "n_tiles", "longest"])
 
-    pairs = _met(ours, theirs, size).groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("here", "name")).alias("m"), F.max("item_tokens").cast("long").alias("item_tokens"))
-    whole = theirs.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("there", "name"))), lambda x: x["name"]).alias("names"))
-    able = pairs.join(F.broadcast(whole) if theirs.count() <= BROADCAST else whole, "item_id")
-    # tiles cover at most `size` tokens for each seed of the item that matches: pairs with too few can't reach the threshold
-    hit = F.map_from_entries(F.transform(F.array_distinct("m.name"), lambda n: F.struct(n, F.lit(1))))
-    able = able.withColumn("hit", hit).filter(F.size(F.filter("names", lambda n: F.map_contains_key("hit", n))) * size >= F.col("item_tokens") * coverage)
-    done = able.select("doc_id", "item_id", tiled("m", "names").alias("t"), "item_tokens").select("doc_id", "item_id", (F.col("t.covered") / F.col("item_tokens")).alias("coverage"), "t.n_tiles", "t.longest", "item_tokens")
+    found = written(_hits(ours, theirs, size))
+    pairs = checkpointed(candidates(found, theirs, size, coverage, few))
+    held = found.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("here", "name")).alias("m"))
+    whole = theirs.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("there", "name"))), lambda x: x["name"]).alias("names"), F.max("item_tokens").cast("long").alias("item_tokens"))
+    able = pairs.join(held, "doc_id").join(F.broadcast(whole) if few else whole, "item_id")
+    done = able.select("doc_id", "item_id", tiled("m", "names", "item_tokens").alias("t"), "item_tokens").select("doc_id", "item_id", (F.col("t.covered") / F.col("item_tokens")).alias("coverage"), "t.n_tiles", "t.longest", "item_tokens")
     done = done.filter(F.col("coverage") >= coverage)
     for n in range(1, size):
         short = seeds(n, True)
