@@ -104,7 +104,7 @@ def resume(rows: DataFrame, features: list[str], studies: list[Study], repeats:
         for numbers in (mine[i : i + at_a_time] for i in range(0, len(mine), at_a_time)):
             scored = s.predict(rows, split.filter(F.col("repeat").isin(numbers)))
             named = scored.withColumns({"experiment": F.lit(experiment), "model": F.lit(s.model), "fingerprint": F.lit(todo[s.model, numbers[0]])})
-            write_results(named.select([F.col(c.split()[0]).cast(c.split()[1]) for c in RESULTS.split(", ")]), path)
+            write_results(named.select([F.col(c.split()[0]).cast(c.split()[1]) for c in RESULTS.split(", ")]).repartition("repeat", "fold"), path)
     if todo and (broken := sorted((r["model"], r["repeat"]) for r in left())):
         raise RuntimeError(f"results that aren't whole: {broken}")
     fitted = spark.createDataFrame([(*task, True) for task in todo], "model string, repeat int, fitted boolean")
