@@ -75,6 +75,33 @@ def test_small_blocks_and_chunks_change_nothing(spark, monkeypatch):
     assert len(one.root) == 7 * folds.groups and len({tuple(one.feature[[r, one.child[r]]]) for r in one.root}) > 1
 
 
+@pytest.mark.parametrize("parts", [0, 1, 2])
+def test_sparse_cells_equal_dense_ones(monkeypatch, parts):
+    rng = np.random.default_rng(3)
+    added = [(rng.integers(0, 60, 200), rng.random((200, 2))) for _ in range(parts)]
+    dense = T._Cells(60, 2)
+    monkeypatch.setattr(T, "DENSE", 0)
+    sparse = T._Cells(60, 2)
+    for cells in (dense, sparse):
+        for code, sums in added:
+            cells.add(code, sums)
+    for lo, hi in ((0, 25), (25, 60), (7, 8)):
+        assert np.allclose(dense.between(lo, hi), sparse.between(lo, hi))
+    assert all(np.allclose(a, b) for a, b in zip(dense.filled(), sparse.filled(), strict=True))
+
+
+def test_cells_that_one_pass_adds_unmerged(spark, monkeypatch):
+    """All rows of a level in one part, more cells than an array holds, several blocks: as the forest's query has it."""
+    _, _, folds = table(spark)
+    data = T.binned(folds)
+    assert data.chunks > 1
+    grown = lambda: T.forest(data, trees=7, depth=4)
+    one = grown()
+    monkeypatch.setattr(T, "CELLS", 1)
+    monkeypatch.setattr(T, "DENSE", 0)
+    same(one, grown())
+
+
 def same(one, two):
     for name in ("group", "root", "feature", "cut", "child"):
         assert (getattr(one, name) == getattr(two, name)).all()
