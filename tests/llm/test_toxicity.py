@@ -1,6 +1,7 @@
 """The factorization machine: its formula, pairs that tell what no word tells, all buckets in use, odd rows."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -67,3 +68,34 @@ def test_a_pair_tells_what_no_word_tells(spark):
     score = lambda m, t: [m.raw(np.zeros(len(at), int), at, 1)[0] for _, at in toxicity.buckets(pa.array([t], pa.large_string()))][0]
     alone = [(score(flat, t), y) for (_, t, *_), (_, y) in zip(rows[:400], labels[:400], strict=True)]
     assert auc(alone) < 0.7
+
+
+def test_the_driver_holds_little_where_nearly_all_buckets_are_in_use(spark):
+    """Its memory is bounded, so what it holds besides two machines is a few blocks of changes."""
+    rng = random.Random(1)
+    rows = [(" ".join(f"{rng.getrandbits(40):x}" for _ in range(6000)), k % 2, k % 5) for k in range(100)]
+    known = spark.createDataFrame(rows, "text string, label int, part int").repartition(4)
+    tracemalloc.start()
+    try:
+        machine = toxicity.fit(known, epochs=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (machine.value > 0).mean() > 0.9
+    assert peak < 80e6
+
+
+def test_changes_are_averaged_by_rows():
+    rng = np.random.default_rng(4)
+    old = toxicity.Machine(np.ones(toxicity.BUCKETS), 0.5, rng.random(toxicity.BUCKETS).astype("f4"), rng.random((toxicity.BUCKETS, toxicity.FACTORS)).astype("f4"))
+
+    def change(at, by, intercept, n, own):
+        half = np.full(len(at), by, np.float16)
+        return {"at": np.array(at, np.int32).tobytes(), "linear": half.tobytes(), "factors": np.repeat(half, toxicity.FACTORS).tobytes(), "intercept": intercept, "n": n, "own": own}
+
+    came = pa.Table.from_pylist([change([1, 2], 1.0, 2.0, 30, 30), change([70_000], 3.0, 0.0, 30, 0), change([2], -1.0, 6.0, 10, 10)])
+    new = toxicity._averaged(old, came)
+    want = np.zeros(toxicity.BUCKETS)
+    want[[1, 2, 70_000]] = 1.0, 0.5, 3.0
+    assert np.allclose(new.linear - old.linear, want, atol=1e-6) and np.allclose(new.factors - old.factors, want[:, None], atol=1e-6)
+    assert new.intercept == 3.0

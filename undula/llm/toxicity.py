@@ -35,7 +35,9 @@ HALF, POWERS = 20.0, (0, 1)
 #: Rows that an epoch takes at least, in more passes over fewer.
 EPOCH_ROWS = 4000
 TOXIC = 0.5
-_U, _F = np.uint64, np.float32
+#: Buckets whose changes are sent in one row, in half precision, so that the driver holds little at once.
+SENT = 1 << 14
+_U, _F, _SMALL = np.uint64, np.float32, np.float16
 _MARK = _U(0x9E3779B97F4A7C15)
 
 
@@ -103,6 +105,14 @@ class Machine:
         return np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.int64)
 
 
+def _spread(rng: np.random.Generator) -> np.ndarray:
+    """Factors at the start, drawn some rows at a time."""
+    out = np.empty((BUCKETS, FACTORS), _F)
+    for block in np.split(out, 16):
+        block[:] = rng.normal(size=block.shape) * START
+    return out
+
+
 def _towards_zero(x: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.maximum(0.0, np.abs(x) - by)
 
@@ -144,7 +154,7 @@ def fit(known: DataFrame, epochs: int = EPOCHS) -> Machine:
     rows = checkpointed(known.select("text", F.col("label").cast("int"), F.col("part").cast("int")).mapInArrow(_as_rows, "at array<int>, label int, part int").repartition(PARTS))
     total, bad = rows.agg(F.count("*"), F.sum("label")).first()
     rng = np.random.default_rng(1)
-    machine = Machine(np.zeros(BUCKETS, _F), 0.0, np.zeros(BUCKETS, _F), (rng.normal(size=(BUCKETS, FACTORS)) * START).astype(_F))
+    machine = Machine(np.zeros(BUCKETS, _F), 0.0, np.zeros(BUCKETS, _F), _spread(rng))
     learn = rows.filter("part > 0")
     n, k = learn.agg(F.count("*"), F.sum("label")).first()
     if not n or not k or k == n:
@@ -152,9 +162,10 @@ def fit(known: DataFrame, epochs: int = EPOCHS) -> Machine:
         machine.factors[:] = 0
         machine.intercept = float(np.clip(np.log((share + 1e-6) / (1 - share + 1e-6)), -6, 6))
         return machine
-    seen = learn.select(F.explode("at").alias("at")).groupBy("at").count().toPandas()
+    seen = learn.select(F.explode("at").alias("at")).groupBy("at").count().toArrow()
     texts = np.zeros(BUCKETS)
-    texts[seen["at"].to_numpy()] = seen["count"].to_numpy()
+    texts[seen.column("at").to_numpy()] = seen.column("count").to_numpy()
+    del seen
     weight, passes = float(np.sqrt((n - k) / k)), int(np.clip(-(-EPOCH_ROWS // n), 1, 20))
     machine.intercept = float(np.log(k / (n - k)))
     best, least = machine, np.inf
@@ -182,10 +193,14 @@ def _trained(rows: DataFrame, machine: Machine, epochs: int, weight: float, pass
                 rng = np.random.default_rng(len(part))
                 order = np.concatenate([rng.permutation(len(part)) for _ in range(passes)])
                 touched = own.steps([np.asarray(part["at"][i], np.int64) for i in order], part["label"].to_numpy(int)[order], weight, pace)
-                yield pd.DataFrame({"at": [touched.astype(np.int32).tobytes()], "linear": [own.linear[touched].tobytes()], "factors": [own.factors[touched].tobytes()], "intercept": [own.intercept], "n": [len(part)]})
+                old = sent.value
+                for k, some in enumerate(np.split(touched, np.searchsorted(touched, np.arange(SENT, BUCKETS, SENT)))):
+                    linear, factors = own.linear[some] - old.linear[some], own.factors[some] - old.factors[some]
+                    yield pd.DataFrame({"at": [some.astype(np.int32).tobytes()], "linear": [linear.astype(_SMALL).tobytes()], "factors": [factors.astype(_SMALL).tobytes()], "intercept": [0.0 if k else own.intercept], "n": [len(part)], "own": [0 if k else len(part)]})
 
-        came = learn.select("at", "label").mapInPandas(train, "at binary, linear binary, factors binary, intercept double, n long").collect()
+        came = learn.select("at", "label").mapInPandas(train, "at binary, linear binary, factors binary, intercept double, n long, own long").toArrow()
         machine = _averaged(machine, came)
+        del came
         sent.destroy()
         sent = spark.sparkContext.broadcast(machine)
 
@@ -194,29 +209,38 @@ def _trained(rows: DataFrame, machine: Machine, epochs: int, weight: float, pass
                 at = np.concatenate([np.asarray(a, np.int64) for a in b["at"]] or [np.zeros(0, np.int64)])
                 yield pd.DataFrame({"raw": now.value.raw(np.repeat(np.arange(len(b)), b["at"].map(len)), at, len(b)), "label": b["label"]})
 
-        check = rows.filter("part = 0").select("at", "label").mapInPandas(evaluate, "raw double, label int").toPandas()
-        if not 0 < check["label"].sum() < len(check):
+        check = rows.filter("part = 0").select("at", "label").mapInPandas(evaluate, "raw double, label int").toArrow()
+        raw, label = check.column("raw").to_numpy(), check.column("label").to_numpy().astype(float)
+        if not 0 < label.sum() < len(label):
             best = machine
             continue
-        slope, shift, loss = _calibration(check["raw"].to_numpy(), check["label"].to_numpy(float))
+        slope, shift, loss = _calibration(raw, label)
         if loss < least and slope > 0:
             best, least = Machine(machine.value, machine.intercept, machine.linear, machine.factors, slope, shift), loss
     sent.destroy()
     return best, least
 
 
-def _averaged(machine: Machine, came: list) -> Machine:
-    """Parameters averaged over the partitions that touched them, each by its rows."""
-    linear, factors, n = np.zeros(BUCKETS), np.zeros(machine.factors.shape), np.zeros(BUCKETS)
-    for r in came:
+def _averaged(machine: Machine, came: pa.Table) -> Machine:
+    """The machine with its parameters' changes averaged over the partitions that touched them, each by its rows.
+
+    A partition's changes come as rows of SENT buckets at most, which are added one at a time; the first of them also has its intercept.
+    """
+    linear, factors, n = np.zeros(BUCKETS, _F), np.zeros(machine.factors.shape, _F), np.zeros(BUCKETS, _F)
+    intercept = rows = 0.0
+    for b in came.to_batches(1):
+        (r,) = b.to_pylist()
         at = np.frombuffer(r["at"], np.int32)
-        linear[at] += r["n"] * np.frombuffer(r["linear"], _F)
-        factors[at] += r["n"] * np.frombuffer(r["factors"], _F).reshape(-1, factors.shape[1])
+        linear[at] += _F(r["n"]) * np.frombuffer(r["linear"], _SMALL)
+        factors[at] += _F(r["n"]) * np.frombuffer(r["factors"], _SMALL).reshape(-1, factors.shape[1])
         n[at] += r["n"]
-    has = n > 0
-    new = Machine(machine.value, sum(r["n"] * r["intercept"] for r in came) / sum(r["n"] for r in came), machine.linear.copy(), machine.factors.copy())
-    new.linear[has], new.factors[has] = linear[has] / n[has], factors[has] / n[has, None]
-    return new
+        intercept, rows = intercept + r["own"] * r["intercept"], rows + r["own"]
+    np.maximum(n, 1, out=n)
+    linear /= n
+    linear += machine.linear
+    factors /= n[:, None]
+    factors += machine.factors
+    return Machine(machine.value, intercept / rows, linear, factors)
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, toxic: float = TOXIC) -> DataFrame:
