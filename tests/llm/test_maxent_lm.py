@@ -140,3 +140,28 @@ def test_empty_and_untaught(spark):
     assert len(got) == 30 and all(abs(r["score"]) < 1e-5 and r["base_score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
     _, got = run(spark, [(1, "long " * 400_000 + "end"), (2, None)])
     assert [r["n_tokens"] for r in sorted(got, key=lambda r: r["doc_id"])] == [400_002, 1]
+
+
+def test_every_token_is_trained_on(spark, monkeypatch):
+    """Seven million tokens, more than a model was trained on when positions were drawn: each row of a text's features is touched once a token."""
+    learn = spark.range(3000).selectExpr("id as doc_id", "repeat(concat('a', id % 7, ' b c d '), 600) as text")
+    came, kind = [], type(learn)
+    plain = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: came.append(plain(self)) or came[-1])
+    model = L.fit(learn, L.counted(learn))
+    assert model.total == 3000 * 2401
+    touched = [(r["weights"], int(np.frombuffer(r["touched"], np.int32).sum())) for t in came if "touched" in t.column_names for r in t.to_pylist()]
+    assert [sum(n for k, n in touched if k == w) for w in (0, 1)] == [L.FEATURES * model.total] * 2
+
+
+@pytest.mark.parametrize("positions", [1, 7, 2048])
+def test_sums_of_distinct_rows(positions):
+    rng = np.random.default_rng(positions)
+    rows = (rng.random((L.FEATURES, positions)) ** 6 * (1 << L.BITS)).astype(np.int64)
+    values = rng.normal(size=(positions, 5)).astype(np.float32)
+    used = L.Used(rows)
+    want = np.zeros((1 << L.BITS, 5))
+    np.add.at(want, rows.ravel(), np.tile(values, (L.FEATURES, 1)))
+    assert (np.sort(used.at) == np.unique(rows)).all() and (used.at[used.place] == rows).all()
+    assert (used.count == np.bincount(rows.ravel(), minlength=1 << L.BITS)[used.at]).all()
+    assert np.allclose(used.sums(values), want[used.at], atol=1e-4)

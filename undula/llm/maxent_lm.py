@@ -8,7 +8,7 @@ share by their discounted counts, and what the discount frees is the unknown wor
 token, the outcomes of the base score, the probabilities sum to one.
 
 Weights start at zero above the logarithms of counts. They are trained in ROUNDS, each over another share of the training texts:
-a task runs adaptive gradient steps on minibatches from the same weights, and a row's changes are averaged over the tasks that touched it,
+a task runs adaptive gradient steps on minibatches of all their tokens from the same weights, and a row's changes are averaged over the tasks that touched it,
 weighted by how often. Only changed rows are shuffled. Scoring is a map in sparse NumPy batches; what the LIST of frequent
 words doesn't hold is looked up in all counts by a join.
 """
@@ -32,12 +32,12 @@ FREQUENT, MEMBERS, TAILS, LIST = 2048, 64, 32, 1 << 18
 HEADS = FREQUENT // MEMBERS
 #: Rows of hashed weights (as bits), and features of a history.
 BITS, FEATURES = 15, 4
-#: Rounds of training; positions of every text that are drawn, on average, where there are plenty; positions drawn at least, in all, if there are so many.
-ROUNDS, SHARE, DRAWN = 3, 0.15, 6_000_000
+#: Rounds of training.
+ROUNDS = 3
 #: Training tokens of a task at least; positions of a minibatch; size of steps.
 TASK_TOKENS, BATCH, STEP = 2_000_000, 2048, 0.5
 DISCOUNT = 0.5
-_ENDINGS, _ROWS, _CHUNK = 4096, 512, 8192
+_ENDINGS, _ROWS, _CHUNK, _LAYERS = 4096, 512, 8192, 8
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _PAD, _END, _NONE = _U(1), _U(2), np.float32(-1e9)
@@ -162,9 +162,9 @@ class Model:
     @staticmethod
     def _softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logits, their exponentials, sums of these)."""
-        z = weights[rows[0]]
+        z = weights.take(rows[0], axis=0)
         for r in rows[1:]:
-            z += weights[r]
+            z += weights.take(r, axis=0)
         z += bias
         np.minimum(z, np.float32(60), out=z)
         e = np.exp(z)
@@ -187,10 +187,47 @@ class Model:
         rows = self.rows_of_words(features[:, of], cls[of])
         for k, (weights, f, bias, target) in enumerate(((self.classes, features, self.class_bias, cls), (self.words, rows, self.word_bias[cls[of]], member[of]))):
             if f.shape[1]:
-                _, e, total = self._softmax(weights, f, bias)
+                used = Used(f)
+                own = weights.take(used.at, axis=0)
+                _, e, total = self._softmax(own, used.place, bias)
                 e /= total[:, None]
                 e[np.arange(len(target)), target] -= 1
-                state.apply(k, weights, f, e, step)
+                own -= state.change(k, used, e, step)
+                weights[used.at] = own
+
+
+class Used:
+    """Distinct rows of weights of a minibatch, most used first (`at`, `count`), and where its `rows` (features x positions) stand among them (`place`)."""
+
+    def __init__(self, rows: np.ndarray):
+        flat = rows.ravel().astype(np.uint16)  # sorted by radix; rows and places of a minibatch have no more than 16 bits
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        count = np.diff(np.append(first, len(flat)))
+        by = np.argsort((len(flat) - count).astype(np.uint16), kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        place = np.empty(len(flat), np.int64)
+        place[order] = np.repeat(rank, count)
+        self.at, self.count, self.place = flat[first[by]].astype(np.int64), count[by], place.reshape(rows.shape)
+        self.first, self.position = first[by], order % rows.shape[1]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of every distinct row the sum of the values of its positions. The first few are added for all rows at once, the rest row by row."""
+        out = values.take(self.position[self.first], axis=0)
+        for k in range(1, _LAYERS):
+            n = int(np.searchsorted(-self.count, -k))
+            if not n:
+                return out
+            out[:n] += values.take(self.position[self.first[:n] + k], axis=0)
+        n = int(np.searchsorted(-self.count, -_LAYERS))
+        if n:
+            more = self.count[:n] - _LAYERS
+            starts = np.cumsum(more) - more
+            place = np.repeat(self.first[:n] + _LAYERS - starts, more) + np.arange(more.sum())
+            out[:n] += np.add.reduceat(values.take(self.position[place], axis=0), starts, axis=0)
+        return out
 
 
 class Changes:
@@ -200,15 +237,13 @@ class Changes:
         self.squares = [np.ones(1 << BITS, np.float32) for _ in range(2)]
         self.touched = [np.zeros(1 << BITS, np.int64) for _ in range(2)]
 
-    def apply(self, k: int, weights: np.ndarray, rows: np.ndarray, gradient: np.ndarray, step: float) -> None:
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        g, at = np.add.reduceat(gradient[order % rows.shape[1]], first, axis=0), flat[first]
-        self.touched[k][at] += np.diff(np.append(first, len(flat)))
-        self.squares[k][at] += (g * g).sum(1) / 4
-        weights[at] -= g * (np.float32(step) / np.sqrt(self.squares[k][at]))[:, None]
+    def change(self, k: int, used: Used, gradient: np.ndarray, step: float) -> np.ndarray:
+        """What a step takes off the rows that are used."""
+        g = used.sums(gradient)
+        self.touched[k][used.at] += used.count
+        self.squares[k][used.at] += np.einsum("ij,ij->i", g, g) / 4
+        g *= (np.float32(step) / np.sqrt(self.squares[k][used.at]))[:, None]
+        return g
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +301,8 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"weights": k, "block": block, "touched": n.clip(0, 1 << 30).astype(np.int32).tobytes(), "change": mean.tobytes()}], schema=_CHANGED)
 
 
-def _round(texts: DataFrame, model: Model, share: float, pace: float) -> None:
-    """One round over `texts`; changes the model's weights."""
+def _round(texts: DataFrame, model: Model, pace: float) -> None:
+    """One round over all tokens of `texts`; changes the model's weights."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +315,9 @@ def _round(texts: DataFrame, model: Model, share: float, pace: float) -> None:
                 for s in slices(b.column(0)):
                     rng = np.random.default_rng(len(s.name))
                     at, cls, code = own.coded(s)
-                    drawn = rng.permutation(s.place[rng.random(len(s.place)) < share])
-                    for i in range(0, len(drawn), BATCH):
-                        place = drawn[i : i + BATCH]
+                    places = rng.permutation(s.place)
+                    for i in range(0, len(places), BATCH):
+                        place = places[i : i + BATCH]
                         own.learn(own.features(code, place), cls[place], _member(at[place]), state, STEP * pace)
             for k, (new, old) in enumerate(zip((own.classes, own.words), weights, strict=True)):
                 for block in range(0, len(new), _ROWS):
@@ -308,15 +343,14 @@ def _member(at: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: DataFrame, counts: DataFrame) -> Model:
-    """A model of `texts` (doc_id, text), whose tokens are `counts`. Every text takes part in one of the rounds."""
+    """A model of `texts` (doc_id, text), whose tokens are `counts`. Every token of every text is trained on, in one of the rounds."""
     model = start(counts)
     if not model.total:
         return model
-    share = min(1.0, max(SHARE, DRAWN / model.total))
     parts = texts.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ROUNDS)).alias("part"))
     for k in range(ROUNDS):
         tasks = max(1, -(-model.total // (ROUNDS * TASK_TOKENS)))
-        _round(parts.filter(F.col("part") == k).select("text").coalesce(tasks), model, share, (1 + k) ** -0.5)
+        _round(parts.filter(F.col("part") == k).select("text").coalesce(tasks), model, (1 + k) ** -0.5)
     return model
 
 
@@ -345,7 +379,8 @@ def _measured(sent, ids: pa.Field):
                 few = in_tail & known
                 log[few] += tail_of[listed[few]]
                 of = s.row[known]
-                sums = [np.bincount(of, minlength=s.texts), np.bincount(of, base_of[listed[known]], s.texts), np.bincount(of, log[known], s.texts)]
+                # without known tokens NumPy's weighted counts are whole numbers
+                sums = [np.bincount(of, minlength=s.texts), *(np.bincount(of, x, s.texts).astype(np.float64) for x in (base_of[listed[known]], log[known]))]
                 r = np.flatnonzero(~known)
                 r = r[np.lexsort((s.name[s.place[r]], s.row[r]))]
                 row, name = s.row[r], s.name[s.place[r]]
