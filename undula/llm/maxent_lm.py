@@ -166,9 +166,10 @@ class Model:
         for r in rows[1:]:
             z += weights.take(r, axis=0)
         z += bias
-        np.minimum(z, np.float32(60), out=z)
+        if z.max(initial=0) > 60:
+            np.minimum(z, np.float32(60), out=z)
         e = np.exp(z)
-        return z, e, e.sum(1)
+        return z, e, e @ np.ones(e.shape[1], np.float32)
 
     def logs(self, features: np.ndarray, cls: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of P(class) or, of frequent words (member >= 0), of P(word); and of P(unknown)."""
@@ -241,8 +242,9 @@ class Changes:
         """What a step takes off the rows that are used."""
         g = used.sums(gradient)
         self.touched[k][used.at] += used.count
-        self.squares[k][used.at] += np.einsum("ij,ij->i", g, g) / 4
-        g *= (np.float32(step) / np.sqrt(self.squares[k][used.at]))[:, None]
+        squares = self.squares[k].take(used.at) + np.einsum("ij,ij->i", g, g) / 4
+        self.squares[k][used.at] = squares
+        g *= (np.float32(step) / np.sqrt(squares))[:, None]
         return g
 
 
@@ -362,13 +364,14 @@ def _measured(sent, ids: pa.Field):
         """(doc_id, at, ...) of (doc_id, at, text): sums over tokens of the list, and the other tokens with their logs, by text and name."""
         model = sent.value
         whole = model.total + 0.5 * (model.types + 1)
+        by_rank = np.argsort(model.ranks) if len(model.ranks) else np.zeros(1, np.int64)
         base_of, tail_of = np.log10((model.counts + 0.5) / whole), np.log(np.maximum(model.counts - DISCOUNT, 1e-9))
         for b in batches:
             for s in slices(b.column(2)):
                 at, cls, code = model.coded(s)
                 at, cls = at[s.place], cls[s.place]
                 member = _member(at)
-                listed = np.where(member >= 0, model.found(s.name[s.place]), at)
+                listed = np.where(member >= 0, by_rank[np.where(member >= 0, at & ((1 << 40) - 1), 0)], at)
                 log, unknown = np.empty(len(at)), np.empty(len(at))
                 for i in range(0, len(at), _CHUNK):
                     part = slice(i, i + _CHUNK)
