@@ -165,3 +165,69 @@ def test_sums_of_distinct_rows(positions):
     assert (np.sort(used.at) == np.unique(rows)).all() and (used.at[used.place] == rows).all()
     assert (used.count == np.bincount(rows.ravel(), minlength=1 << L.BITS)[used.at]).all()
     assert np.allclose(used.sums(values), want[used.at], atol=1e-4)
+
+
+def taught(rng, words=9000):
+    """A model of made-up counts with small random weights."""
+    names = np.sort(rng.integers(0, 1 << 63, words).astype(np.uint64) << np.uint64(1))
+    counts = rng.permutation(np.sort((1e6 / np.arange(1, words + 1) ** 1.1).astype(np.int64) + 1))
+    rank = np.empty(words, np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(words)
+    tails, rest = rng.integers(0, L.TAILS, words), rank >= L.FREQUENT
+    model = L.Model(names, counts, rank, int(counts.sum()), words, np.bincount(tails[rest], counts[rest], L.TAILS), np.bincount(tails[rest], minlength=L.TAILS))
+    for weights in (model.classes, model.words):
+        weights[:] = rng.normal(size=weights.shape) * 0.7
+    return model
+
+
+@pytest.mark.parametrize("most", [3, 19, 25, 55])
+def test_logs_are_those_of_double_precision(most):
+    """Also where weights or their sums are too large for products of single precision."""
+    rng = np.random.default_rng(most)
+    model = taught(rng)
+    for weights in (model.classes, model.words):
+        weights[::50, 5], weights[7::50, 9] = most - 6, 6 - most
+    code, cls = rng.integers(0, L.FREQUENT, 3000), rng.integers(0, L.HEADS + L.TAILS, 2997)
+    member = np.where(cls < L.HEADS, rng.integers(0, L.MEMBERS, len(cls)), -1)
+    features = model.features(code, np.arange(3, 3000))
+    model.class_bias[4] = -1e9  # a class without words
+    log, unknown = model.logs(features, cls, member)
+    z = model.classes.astype(float)[features].sum(0) + model.class_bias
+    ok = (cls != 4) & (z.max(1) < 60)
+    p = np.exp(z - z.max(1)[:, None])
+    p /= p.sum(1)[:, None]
+    want = np.log(np.maximum(p[np.arange(len(cls)), cls], 1e-300))
+    of = np.flatnonzero(member >= 0)
+    rows = model.rows_of_words(features[:, of], cls[of])
+    z = model.words.astype(float)[rows].sum(0) + model.word_bias[cls[of]]
+    ok[of] &= z.max(1) < 60
+    z -= z.max(1)[:, None]
+    want[of] += z[np.arange(len(of)), member[of]] - np.log(np.exp(z).sum(1))
+    assert ok.mean() > 0.8 and np.allclose(log[ok], want[ok], rtol=1e-5, atol=1e-4)
+    assert np.allclose(unknown[ok], np.log(p @ model.unknown.astype(float))[ok], rtol=1e-5, atol=1e-4)
+
+
+def test_scoring_takes_exponentials_of_weights_only_once(monkeypatch):
+    """For 200,000 tokens, where 64 a token and softmax took over 13 million, those of all weights are 4 million, however many tokens there are."""
+    model, came, plain = taught(np.random.default_rng(1)), [], np.exp
+    texts = [" ".join(f"w{k * j % 997}" for j in range(2000)) for k in range(1, 101)]
+    monkeypatch.setattr(np, "exp", lambda x, *a, **b: came.append(np.size(x)) or plain(x, *a, **b))
+
+    class Sent:
+        value = model
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(range(100)), pa.array(texts)], ["doc_id", "at", "text"])
+    out = pa.Table.from_batches(L._measured(Sent, None)(iter([batch, batch])))
+    assert out.num_rows == 200 and sum(came) <= model.classes.size + model.words.size + 10_000
+
+
+def test_list_is_found_through_first_bits():
+    rng = np.random.default_rng(3)
+    model = taught(rng)
+    near = np.uint64(77 << 44) + np.arange(300, dtype=np.uint64) * np.uint64(2)  # many names with the same first bits, and the ends of the range
+    model.names = np.sort(np.concatenate((model.names, near, np.array([0, (1 << 64) - 2], np.uint64))))
+    asked = np.concatenate((model.names, model.names + np.uint64(1), rng.integers(0, 1 << 63, 500).astype(np.uint64), np.array([(1 << 64) - 1], np.uint64)))
+    where = {int(n): k for k, n in enumerate(model.names)}
+    assert model.found(asked).tolist() == [where.get(int(n), -1) for n in asked]
+    model.names = model.names[:0]
+    assert (model.found(asked) == -1).all()

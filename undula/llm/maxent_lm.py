@@ -38,6 +38,8 @@ ROUNDS = 3
 TASK_TOKENS, BATCH, STEP = 2_000_000, 2048, 0.5
 DISCOUNT = 0.5
 _ENDINGS, _ROWS, _CHUNK, _LAYERS = 4096, 512, 8192, 8
+#: Bits of names by which the list is entered. Weights whose exponentials can be multiplied in single precision, and sums of those that are trusted.
+_FIRST, _WITHIN, _TRUSTED = 20, 20.0, (1e-25, 1e26)
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _PAD, _END, _NONE = _U(1), _U(2), np.float32(-1e9)
@@ -47,6 +49,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _CHANGED = pa.schema([("weights", pa.int32()), ("block", pa.int32()), ("touched", pa.binary()), ("change", pa.binary())])
 _VALUE = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))[_LOWER]
+#: Rows of weights that a code alone names: as the word before, the second and the third before.
+_ALONE = [(mix(np.arange(FREQUENT + _ENDINGS + 1, dtype=_U) << _U(2) | _U(k)) >> _U(64 - BITS)).astype(np.uint16) for k in range(3)]
 
 
 @dataclass
@@ -119,6 +123,8 @@ class Model:
     word_bias: np.ndarray = field(init=False)
     classes: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, HEADS + TAILS), np.float32))
     words: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, MEMBERS), np.float32))
+    _entries: np.ndarray | None = field(init=False, default=None)
+    _raised: tuple[list, list] | None = field(init=False, default=None)
 
     def __post_init__(self):
         by_rank = np.zeros(FREQUENT)
@@ -133,10 +139,17 @@ class Model:
         self.unknown = np.concatenate((np.zeros(HEADS), unknown)).astype(np.float32)
 
     def found(self, name: np.ndarray) -> np.ndarray:
-        """Places in the list, -1 for what isn't in it."""
+        """Places in the list, -1 for what isn't in it. Names are spread evenly, so their first bits lead to a place a step or so away."""
         if not len(self.names):
             return np.full(len(name), -1)
-        at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
+        if self._entries is None:
+            of = np.bincount((self.names >> _U(64 - _FIRST)).astype(np.int64), minlength=1 << _FIRST)
+            self._entries = (np.cumsum(of) - of).clip(max=len(self.names) - 1).astype(np.int32)
+        at = self._entries.take((name >> _U(64 - _FIRST)).astype(np.int64)).astype(np.int64)
+        before = np.flatnonzero(self.names[at] < name)
+        while len(before := before[at[before] < len(self.names) - 1]):
+            at[before] += 1
+            before = before[self.names[at[before]] < name[before]]
         return np.where(self.names[at] == name, at, -1)
 
     def coded(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,11 +162,19 @@ class Model:
         return np.where(head, rank | 1 << 40, at), np.where(head, rank // MEMBERS, HEADS + tail(s.ending)), code
 
     @staticmethod
-    def features(code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    def histories(code: np.ndarray) -> np.ndarray:
+        """Rows of weights that the history before every place names (features x places); those of the pads mean nothing."""
+        out = np.zeros((FEATURES, len(code)), np.uint16)
+        for k, rows in enumerate(_ALONE):
+            out[k, k + 1 :] = rows.take(code[: -k - 1])
+        both = code.astype(_U)
+        out[3, 2:] = mix((both[1:-1] << _U(16) | both[:-2]) << _U(2) | _U(3)) >> _U(64 - BITS)
+        return out
+
+    @classmethod
+    def features(cls, code: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Rows of weights that the history before each place names."""
-        a, b, c = (code[place - k].astype(_U) for k in (1, 2, 3))
-        parts = (a << _U(2), b << _U(2) | _U(1), c << _U(2) | _U(2), (a << _U(16) | b) << _U(2) | _U(3))
-        return np.stack([(mix(x) >> _U(64 - BITS)).astype(np.int64) for x in parts])
+        return cls.histories(code).take(place, axis=1)
 
     @staticmethod
     def rows_of_words(features: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -173,15 +194,36 @@ class Model:
 
     def logs(self, features: np.ndarray, cls: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of P(class) or, of frequent words (member >= 0), of P(word); and of P(unknown)."""
-        z, e, total = self._softmax(self.classes, features, self.class_bias)
-        out = z[np.arange(len(cls)), cls].astype(np.float64) - np.log(total)
-        unknown = np.log(np.maximum(e @ self.unknown, np.float32(1e-37))) - np.log(total)
+        own, total, unknown = self._sums(0, features, cls, np.zeros(len(cls), np.int64))
+        out = own.astype(np.float64) - np.log(total)
+        unknown = np.log(np.maximum(unknown, np.float32(1e-37))) - np.log(total)
         of = np.flatnonzero(member >= 0)
         if len(of):
-            z, _, total = self._softmax(self.words, self.rows_of_words(features[:, of], cls[of]), self.word_bias[cls[of]])
-            out[of] += z[np.arange(len(of)), member[of]] - np.log(total)
+            own, total, _ = self._sums(1, self.rows_of_words(features[:, of], cls[of]), member[of], cls[of])
+            out[of] += own - np.log(total)
         return out, unknown
 
+    def _sums(self, k: int, rows: np.ndarray, target: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Of positions: the target's logit, the sum of all exponentials, that of the unknown word; over classes (k 0) or the words of class `group` (k 1).
+
+        Exponentials of weights are taken once a model; those of sums are products of these unless a weight or a sum is out of range.
+        """
+        weights, bias = (self.words, self.word_bias) if k else (self.classes, self.class_bias[None])
+        if self._raised is None:
+            raised = [np.exp(w) if np.abs(w).max() <= _WITHIN else None for w in (self.classes, self.words)]
+            self._raised = raised, [np.exp(self.class_bias[None]), np.exp(self.word_bias)]
+        powers, shares = (x[k] for x in self._raised)
+        if powers is not None:
+            e = powers.take(rows[0], axis=0)
+            for r in rows[1:]:
+                e *= powers.take(r, axis=0)
+            own = np.log(e[np.arange(len(target)), target]) + bias[group, target]
+            total, unknown = (np.vecdot(e, shares.take(group, axis=0)), None) if k else (e @ np.stack((shares[0], shares[0] * self.unknown), 1)).T
+            if _TRUSTED[0] < total.min(initial=1) and total.max(initial=1) < _TRUSTED[1]:
+                return own, total, unknown
+        z, e, total = self._softmax(weights, rows, bias.take(group, axis=0) if k else bias)
+        return z[np.arange(len(target)), target], total, None if k else e @ self.unknown
+
     def learn(self, features: np.ndarray, cls: np.ndarray, member: np.ndarray, state: Changes, step: float) -> None:
         """One minibatch."""
         of = np.flatnonzero(member >= 0)
@@ -194,7 +236,12 @@ class Model:
                 e /= total[:, None]
                 e[np.arange(len(target)), target] -= 1
                 own -= state.change(k, used, e, step)
-                weights[used.at] = own
+                _whole(weights)[used.at] = _whole(own)
+
+
+def _whole(weights: np.ndarray) -> np.ndarray:
+    """Rows as single values, which are written faster."""
+    return weights.view(np.dtype((np.void, weights.shape[1] * weights.itemsize))).ravel()
 
 
 class Used:
@@ -317,10 +364,11 @@ def _round(texts: DataFrame, model: Model, pace: float) -> None:
                 for s in slices(b.column(0)):
                     rng = np.random.default_rng(len(s.name))
                     at, cls, code = own.coded(s)
+                    features, member = own.histories(code), _member(at)
                     places = rng.permutation(s.place)
                     for i in range(0, len(places), BATCH):
                         place = places[i : i + BATCH]
-                        own.learn(own.features(code, place), cls[place], _member(at[place]), state, STEP * pace)
+                        own.learn(features.take(place, axis=1), cls[place], member[place], state, STEP * pace)
             for k, (new, old) in enumerate(zip((own.classes, own.words), weights, strict=True)):
                 for block in range(0, len(new), _ROWS):
                     touched = state.touched[k][block : block + _ROWS].clip(0, 1 << 30).astype(np.int32)
@@ -337,6 +385,7 @@ def _round(texts: DataFrame, model: Model, pace: float) -> None:
     for r in changes.to_pylist():
         at = r["block"] * _ROWS + np.flatnonzero(np.frombuffer(r["touched"], np.int32))
         weights = model.words if r["weights"] else model.classes
+        model._raised = None
         weights[at] += np.frombuffer(r["change"], np.float16).reshape(len(at), -1).astype(np.float32)
 
 
@@ -372,10 +421,10 @@ def _measured(sent, ids: pa.Field):
                 at, cls = at[s.place], cls[s.place]
                 member = _member(at)
                 listed = np.where(member >= 0, by_rank[np.where(member >= 0, at & ((1 << 40) - 1), 0)], at)
-                log, unknown = np.empty(len(at)), np.empty(len(at))
+                log, unknown, features = np.empty(len(at)), np.empty(len(at)), model.histories(code)
                 for i in range(0, len(at), _CHUNK):
                     part = slice(i, i + _CHUNK)
-                    log[part], unknown[part] = model.logs(model.features(code, s.place[part]), cls[part], member[part])
+                    log[part], unknown[part] = model.logs(features.take(s.place[part], axis=1), cls[part], member[part])
                 in_tail = member < 0
                 log[in_tail] -= np.log(model.tail_tokens + 0.5)[cls[in_tail] - HEADS]
                 known = listed >= 0
