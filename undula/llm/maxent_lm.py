@@ -43,8 +43,6 @@ _FIRST, _WITHIN, _TRUSTED = 20, 20.0, (1e-25, 1e26)
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _PAD, _END, _NONE = _U(1), _U(2), np.float32(-1e9)
-_WORD = np.ones(256, bool)
-_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _CHANGED = pa.schema([("weights", pa.int32()), ("block", pa.int32()), ("touched", pa.binary()), ("change", pa.binary())])
@@ -65,6 +63,17 @@ class Slice:
     place: np.ndarray
 
 
+def _running(part: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes' values times powers, from zero on, in blocks that stay in a core's cache."""
+    sums = np.zeros(len(part) + 1, _U)
+    for i in range(0, len(part), 1 << 16):
+        values = _VALUE.take(part[i : i + (1 << 16)])
+        values *= up[i : i + len(values)]
+        values[:1] += sums[i : i + 1]
+        np.cumsum(values, out=sums[i + 1 : i + 1 + len(values)])
+    return sums
+
+
 def slices(column: pa.Array) -> Iterator[Slice]:
     """Tokens of a string column, some texts at a time: words between white space, A-Z lowered, and one end a text. Null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
@@ -74,7 +83,7 @@ def slices(column: pa.Array) -> Iterator[Slice]:
     while k < len(column):
         m = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SLICE, side="right")) - 1)
         part, cuts = data[offsets[k] : offsets[m]], offsets[k : m + 1] - offsets[k]
-        word = _WORD[part]
+        word = (part != 0x20) & (part - np.uint8(0x09) > 0x0D - 0x09)
         opens = word.copy()
         opens[1:] &= ~word[:-1]
         begun = cuts[:-1][cuts[:-1] < len(part)]
@@ -84,9 +93,8 @@ def slices(column: pa.Array) -> Iterator[Slice]:
         closes[1:-1] &= ~word[1:] | opens[1:]
         lo, hi = np.flatnonzero(opens), np.flatnonzero(closes)
         up, down = _powers(max(1, len(part)))
-        sums = np.zeros(len(part) + 1, _U)
-        np.cumsum(_VALUE[part] * up[: len(part)], out=sums[1:])
-        low, ending = _LOWER[part], np.zeros(len(lo), np.int64)
+        sums = _running(part, up)
+        low, ending = part + (part - np.uint8(0x41) < 26) * np.uint8(0x20), np.zeros(len(lo), np.int64)
         for back in (1, 2, 3):
             ending = ending << 8 | np.where(hi - back >= lo, low[np.maximum(hi - back, 0)], 0)
         text = np.searchsorted(cuts[1:], lo, side="right")
@@ -199,7 +207,7 @@ class Model:
         unknown = np.log(np.maximum(unknown, np.float32(1e-37))) - np.log(total)
         of = np.flatnonzero(member >= 0)
         if len(of):
-            own, total, _ = self._sums(1, self.rows_of_words(features[:, of], cls[of]), member[of], cls[of])
+            own, total, _ = self._sums(1, self.rows_of_words(features.take(of, axis=1), cls[of]), member[of], cls[of])
             out[of] += own - np.log(total)
         return out, unknown
 
@@ -227,7 +235,7 @@ class Model:
     def learn(self, features: np.ndarray, cls: np.ndarray, member: np.ndarray, state: Changes, step: float) -> None:
         """One minibatch."""
         of = np.flatnonzero(member >= 0)
-        rows = self.rows_of_words(features[:, of], cls[of])
+        rows = self.rows_of_words(features.take(of, axis=1), cls[of])
         for k, (weights, f, bias, target) in enumerate(((self.classes, features, self.class_bias, cls), (self.words, rows, self.word_bias[cls[of]], member[of]))):
             if f.shape[1]:
                 used = Used(f)
@@ -264,12 +272,12 @@ class Used:
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Of every distinct row the sum of the values of its positions. The first few are added for all rows at once, the rest row by row."""
         out = values.take(self.position[self.first], axis=0)
-        for k in range(1, _LAYERS):
-            n = int(np.searchsorted(-self.count, -k))
+        more_than = np.searchsorted(-self.count, -np.arange(1, _LAYERS + 1)).tolist()
+        for k, n in enumerate(more_than[:-1], 1):
             if not n:
                 return out
             out[:n] += values.take(self.position[self.first[:n] + k], axis=0)
-        n = int(np.searchsorted(-self.count, -_LAYERS))
+        n = more_than[-1]
         if n:
             more = self.count[:n] - _LAYERS
             starts = np.cumsum(more) - more
@@ -299,8 +307,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(name, tail, n) of (text), counted slice by slice."""
     for b in batches:
         for s in slices(b.column(0)):
-            name, first, n = np.unique(s.name[s.place], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(tail(s.ending[s.place[first]]).astype(np.int8)), pa.array(n)], ["name", "tail", "n"])
+            name = s.name[s.place]
+            order = np.argsort(name)  # a name's tokens have one ending, so any of them will do
+            name = name[order]
+            first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+            ends, n = tail(s.ending[s.place[order[first]]]), np.diff(np.append(first, len(name)))
+            yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), pa.array(ends.astype(np.int8)), pa.array(n)], ["name", "tail", "n"])
 
 
 def counted(texts: DataFrame) -> DataFrame:
