@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from undula.functions.columns import safe_cv
 from undula.schema import EPS, FEATURES, FS, MIN_DISTANCE_SEC, PERM_M, PERM_TAU, REL_HEIGHT, SAMPEN_M, SAMPEN_R, SAMPEN_TAU, SHANNON_BINS, THRESHOLD_K
+from undula.sources.sinks import kept
 
 
 def _finite(c: Column) -> Column:
@@ -242,20 +243,81 @@ def compared_templates(templates: DataFrame, met: DataFrame, keys: list[str], m:
     return both.select(*keys, "first", (F.col("n") * F.col("_n")).alias("pairs"), b.alias("b"), (b & alike[m]).alias("a"))
 
 
+#: Values of a batch whose templates are compared together; samples up to which a segment's templates are compared as one array.
+BATCH_VALUES, LONG = 1 << 18, 1 << 15
+
+
+def segment_values(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, v, sd): one row for each segment, with its values by place and their deviation."""
+    s = samples.groupBy(keys).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("_s"), F.stddev_pop("x").alias("sd"))
+    return s.select(*keys, F.transform("_s", lambda s: s["x"]).alias("v"), "sd")
+
+
+def _alike(x: np.ndarray, tol: np.ndarray, m: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of values: pairs of templates that are alike in m and in m + 1 values; all pairs a certain distance apart at a time. A template whose last value is missing is none."""
+    count = x.shape[1] - m * tau
+    known = ~np.isnan(x[:, m * tau :])
+    whole = known.all()
+    b, a = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for d in range(1, count):
+        near = np.abs(x[:, d:] - x[:, :-d]) <= tol[:, None]
+        first = near[:, : count - d].copy()
+        for j in range(1, m):
+            first &= near[:, j * tau : j * tau + count - d]
+        if not whole:
+            first &= known[:, d:] & known[:, : count - d]
+        b += first.sum(1)
+        first &= near[:, m * tau : m * tau + count - d]
+        a += first.sum(1)
+    return b, a
+
+
+def alike_templates(values: str, tol: Column, m: int = SAMPEN_M, tau: int = SAMPEN_TAU) -> Column:
+    """(b, a) of segments' values: how many pairs of templates are alike in m and in m + 1 values. Segments of a batch that have one length are compared together."""
+
+    @F.pandas_udf("b long, a long")
+    def counted(xs: pd.Series, tols: pd.Series) -> pd.DataFrame:
+        t, sizes = tols.to_numpy(float), np.array([0 if x is None else len(x) for x in xs], np.int64)
+        out = np.zeros((len(xs), 2), np.int64)
+        fit = (t > 0) & (sizes > m * tau)
+        for n in np.unique(sizes[fit]):
+            same, step = np.flatnonzero(fit & (sizes == n)), max(1, BATCH_VALUES // int(n))
+            for k in range(0, len(same), step):
+                part = same[k : k + step]
+                out[part] = np.column_stack(_alike(np.stack([np.asarray(xs.iloc[i], float) for i in part]), t[part], m, tau))
+        return pd.DataFrame(out, columns=["b", "a"])
+
+    return counted(values, tol)
+
+
 def sample_entropy(samples: DataFrame, keys: list[str], m: int = SAMPEN_M, r: float = SAMPEN_R, tau: int = SAMPEN_TAU) -> DataFrame:
     """(keys, b, a, sampen): -ln(A/B) over unordered pairs of templates within r standard deviations, point by point.
 
-    Templates are counted by cells of a grid over all their values. Pairs of cells that lie wholly within the tolerance, or
-    wholly beyond, are counted without looking at a template; templates are compared only where the tolerance cuts through.
+    A segment is one row, whose templates are compared as arrays, nothing is dealt out. Segments of over LONG samples, where there are any,
+    are dealt out instead: their templates are counted by cells of a grid over all their values. Pairs of cells that lie wholly within the
+    tolerance, or wholly beyond, are counted without looking at a template; templates are compared only where the tolerance cuts through.
     """
-    templates = template_cells(samples, keys, m, r, tau)
+    return _entropies(kept(segment_values(samples, keys)), keys, m, r, tau)
+
+
+def _entropies(values: DataFrame, keys: list[str], m: int, r: float, tau: int) -> DataFrame:
+    """`sample_entropy` of a written table of `segment_values`."""
+    long = values.filter(F.size("v") > LONG)
+    counts = values.filter(F.size("v") <= LONG).select(*keys, alike_templates("v", r * F.col("sd"), m, tau).alias("_c")).select(*keys, "_c.b", "_c.a")
+    if not long.isEmpty():
+        counts = counts.unionByName(_grid_counts(long.select(*keys, F.posexplode("v").alias("i", "x")), keys, m, r, tau))
+    return counts.withColumn("sampen", F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.col("a") / F.col("b"))))
+
+
+def _grid_counts(samples: DataFrame, keys: list[str], m: int, r: float, tau: int) -> DataFrame:
+    """(keys, b, a) of long segments, by cells of the grid."""
+    templates = kept(template_cells(samples, keys, m, r, tau))
     met = cell_pairs(templates, keys, m)
     sure = met.groupBy(keys).agg(F.sum(F.when(F.col("first"), F.col("pairs"))).alias("b"), F.sum(F.when(F.col("first") & F.col("last"), F.col("pairs"))).alias("a"))
     seen = compared_templates(templates, met, keys, m)
     seen = seen.groupBy(keys).agg(F.sum(F.when(~F.col("first") & F.col("b"), F.col("pairs"))).alias("b"), F.sum(F.when(F.col("a"), F.col("pairs"))).alias("a"))
     counts = sure.unionByName(seen).groupBy(keys).agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
-    out = samples.select(keys).distinct().join(counts, keys, "left").withColumns({"a": F.coalesce("a", F.lit(0)), "b": F.coalesce("b", F.lit(0))})
-    return out.withColumn("sampen", F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.col("a") / F.col("b"))))
+    return samples.select(keys).distinct().join(counts, keys, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("b", "a")})
 
 
 def all_features(samples: DataFrame, keys: list[str], fs: float = FS, tau: float = 2.0, k: float = THRESHOLD_K, bins: int = SHANNON_BINS, r: float = SAMPEN_R, distance: int | None = None) -> DataFrame:
