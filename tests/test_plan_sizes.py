@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 from undula.operators import features as X
-from undula.plans import signals
+from undula.plans import signals, spectra
 
 
 def exchanges(df):
@@ -25,3 +25,13 @@ def test_long_segments_are_counted_as_short_ones(spark, monkeypatch):
     assert len(want) == 4
     monkeypatch.setattr(X, "LONG", 100)
     assert sorted(map(tuple, X.sample_entropy(samples, ["s"]).collect())) == want
+
+
+def test_all_features_move_segments_once_a_part(spark, sf):
+    plan = signals.feat_all_wide(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") < 20 and plan.count("Exchange") < 40  # both were over 50
+
+
+def test_recordings_are_dealt_out_once(spark, sf):
+    """By record, for the place of a sample and for its segment: a shuffle of all samples less."""
+    assert exchanges(spectra.price_windows(spark, sf)) == exchanges(signals.windows(spark, sf)) == 1

@@ -321,13 +321,17 @@ def _grid_counts(samples: DataFrame, keys: list[str], m: int, r: float, tau: int
 
 
 def all_features(samples: DataFrame, keys: list[str], fs: float = FS, tau: float = 2.0, k: float = THRESHOLD_K, bins: int = SHANNON_BINS, r: float = SAMPEN_R, distance: int | None = None) -> DataFrame:
-    """The 14 features of every segment, all null where the gate isn't passed. Every part is keyed alike, so joins don't reshuffle."""
-    ok = gate(samples, keys)
-    w = Window.partitionBy(keys)
-    passed = (F.count("*").over(w) >= 5) & F.bool_and(_finite(F.col("x"))).over(w)
-    good = samples.withColumn("_passed", passed).filter("_passed").drop("_passed")
-    parts = [peak_features(threshold(good, keys, k), keys, fs, tau, distance), energy(good, keys), shannon_entropy(good, keys, bins), permutation_entropy(good, keys), sample_entropy(good, keys, r=r).select(*keys, "sampen")]
-    out = ok.select(keys)
-    for p in parts:
+    """The 14 features of every segment, all null where the gate isn't passed.
+
+    Segments are written once, a row each, and every part deals them out alike, so its windows and joins move nothing more. Peaks and bursts,
+    the longest part, are written too: what the driver plans and compiles at a time stays small.
+    """
+    values = kept(segment_values(samples, keys))
+    passed = (F.size("v") >= 5) & F.forall("v", _finite)
+    rows = values.filter(passed)
+    good = rows.repartition(*keys).select(*keys, F.posexplode("v").alias("i", "x"))
+    peaked = kept(peak_features(threshold(good, keys, k), keys, fs, tau, distance))
+    out = values.select(keys)
+    for p in (peaked, energy(good, keys), shannon_entropy(good, keys, bins), permutation_entropy(good, keys), _entropies(rows, keys, SAMPEN_M, r, SAMPEN_TAU).select(*keys, "sampen")):
         out = out.join(p, keys, "left")
     return out.select(*keys, *FEATURES)
