@@ -132,7 +132,7 @@ def decomposition(samples: DataFrame, keys: list[str], modes: int = MODES) -> Da
             for k in range(0, len(same), step):
                 part = same[k : k + step]
                 for i, imfs, residual in zip(part, *decompose_rows(np.stack([rows[i] for i in part]), modes), strict=True):
-                    found[i] = ([m.tolist() for m in imfs], residual.tolist())
+                    found[i] = (imfs, residual)  # arrays: as numbers of Python they would take five times the memory
         return pd.DataFrame(found, columns=["imfs", "residual"])
 
     values = samples.groupBy(keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x"))
